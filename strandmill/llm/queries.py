@@ -7,7 +7,9 @@ from importlib import import_module
 
 #: Module and query of each operator; the SQL, where there is one, is the module's ``opN_sql``.
 OPERATORS = {
+    "packing": "op10_best_fit_packing",
     "quality_rules": "op6_quality_rules",
+    "sharding": "op9_sharding",
 }
 
 
