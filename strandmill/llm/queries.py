@@ -7,6 +7,8 @@ from importlib import import_module
 
 #: Module and query of each operator; the SQL, where there is one, is the module's ``opN_sql``.
 OPERATORS = {
+    "vector_search": "op3_vector_search",
+    "chat_format": "op2_chat_format",
     "jaccard_join": "op5_ngram_jaccard",
     "pii": "op8_pii",
     "secret_scan": "op4_secret_scan",
