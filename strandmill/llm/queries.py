@@ -7,6 +7,7 @@ from importlib import import_module
 
 #: Module and query of each operator; the SQL, where there is one, is the module's ``opN_sql``.
 OPERATORS = {
+    "quality_classifier": "op7_quality_classifier",
     "vector_search": "op3_vector_search",
     "chat_format": "op2_chat_format",
     "jaccard_join": "op5_ngram_jaccard",
