@@ -108,7 +108,7 @@ def coverage(eligible: DataFrame, extracted: DataFrame, reasons: DataFrame) -> D
 def attribution(members: DataFrame, statuses: DataFrame, operational: DataFrame) -> DataFrame:
     """Distinct members of counted findings that are operational, and their share of all operational messages."""
     counted = members.join(statuses.where("status = 'counted'").select("finding"), "finding", "left_semi")
-    own = counted.select("msg_uid").distinct().join(operational.select("msg_uid"), "msg_uid", "left_semi")
-    total = operational.agg(F.count("*").alias("operational"))
-    share = F.round(F.when(F.col("operational") > 0, F.col("attributed") / F.col("operational")).otherwise(0.0), 4)
-    return own.agg(F.count("*").alias("attributed")).crossJoin(total).withColumn("share", share)
+    own = counted.select("msg_uid").distinct().withColumn("hit", F.lit(1))
+    joined = operational.select("msg_uid").join(own, "msg_uid", "left")
+    sums = joined.agg(F.count("hit").alias("attributed"), F.count("*").alias("operational"))
+    return sums.withColumn("share", F.round(F.when(F.col("operational") > 0, F.col("attributed") / F.col("operational")).otherwise(0.0), 4))
