@@ -4,10 +4,623 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from strandmill.functions import decode, text
+from strandmill.operators import claims, clusters, dedupe, estimate, evidence, graph, guard, identity, series, tables, threads, triage, verify
+from strandmill.plans.views import MESSAGES_SQL, RECORDS_SQL, messages, records
+from strandmill.session import table
+from strandmill.sources import store
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def register(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return register
+
 
 def queries() -> dict[str, Callable]:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# ---- series -----------------------------------------------------------------------------
+
+SERIES_BODY = """
+g AS (SELECT template, sender, sent_at, is_reply, date_diff('microsecond', lag(sent_at) OVER (PARTITION BY template, sender ORDER BY sent_at), sent_at) / 86400000000.0 AS gap
+      FROM m WHERE NOT is_reply),
+s AS (SELECT template, sender, count(*) AS instances, count(DISTINCT strftime(sent_at, '%Y-%m')) AS months, count(DISTINCT strftime(sent_at, '%G-W%V')) AS weeks,
+             median(gap) FILTER (gap > 0) AS gap FROM g GROUP BY ALL HAVING count(*) >= 3),
+x AS (SELECT template, sender, count(*) AS n FROM m WHERE is_reply GROUP BY ALL),
+series AS (SELECT s.template, s.sender, 'ser_' || substr(sha256(s.template || '|' || s.sender), 1, 10) AS series_id, instances, months, weeks,
+             round(gap, 2) AS median_gap_days,
+             CASE WHEN gap IS NULL THEN 'irregular' WHEN round(gap, 2) <= 1.6 THEN 'daily' WHEN round(gap, 2) <= 4 THEN 'several times a week'
+                  WHEN round(gap, 2) <= 10 THEN 'weekly' WHEN round(gap, 2) <= 20 THEN 'fortnightly' WHEN round(gap, 2) <= 45 THEN 'monthly' ELSE 'irregular' END AS cadence,
+             coalesce(n, 0) AS replies_excluded FROM s LEFT JOIN x USING (template, sender))"""
+_ORDERS_M = "m AS (SELECT 'order report' AS template, 'c' || o_custkey AS sender, o_orderdate AS sent_at, o_orderkey % 9 = 0 AS is_reply FROM orders)"
+_EVENTS_M = "m AS (SELECT event_type AS template, 'u' || user_id AS sender, ts AS sent_at, false AS is_reply FROM events)"
+_FAILED = """array_to_string(list_filter([CASE WHEN instances < 8 THEN 'only ' || instances || ' instances (need 8)' END,
+  CASE WHEN months < 3 THEN 'only ' || months || ' months (need 3)' END, CASE WHEN weeks < 3 THEN 'only ' || weeks || ' weeks (need 3)' END], lambda r: r IS NOT NULL), '; ')"""
+
+
+def _order_messages(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    return o.select(
+        F.lit("order report").alias("template"), F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("sender"),
+        F.col("o_orderdate").alias("sent_at"), (F.col("o_orderkey") % 9 == 0).alias("is_reply"),
+    )
+
+
+def _event_messages(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_type").alias("template"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("sender"), F.col("ts").alias("sent_at"), F.lit(False).alias("is_reply"))
+
+
+@query(f"WITH {_ORDERS_M}, {SERIES_BODY} SELECT * FROM series WHERE instances >= 8 AND months >= 3 AND weeks >= 3")
+def series_gate(spark, sf_dir):
+    return series.failed_gates(series.find_series(_order_messages(spark, sf_dir))).where(F.size("failed_gates") == 0).drop("failed_gates")
+
+
+@query(f"WITH {_EVENTS_M}, {SERIES_BODY} SELECT * FROM series")
+def series_cadence(spark, sf_dir):
+    return series.find_series(_event_messages(spark, sf_dir))
+
+
+@query(f"WITH {_EVENTS_M}, {SERIES_BODY} SELECT template, sender, {_FAILED} AS failed FROM series WHERE {_FAILED} <> ''")
+def series_rejected(spark, sf_dir):
+    found = series.failed_gates(series.find_series(_event_messages(spark, sf_dir)))
+    return found.where(F.size("failed_gates") > 0).select("template", "sender", F.array_join("failed_gates", "; ").alias("failed"))
+
+
+_TEMPLATE_SQL = "trim(regexp_replace(trim(subject), '(?i)^(\\s*(re|fw|fwd|aw|sv)\\s*:)+', ''))"
+for _p, _to in text.TEMPLATE_STEPS:
+    _TEMPLATE_SQL = f"regexp_replace({_TEMPLATE_SQL}, '{_p}', '{_to}', 'g')"
+_TEMPLATE_SQL = f"lower(trim({_TEMPLATE_SQL}))"
+_KEY_SQL = "lower(trim(regexp_replace(regexp_replace(trim(regexp_replace(subject, '(?i)^(\\s*(re|fw|fwd|aw|sv|tr)\\s*(\\[\\d+\\])?\\s*:)+', '')), '[\\d/\\-–—.,()\\[\\]]+', ' ', 'g'), '\\s+', ' ', 'g')))"
+_WORDS_SQL = "len(list_filter(string_split_regex(template, '[^a-z&]+'), lambda w: length(w) > 2))"
+
+
+@query(f"WITH {MESSAGES_SQL}, m AS (SELECT * FROM (SELECT {_TEMPLATE_SQL} AS template, sender, sent_at, is_reply FROM messages) WHERE template <> '' AND {_WORDS_SQL} >= 2), {SERIES_BODY} SELECT * FROM series")
+def series_from_subjects(spark, sf_dir):
+    return series.find_series(series.with_templates(messages(spark, sf_dir), text.subject_template(F.col("subject"))))
+
+
+@query(f"""WITH {MESSAGES_SQL}, c AS (SELECT sender, folder, subject, count(*) AS n FROM messages WHERE NOT is_reply GROUP BY ALL)
+SELECT sender, folder, subject AS example_subject FROM c QUALIFY row_number() OVER (PARTITION BY sender, folder ORDER BY n DESC, subject) = 1""")
+def series_examples(spark, sf_dir):
+    return series.example_subjects(messages(spark, sf_dir), ["sender", "folder"])
+
+
+# ---- scalar functions -------------------------------------------------------------------
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m') AS month, strftime(ts, '%G-W%V') AS week FROM events")
+def month_week_keys(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", text.month_key(F.col("ts")).alias("month"), text.week_key(F.col("ts")).alias("week"))
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT key, {_TEMPLATE_SQL} AS template FROM messages")
+def subject_template(spark, sf_dir):
+    return messages(spark, sf_dir).select("key", text.subject_template(F.col("subject")).alias("template"))
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT key, {_KEY_SQL} AS subject_key, regexp_matches(subject, '(?i)^(\\s*(re|fw|fwd|aw|sv|tr)\\s*(\\[\\d+\\])?\\s*:)+') AS is_reply FROM messages")
+def subject_key(spark, sf_dir):
+    return messages(spark, sf_dir).select("key", text.subject_key(F.col("subject")).alias("subject_key"), text.is_reply(F.col("subject")).alias("is_reply"))
+
+
+@query("""SELECT doc_id, 'm_' || substr(sha256('docs/' || doc_id), 1, 12) AS msg_uid, sha256(lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')))) AS text_sha,
+ sha256(source || chr(0) || lang || chr(0)) AS keyed_sha FROM documents""")
+def content_hash(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    folded = F.sha2(F.lower(text.fold(F.col("text"))), 256)
+    return d.select("doc_id", text.message_uid(F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))).alias("msg_uid"), folded.alias("text_sha"), text.keyed_sha(F.col("source"), F.col("lang")).alias("keyed_sha"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(lower(url), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
+ len(list_distinct(list_filter(string_split_regex(split_part(split_part(url, '//', 2), '/', 1), '[._\\-]+'), lambda t: length(t) > 1))) AS tokens FROM pages""")
+def name_functions(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    host = F.split_part(F.split_part("url", F.lit("//"), F.lit(2)), F.lit("/"), F.lit(1))
+    return p.select("page_id", text.slug(F.col("url")).alias("slug"), F.size(text.name_tokens(host)).alias("tokens"))
+
+
+_STOP_SQL = "[" + ", ".join(f"'{w}'" for w in text.STOP_WORDS) + "]"
+_TOKENS_SQL = f"list_filter(string_split_regex(lower(process_phrase), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP_SQL}, w))"
+
+
+@query(f"WITH {RECORDS_SQL} SELECT key, array_to_string({_TOKENS_SQL}, ' ') AS tokens FROM records")
+def phrase_tokens(spark, sf_dir):
+    return records(spark, sf_dir).select("key", F.array_join(text.phrase_tokens(F.col("process_phrase")), " ").alias("tokens"))
+
+
+# ---- duplicates -------------------------------------------------------------------------
+
+
+def _hashed(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    stamp = F.coalesce(F.date_format("sent_at", "yyyy-MM"), F.col("path"))
+    return m.withColumn("content_hash", text.content_hash(text.subject_key(F.col("subject")), F.col("sender"), stamp, F.col("novel_text")))
+
+
+_DUP_SQL = f"""WITH {MESSAGES_SQL}, h AS (SELECT *, sha256(concat_ws('|', {_KEY_SQL}, sender, coalesce(strftime(sent_at, '%Y-%m'), path), lower(trim(regexp_replace(novel_text, '\\s+', ' ', 'g'))))) AS content_hash FROM messages),
+a AS (SELECT msg_uid, first_value(msg_uid) OVER w AS canonical_uid, row_number() OVER w AS n, 'identical Message-ID' AS reason FROM h WHERE message_id IS NOT NULL
+      WINDOW w AS (PARTITION BY message_id ORDER BY sent_at IS NULL, sent_at NULLS FIRST, length(path), path)),
+d1 AS (SELECT msg_uid, canonical_uid, reason FROM a WHERE n > 1),
+b AS (SELECT msg_uid, first_value(msg_uid) OVER w AS canonical_uid, row_number() OVER w AS n, 'identical normalized content' AS reason FROM h WHERE msg_uid NOT IN (SELECT msg_uid FROM d1)
+      WINDOW w AS (PARTITION BY content_hash ORDER BY sent_at IS NULL, sent_at NULLS FIRST, length(path), path)),
+dups AS (SELECT * FROM d1 UNION ALL SELECT msg_uid, canonical_uid, reason FROM b WHERE n > 1)"""
+
+
+@query(_DUP_SQL + " SELECT canonical_uid, reason, string_agg(msg_uid, ',' ORDER BY msg_uid) AS duplicates FROM dups GROUP BY ALL")
+def dup_exact_groups(spark, sf_dir):
+    return dedupe.groups(dedupe.exact_duplicates(_hashed(spark, sf_dir))).select("canonical_uid", "reason", F.array_join("duplicate_uids", ",").alias("duplicates"))
+
+
+@query(_DUP_SQL + " SELECT msg_uid, subject FROM h WHERE msg_uid NOT IN (SELECT msg_uid FROM dups)")
+def dup_survivors(spark, sf_dir):
+    m = _hashed(spark, sf_dir)
+    return dedupe.survivors(m, dedupe.exact_duplicates(m)).select("msg_uid", "subject")
+
+
+def _doc_messages(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    sent = F.lit("2001-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("doc_id") % 600).cast("decimal(18,6)"))
+    uid = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    return d.select(uid.alias("msg_uid"), uid.alias("path"), F.col("source").alias("subject_key"), F.when(F.col("doc_id") % 50 != 0, sent).alias("sent_at"), "text")
+
+
+@query("""WITH m AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS uid, source, CASE WHEN doc_id % 50 <> 0 THEN doc_id % 600 END AS s, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents),
+z AS (SELECT *, count(*) OVER (PARTITION BY source) AS size, string_split(lower(t), ' ') AS w FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s IS NULL, s NULLS FIRST, uid) AS n,
+        list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM z WHERE size BETWEEN 2 AND 400 AND len(w) >= 25)
+SELECT a.source AS subject_key, a.uid AS a, b.uid AS b FROM r a JOIN r b ON a.source = b.source AND a.n < b.n AND ((a.s IS NULL AND b.s IS NULL) OR abs(a.s - b.s) <= 120)
+WHERE len(list_intersect(a.g, b.g)) >= 0.2 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
+def dup_near_jaccard(spark, sf_dir):
+    found = dedupe.near_candidates(_doc_messages(spark, sf_dir)).where(F.col("jaccard") >= 0.2)
+    return found.select("subject_key", "a", "b")
+
+
+@query()
+def dup_near_minhash(spark, sf_dir):
+    m = dedupe.with_minhash(_doc_messages(spark, sf_dir))
+    pairs = dedupe.near_candidates(m)
+    a, b = (m.select(F.col("msg_uid").alias(c), F.col("signature").alias(f"s_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select("a", "b", dedupe.signature_similarity(F.col("s_a"), F.col("s_b")).alias("similarity"))
+
+
+@query()
+def dup_near(spark, sf_dir):
+    return dedupe.near_duplicates(_doc_messages(spark, sf_dir))
+
+
+# ---- identity and threads ---------------------------------------------------------------
+
+
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS u, doc_id * 2 + 1 AS v FROM documents WHERE doc_id % 3 <> 0),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r AS (SELECT DISTINCT u AS vertex, u AS label FROM b UNION SELECT b.v, r.label FROM r JOIN b ON b.u = r.vertex)
+SELECT vertex, min(label) AS component FROM r GROUP BY vertex""")
+def components(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id % 3 <> 0")
+    return graph.connected_components(d.select(F.col("doc_id").alias("src"), (F.col("doc_id") * 2 + 1).alias("dst")))
+
+
+def _addresses(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    k = F.col("doc_id")
+    s = lambda n: (k % n).cast("string")
+    senders = d.select(
+        F.concat(F.lit("user"), s(40), F.lit(".name"), s(11), F.lit("@example.org")).alias("address"),
+        F.concat(F.translate(s(13), "0123456789", "abcdefghij"), F.lit("x first, "), F.translate(s(7), "0123456789", "abcdefghij"), F.lit("x last <o=x>")).alias("display"),
+    )
+    names = d.where(k % 17 == 0).select(F.concat(F.lit("x500:uname"), s(11)).alias("address"))
+    return senders.select("address").union(names), senders
+
+
+_PEOPLE_SQL = """WITH RECURSIVE d AS (SELECT doc_id AS k FROM documents),
+s AS (SELECT 'user' || (k % 40) || '.name' || (k % 11) || '@example.org' AS address,
+        array_to_string(list_sort(list_filter(string_split_regex(lower(translate((k % 13)::VARCHAR, '0123456789', 'abcdefghij') || 'x first, ' || translate((k % 7)::VARCHAR, '0123456789', 'abcdefghij') || 'x last '), '[^a-z]+'), lambda w: length(w) > 1)), ' ') AS name FROM d),
+a AS (SELECT address FROM s UNION SELECT 'x500:uname' || (k % 11) FROM d WHERE k % 17 = 0),
+e AS (SELECT min(address) OVER (PARTITION BY name) AS u, address AS v FROM (SELECT DISTINCT name, address FROM s)
+      UNION SELECT (SELECT min(r.address) FROM s r WHERE r.address LIKE '%.' || substr(x.address, 7) || '@%'), x.address FROM a x WHERE x.address LIKE 'x500:%'),
+b AS (SELECT u, v FROM e WHERE u IS NOT NULL UNION SELECT v, u FROM e WHERE u IS NOT NULL UNION SELECT address, address FROM a),
+r AS (SELECT DISTINCT u AS vertex, u AS label FROM b UNION SELECT b.v, r.label FROM r JOIN b ON b.u = r.vertex),
+g AS (SELECT vertex AS address, min(label) AS root FROM r GROUP BY vertex)"""
+
+
+@query(_PEOPLE_SQL + " SELECT address, root FROM g")
+def identity_resolve(spark, sf_dir):
+    return identity.resolve(*_addresses(spark, sf_dir))
+
+
+@query(_PEOPLE_SQL + """, c AS (SELECT address, count(*) AS n FROM s GROUP BY address)
+SELECT root, arg_min(address, (length(address), address)) FILTER (address NOT LIKE 'x500:%') AS canonical_address, count(*) AS addresses, coalesce(sum(n), 0)::BIGINT AS message_count
+FROM g LEFT JOIN c USING (address) GROUP BY root""")
+def identity_people(spark, sf_dir):
+    every, senders = _addresses(spark, sf_dir)
+    found = identity.people(identity.resolve(every, senders), senders.groupBy("address").agg(F.count("*").alias("messages")))
+    return found.select("root", "canonical_address", F.size("addresses").cast("long").alias("addresses"), "message_count")
+
+
+def _threaded(spark, sf_dir):
+    m = messages(spark, sf_dir).select("msg_uid", "path", text.subject_key(F.col("subject")).alias("subject_key"), "sent_at", "is_reply", F.col("participants").alias("people"))
+    # the sender is added to the subject, so that subjects do not gather in a few groups
+    return m.withColumn("subject_key", F.when(F.col("subject_key") != "", F.concat_ws("/", "subject_key", F.col("people")[0])).otherwise(""))
+
+
+@query()
+def threads_chain(spark, sf_dir):
+    return threads.build_threads(_threaded(spark, sf_dir))
+
+
+@query()
+def thread_table(spark, sf_dir):
+    m = _threaded(spark, sf_dir)
+    return threads.thread_table(threads.build_threads(m), m).select("thread_id", "subject", "size", F.array_join("people", ",").alias("people"))
+
+
+# ---- triage and tables ------------------------------------------------------------------
+
+_ASCII = lambda p: p.replace("'", "''")
+_TERMS_SQL = f"len(regexp_extract_all(subject || chr(10) || novel_text, '{_ASCII(triage.OPERATIONAL_TERMS)}'))"
+_BODY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(novel_text, '{_ASCII(p)}') THEN '{n}'" for n, p in triage.NOISE_BODIES) + " END"
+_SUBJ_SQL = "CASE " + " ".join(f"WHEN regexp_matches(subject, '{_ASCII(p)}') THEN '{n}'" for n, p in triage.NOISE_SUBJECTS) + " END"
+_TRIAGE_SQL = f"""WITH {MESSAGES_SQL},
+t AS (SELECT *, {_TERMS_SQL} AS terms, {_BODY_SQL} AS body_noise, {_SUBJ_SQL} AS subject_noise, regexp_matches(sender, '{_ASCII(triage.AUTOMATED_SENDERS)}') AS auto,
+        trim(novel_text) = '' AS bare, regexp_matches(subject, '{_ASCII(triage.ATTACHMENT_ONLY)}') AS file FROM messages),
+c AS (SELECT msg_uid, terms,
+   CASE WHEN bare THEN 'ack' WHEN body_noise IS NOT NULL THEN 'noise' WHEN subject_noise IS NOT NULL AND terms < 3 THEN 'noise' WHEN auto AND terms < 2 THEN 'automated' ELSE 'operational' END AS category,
+   CASE WHEN bare AND file THEN 'attachment-only message: subject names a file, body empty' WHEN bare THEN 'empty body' WHEN body_noise IS NOT NULL THEN 'body matches ' || body_noise
+        WHEN subject_noise IS NOT NULL AND terms < 3 THEN 'subject matches ' || subject_noise WHEN auto AND terms < 2 THEN 'automated sender, no operational vocabulary'
+        ELSE 'default: unmatched by any noise rule' END AS reason,
+   array_to_string(list_filter([CASE WHEN auto THEN 'automated_sender' END, CASE WHEN bare THEN CASE WHEN file THEN 'attachment_only' ELSE 'empty_body' END END,
+     CASE WHEN NOT bare AND body_noise IS NULL AND subject_noise IS NOT NULL AND terms >= 3 THEN 'noise_subject_overridden:' || subject_noise END], lambda f: f IS NOT NULL), ',') AS flags FROM t)"""
+
+
+@query(_TRIAGE_SQL + " SELECT msg_uid, category, reason, terms::INT AS operational_terms, flags FROM c")
+def triage_case(spark, sf_dir):
+    return triage.classify(messages(spark, sf_dir)).select("msg_uid", "category", "reason", "operational_terms", F.array_join("flags", ",").alias("flags"))
+
+
+@query(_TRIAGE_SQL + " SELECT category, count(*) AS messages, count(*) FILTER (category = 'operational' OR reason LIKE 'attachment-only%') AS operational FROM c GROUP BY category")
+def triage_counts(spark, sf_dir):
+    return triage.triage_counts(triage.classify(messages(spark, sf_dir)))
+
+
+@query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
+t AS (SELECT doc_id, n, n - row_number() OVER (PARTITION BY doc_id ORDER BY n) AS island FROM l WHERE length(line) >= 40),
+r AS (SELECT doc_id, min(n) AS first_line, count(*) AS rows FROM t GROUP BY doc_id, island)
+SELECT doc_id, first_line::INT AS first_line, rows FROM r QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY rows DESC, first_line) = 1""")
+def line_runs(spark, sf_dir):
+    return tables.longest_runs(table(spark, sf_dir, "documents"), "doc_id", "text", 1, lambda line: F.length(line) >= 40)
+
+
+def _lines(spark, sf_dir):
+    """A table-shaped text for each supplier, built from its line items."""
+    li = table(spark, sf_dir, "lineitem").where("l_suppkey % 5 = 0")
+    line = F.concat_ws("  ", *[F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")], F.col("l_quantity").cast("long").cast("string"), F.concat(F.lit("METER-"), F.col("l_orderkey").cast("string")))
+    parts = F.array_sort(F.collect_list(F.struct("l_orderkey", "l_linenumber", line.alias("line"))))
+    return li.groupBy("l_suppkey").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("body"))
+
+
+@query("SELECT l_suppkey, 0 AS first_line, count(*) AS rows FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY l_suppkey HAVING count(*) >= 200")
+def table_runs(spark, sf_dir):
+    return tables.longest_runs(_lines(spark, sf_dir), "l_suppkey", "body")
+
+
+_PROOF_SQL = """WITH r AS (SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber) - 1 AS n, l_quantity::BIGINT AS q FROM lineitem),
+z AS (SELECT *, count(*) OVER (PARTITION BY l_suppkey) AS rows FROM r),
+c AS (SELECT l_suppkey, rows, max(q) = min(q) AS same FROM z GROUP BY ALL)"""
+
+
+def _cells(spark, sf_dir):
+    from pyspark.sql import Window
+
+    li = table(spark, sf_dir, "lineitem")
+    n = F.row_number().over(Window.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber")) - 1
+    rows = li.select("l_suppkey", n.alias("n"))
+    values = {"linear": F.col("n") * 3 + 5, "modular": (F.col("n") * 7) % 100, "constant": F.lit("ABC"), "labelled": F.concat(F.lit("M-"), (F.col("n") + 10).cast("string"))}
+    return rows.select("l_suppkey", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("col"), v.cast("string").alias("value")) for k, v in values.items()])).alias("x")).select("l_suppkey", "n", "x.*")
+
+
+@query(_PROOF_SQL + """ SELECT l_suppkey, col, CASE WHEN col = 'constant' THEN 'constant' WHEN col = 'modular' THEN
+   CASE WHEN rows < 3 AND rows > 1 THEN 'none' WHEN rows = 1 THEN 'constant' WHEN rows <= 15 THEN 'linear' WHEN rows > 50 THEN 'modular' ELSE 'none' END
+   WHEN rows >= 3 THEN 'linear' WHEN rows = 1 THEN 'constant' ELSE 'none' END AS kind FROM c, (VALUES ('linear'), ('modular'), ('constant'), ('labelled')) v(col)""")
+def table_proof(spark, sf_dir):
+    return tables.column_proof(_cells(spark, sf_dir), ["l_suppkey"]).select("l_suppkey", "col", "kind")
+
+
+@query(_PROOF_SQL + " SELECT l_suppkey, rows >= 3 AS generated FROM c")
+def table_generated(spark, sf_dir):
+    return tables.generated(tables.column_proof(_cells(spark, sf_dir), ["l_suppkey"]), ["l_suppkey"]).select("l_suppkey", "generated")
+
+
+# ---- clusters ---------------------------------------------------------------------------
+
+_WEEK, _MONTH = "strftime(sent_at, '%G-W%V')", "strftime(sent_at, '%Y-%m')"
+_GROUPED_SQL = f"WITH RECURSIVE {RECORDS_SQL}, g AS (SELECT *, task_class || '/' || folder || '/' || (key % 4) AS cluster FROM records)"
+
+
+def _grouped(spark, sf_dir):
+    return records(spark, sf_dir).withColumn("cluster", F.concat_ws("/", "task_class", "folder", (F.col("key") % 4).cast("string")))
+
+
+@query(f"""WITH RECURSIVE {RECORDS_SQL}, t AS (SELECT msg_uid, task_class, list_sort(list_distinct({_TOKENS_SQL})) AS w FROM records),
+s AS (SELECT DISTINCT task_class, w FROM t),
+e AS (SELECT a.task_class, a.w AS u, b.w AS v FROM s a JOIN s b ON a.task_class = b.task_class
+      WHERE len(list_intersect(a.w, b.w)) >= 0.5 * (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))),
+r AS (SELECT task_class, u AS vertex, u AS label FROM e UNION SELECT r.task_class, e.v, r.label FROM r JOIN e ON e.u = r.vertex AND e.task_class = r.task_class),
+c AS (SELECT task_class, vertex, min(label) AS root FROM r GROUP BY ALL)
+SELECT msg_uid, min(msg_uid) OVER (PARTITION BY t.task_class, root) AS cluster FROM t JOIN c ON c.vertex = t.w AND c.task_class = t.task_class""")
+def cluster_components(spark, sf_dir):
+    return clusters.phrase_components(records(spark, sf_dir))
+
+
+@query()
+def cluster_linkage(spark, sf_dir):
+    return clusters.linkage_clusters(records(spark, sf_dir))
+
+
+@query(_GROUPED_SQL + f""", k AS (SELECT cluster, count(*) AS messages, count(DISTINCT novel_hash) AS distinct_content, count(DISTINCT sender) AS senders, count(DISTINCT thread_id) AS threads,
+  count(DISTINCT {_MONTH}) AS months, count(DISTINCT {_WEEK}) AS weeks, count(DISTINCT folder) AS folders FROM g GROUP BY cluster),
+p AS (SELECT cluster, count(DISTINCT person) AS people FROM (SELECT cluster, unnest(participants) AS person FROM g) GROUP BY cluster)
+SELECT *, distinct_content >= 8 AND (senders >= 2 OR messages >= 15) AND months >= 3 AND weeks >= 3 AND threads >= 4 AS passed FROM k JOIN p USING (cluster)""")
+def cluster_gate(spark, sf_dir):
+    return clusters.gate(clusters.metrics(_grouped(spark, sf_dir))).drop("failed_gates")
+
+
+@query(_GROUPED_SQL + " SELECT cluster, " + ", ".join(f"round(avg({s}::INT), 4) AS {s.replace('_signal', '_rate')}" for s in clusters.SIGNALS) + " FROM g GROUP BY cluster")
+def signal_rates(spark, sf_dir):
+    return clusters.signal_rates(_grouped(spark, sf_dir))
+
+
+@query(_GROUPED_SQL + """, v AS (SELECT cluster, unnest(systems) AS value FROM g), c AS (SELECT cluster, value, count(*) AS n FROM v GROUP BY ALL)
+SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value)::INT AS place FROM c""")
+def histograms(spark, sf_dir):
+    return clusters.histogram(_grouped(spark, sf_dir), F.col("systems"))
+
+
+@query(_GROUPED_SQL + f""", t AS (SELECT cluster, {_TOKENS_SQL} AS w FROM g), u AS (SELECT cluster, w[1] AS value, count(*) AS n FROM t GROUP BY ALL),
+verb AS (SELECT cluster, value AS verb FROM u QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value) = 1),
+d AS (SELECT cluster, value, count(*) AS n FROM (SELECT cluster, unnest(list_distinct(w)) AS value FROM t) GROUP BY ALL),
+x AS (SELECT cluster, value, row_number() OVER (PARTITION BY cluster ORDER BY n DESC, value) AS place FROM d),
+k AS (SELECT cluster, list(value ORDER BY place)[1:3] AS words FROM x JOIN verb USING (cluster) WHERE place <= 6 AND value <> verb GROUP BY cluster)
+SELECT cluster, verb, array_to_string(words, ' / ') AS keywords FROM verb LEFT JOIN k USING (cluster)""")
+def label_terms(spark, sf_dir):
+    return clusters.labels(_grouped(spark, sf_dir))
+
+
+@query()
+def exemplars(spark, sf_dir):
+    return clusters.exemplars(_grouped(spark, sf_dir))
+
+
+@query(_GROUPED_SQL + " SELECT cluster, 'proc_' || substr(sha256(max(task_class) || '|' || string_agg(msg_uid, '|' ORDER BY msg_uid)), 1, 10) AS cluster_id FROM g GROUP BY cluster")
+def cluster_ids(spark, sf_dir):
+    return clusters.cluster_ids(_grouped(spark, sf_dir))
+
+
+# ---- estimates --------------------------------------------------------------------------
+
+_MEASURE_SQL = _GROUPED_SQL + f""", q AS (SELECT cluster, thread_id, count(DISTINCT p) AS n FROM (SELECT cluster, thread_id, unnest(participants) AS p FROM g) GROUP BY ALL),
+pm AS (SELECT cluster, trunc(median(n))::INT AS participants_median FROM q GROUP BY cluster),
+ms AS (SELECT cluster, max(task_class) AS task_class, count(DISTINCT thread_id) AS instances, count(*) AS messages, count(sent_at) AS dated_messages,
+  greatest(count(DISTINCT {_MONTH}), 1) AS months, count(DISTINCT sender) AS senders, avg(rework_signal::INT) AS rework_rate, avg(waiting_signal::INT) AS waiting_rate,
+  avg(manual_transfer_signal::INT) AS manual_transfer_rate FROM g GROUP BY cluster),
+me AS (SELECT * FROM ms JOIN pm USING (cluster))"""
+_DIM_SQL = "dim(task_class, band, handle, touch, rework, waiting, share, alpha) AS (VALUES " + ", ".join("('" + r[0] + "', '" + r[1] + "', " + ", ".join(f"{x}::DOUBLE" for x in r[2:]) + ")" for r in estimate.assumption_rows()) + ")"
+_BANDS_SQL = _MEASURE_SQL + f""", {_DIM_SQL}, h AS (SELECT cluster, me.task_class, band, instances, messages,
+  (instances::DOUBLE / (dated_messages::DOUBLE / messages) / greatest(months, 1)) * (handle + (messages::DOUBLE / instances - 1) * touch + rework_rate * rework + waiting_rate * waiting)
+  * (1 + alpha * (greatest(participants_median, 1) - 1)) / 60 AS hours, share FROM me JOIN dim USING (task_class)),
+bands AS (SELECT cluster, task_class, band, instances, messages, hours, hours * share AS automatable_hours, hours * share * 85 AS dollars FROM h)"""
+_ROUNDED = ["hours", "automatable_hours", "dollars"]
+
+
+def _rounded(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@query(_MEASURE_SQL + " SELECT * REPLACE (round(rework_rate, 6) AS rework_rate, round(waiting_rate, 6) AS waiting_rate, round(manual_transfer_rate, 6) AS manual_transfer_rate) FROM me")
+def measure(spark, sf_dir):
+    return _rounded(estimate.measure(_grouped(spark, sf_dir)), ["rework_rate", "waiting_rate", "manual_transfer_rate"])
+
+
+@query(_BANDS_SQL + " SELECT * REPLACE (round(hours, 6) AS hours, round(automatable_hours, 6) AS automatable_hours, round(dollars, 6) AS dollars) FROM bands")
+def estimate_bands(spark, sf_dir):
+    return _rounded(estimate.estimate(estimate.measure(_grouped(spark, sf_dir)), spark), _ROUNDED)
+
+
+@query(_BANDS_SQL + " SELECT band, count(*) AS groups, round(sum(hours), 1) AS hours, round(sum(dollars), 4) AS dollars FROM bands GROUP BY band")
+def totals(spark, sf_dir):
+    found = estimate.totals(estimate.estimate(estimate.measure(_grouped(spark, sf_dir)), spark))
+    return found.withColumn("dollars", F.round("dollars", 4))
+
+
+@query()
+def exact_dollars(spark, sf_dir):
+    return estimate.with_exact_dollars(estimate.measure(_grouped(spark, sf_dir))).select("cluster", "dollars_exact")
+
+
+@query(_GROUPED_SQL + """, f AS (SELECT cluster AS finding, msg_uid FROM g UNION ALL SELECT 'sender/' || sender, msg_uid FROM g)
+SELECT a.finding, b.finding AS other, count(*) AS shared FROM f a JOIN f b ON a.msg_uid = b.msg_uid AND a.finding < b.finding GROUP BY ALL""")
+def overlaps(spark, sf_dir):
+    g = _grouped(spark, sf_dir)
+    both = g.select(F.col("cluster").alias("finding"), "msg_uid").unionByName(g.select(F.concat(F.lit("sender/"), F.col("sender")).alias("finding"), "msg_uid"))
+    return estimate.overlaps(both)
+
+
+# ---- claims -----------------------------------------------------------------------------
+
+
+def _findings(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_custkey")
+    rows = o.groupBy("o_custkey").agg(F.count("*").alias("instances"), F.count_distinct(text.month_key(F.col("o_orderdate"))).alias("months"), F.round(F.sum("o_totalprice") / 10000, 2).alias("dollars"))
+    return rows.select(
+        F.concat(F.lit("f"), F.lpad(k.cast("string"), 9, "0")).alias("finding"), "instances", "months", "dollars",
+        (k % 9).cast("int").alias("citations"), (k % 5).cast("int").alias("cited_messages"), (k % 3).cast("int").alias("cited_senders"), F.least(k % 9, k % 4).cast("int").alias("strong"),
+        F.when(k % 6 == 0, "incoherent").when(k % 6 < 3, "tight").otherwise("loose").alias("coherence"), F.when(k % 8 == 0, "none").otherwise("sop").alias("shape"),
+    )
+
+
+_FINDINGS_SQL = """WITH b AS (SELECT o_custkey AS k, count(*) AS instances, count(DISTINCT strftime(o_orderdate, '%Y-%m')) AS months, round(sum(o_totalprice) / 10000, 2) AS dollars FROM orders GROUP BY 1),
+f AS (SELECT 'f' || lpad(k::VARCHAR, 9, '0') AS finding, instances, months, dollars, k % 9 AS citations, k % 5 AS cited_messages, k % 3 AS cited_senders, least(k % 9, k % 4) AS strong,
+        CASE WHEN k % 6 = 0 THEN 'incoherent' WHEN k % 6 < 3 THEN 'tight' ELSE 'loose' END AS coherence, CASE WHEN k % 8 = 0 THEN 'none' ELSE 'sop' END AS shape FROM b),
+c AS (SELECT *, CASE WHEN citations < 3 OR cited_messages < 2 OR (cited_senders < 2 AND instances < 15) THEN 'quarantined' WHEN (citations - strong) / citations > 0.4 OR strong = 0 OR coherence = 'incoherent' THEN 'low_confidence' ELSE 'counted' END AS status,
+        CASE WHEN coherence = 'tight' AND strong >= 3 AND cited_senders >= 2 AND months >= 4 THEN 'high' WHEN coherence = 'incoherent' OR strong = 0 THEN 'low' ELSE 'medium' END AS confidence FROM f)"""
+
+
+def _claimed(spark, sf_dir):
+    f = _findings(spark, sf_dir)
+    c = F.col("coherence")
+    return f.withColumn("status", claims.status(c, F.col("instances"))).withColumn("confidence", claims.confidence(c, F.col("cited_senders"), F.col("months")))
+
+
+@query(_FINDINGS_SQL + " SELECT finding, status, confidence FROM c")
+def claim_gate(spark, sf_dir):
+    return _claimed(spark, sf_dir).select("finding", "status", "confidence")
+
+
+@query(_FINDINGS_SQL + " SELECT finding, row_number() OVER (ORDER BY CASE status WHEN 'counted' THEN 1 WHEN 'low_confidence' THEN 2 ELSE 3 END, dollars DESC, finding)::INT AS place FROM c")
+def rank_findings(spark, sf_dir):
+    return claims.ranked(_claimed(spark, sf_dir)).select("finding", "place")
+
+
+@query(_FINDINGS_SQL + """, r AS (SELECT *, status <> 'counted' OR confidence = 'low' OR shape = 'none' OR citations < 5 OR cited_messages < 4 OR instances < 6 OR months < 3 AS bad FROM c),
+p AS (SELECT *, CASE WHEN bad THEN 'rejected' WHEN dollars >= 55 THEN 'fit' ELSE 'near' END AS pool FROM r),
+n AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY dollars DESC, finding) AS m, row_number() OVER (PARTITION BY pool ORDER BY citations DESC, dollars DESC, finding) AS e FROM p)
+SELECT finding, CASE WHEN pool = 'rejected' THEN 'rejected' WHEN pool = 'fit' THEN CASE WHEN m <= 6 THEN 'selected' ELSE 'capped' END WHEN e = 1 THEN 'near_miss' ELSE 'short' END AS choice FROM n""")
+def rank_topk(spark, sf_dir):
+    return claims.select_artifacts(_claimed(spark, sf_dir)).select("finding", "choice")
+
+
+@query("""WITH c AS (SELECT l_suppkey AS finding, 'c' || l_partkey AS citation_id, min(l_linenumber * 1000000 + l_orderkey) AS priority FROM lineitem GROUP BY ALL)
+SELECT finding, citation_id, priority, row_number() OVER (PARTITION BY finding ORDER BY priority, citation_id)::INT AS place FROM c QUALIFY place <= 8""")
+def top_citations(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return claims.top_citations(li.select(F.col("l_suppkey").alias("finding"), F.concat(F.lit("c"), F.col("l_partkey").cast("string")).alias("citation_id"), (F.col("l_linenumber") * 1000000 + F.col("l_orderkey")).alias("priority")))
+
+
+@query("""WITH p AS (SELECT o_custkey, o_orderkey, row_number() OVER w - 1 AS n, greatest(count(*) OVER (PARTITION BY o_custkey) // 8, 1) AS k FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey))
+SELECT o_custkey, o_orderkey, (n // k + 1)::INT AS place FROM p WHERE n % k = 0 AND n // k < 8""")
+def spread_sample(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
+    return claims.spread_sample(rows, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "place")
+
+
+@query()
+def seeded_sample(spark, sf_dir):
+    return claims.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 25, 7)
+
+
+# ---- sets and coverage ------------------------------------------------------------------
+
+
+@query("""SELECT 'union' AS kind, doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'intersect', doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'except', doc_id FROM (SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels)
+UNION ALL SELECT 'concat', doc_id FROM (SELECT doc_id FROM labels WHERE quality = 1 UNION ALL SELECT doc_id FROM labels WHERE toxic = 1)""")
+def set_ops(spark, sf_dir):
+    labels_ = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    good, toxic = labels_.where("quality = 1").select("doc_id"), labels_.where("toxic = 1").select("doc_id")
+    named = lambda kind, df: df.select(F.lit(kind).alias("kind"), "doc_id")
+    out = named("union", good.union(toxic).distinct()).union(named("intersect", good.intersect(toxic)))
+    return out.union(named("except", docs.join(labels_, "doc_id", "left_anti").distinct())).union(named("concat", good.union(toxic)))
+
+
+@query("""WITH m AS (SELECT doc_id % 20 AS f, doc_id FROM documents), c AS (SELECT DISTINCT doc_id FROM m WHERE f % 3 = 0), o AS (SELECT doc_id FROM labels WHERE quality = 1)
+SELECT count(c.doc_id) AS attributed, count(*) AS operational, round(count(c.doc_id) / count(*), 4) AS share FROM o LEFT JOIN c USING (doc_id)""")
+def attribution(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("finding"), F.col("doc_id").alias("msg_uid"))
+    statuses = spark.range(20).select(F.col("id").alias("finding"), F.when(F.col("id") % 3 == 0, "counted").otherwise("quarantined").alias("status"))
+    return claims.attribution(docs, statuses, table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("msg_uid")))
+
+
+@query("""SELECT d.doc_id AS msg_uid, l.doc_id IS NOT NULL AS extracted, CASE WHEN l.doc_id IS NULL THEN CASE WHEN d.doc_id % 10 = 0 THEN 'throttled' ELSE 'stage_deadline' END END AS reason
+FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)""")
+def coverage(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("msg_uid"))
+    reasons = docs.where("msg_uid % 10 = 0").withColumn("reason", F.lit("throttled"))
+    return claims.coverage(docs, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("msg_uid")), reasons)
+
+
+@query("""WITH w AS (SELECT doc_id, doc_id IN (SELECT doc_id FROM labels) AS done FROM documents)
+SELECT doc_id, done, CASE WHEN NOT done THEN (row_number() OVER (PARTITION BY done ORDER BY doc_id) - 1) // 32 END AS unit FROM w""")
+def work_units(spark, sf_dir):
+    work = table(spark, sf_dir, "documents").select(F.lit("extract").alias("stage"), F.col("doc_id").alias("key"))
+    known = table(spark, sf_dir, "labels").select(F.lit("extract").alias("stage"), F.col("doc_id").alias("key"))
+    done, todo = store.split_work(work, known)
+    rows = done.select("key", F.lit(True).alias("done"), F.lit(None).cast("long").alias("unit")).unionByName(store.batches(todo, ["key"]).select("key", F.lit(False).alias("done"), F.col("unit").cast("long")))
+    return rows.withColumnRenamed("key", "doc_id")
+
+
+# ---- evidence and guards ----------------------------------------------------------------
+
+
+@query("""SELECT doc_id, item_id, instr(d.text, b.text) - 1 AS start, length(d.text[:instr(d.text, b.text) - 1]) - length(replace(d.text[:instr(d.text, b.text) - 1], chr(10), '')) + 1 AS line_start
+FROM documents d, benchmark b WHERE contains(d.text, b.text) AND b.text <> ''""")
+def anchor_exact(spark, sf_dir):
+    quotes = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
+    found = evidence.exact_places(quotes, table(spark, sf_dir, "documents").select("doc_id", "text"))
+    lines = text.line_bounds(F.col("text"), F.col("start"), F.col("start") + 1)
+    return found.select("doc_id", "item_id", "start", lines["line_start"].alias("line_start"))
+
+
+@query()
+def decode_qp(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select("page_id", F.replace("html", F.lit("é"), F.lit("=E9")).alias("raw"))
+    d = decode.decoded(F.col("raw"), F.lit("quoted-printable"))
+    return p.withColumn("d", d).select("page_id", F.sha2("d.text", 256).alias("text_sha"), F.size("d.runs").alias("runs"))
+
+
+@query()
+def anchor_folded(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("raw"))
+    quote = F.upper(F.replace(F.substring("raw", 11, 80), F.lit(" "), F.lit("  ")))
+    d = docs.withColumn("d", decode.decoded(F.col("raw"), F.lit("7bit"))).withColumn("quote", quote)
+    a = evidence.anchored(F.col("quote"), F.col("raw"), F.col("d.text"), F.col("d.runs"), F.lit(0))
+    return d.select("doc_id", a.alias("a")).select("doc_id", "a.*")
+
+
+_GUARD_SQL = " OR ".join(f"regexp_matches(novel_text, '{_ASCII(p)}')" for p in guard.FORBIDDEN_VALUES)
+
+
+@query(f"WITH {MESSAGES_SQL} SELECT msg_uid, {_GUARD_SQL} AS states_quantity FROM messages")
+def guard_scan(spark, sf_dir):
+    return messages(spark, sf_dir).select("msg_uid", guard.states_quantity(F.col("novel_text")).alias("states_quantity"))
+
+
+@query("""WITH w AS (SELECT doc_id // 32 AS unit, doc_id FROM documents), g AS (SELECT doc_id // 32 AS unit, doc_id + (doc_id % 100 = 3)::INT * 1000000 AS doc_id FROM documents WHERE doc_id % 50 <> 1 UNION ALL SELECT doc_id // 32, doc_id FROM documents WHERE doc_id % 70 = 2),
+c AS (SELECT unit, doc_id, count(*) AS n FROM g GROUP BY ALL)
+SELECT unit, doc_id, CASE WHEN n IS NULL THEN 'omitted' WHEN w.doc_id IS NULL THEN 'unknown' ELSE 'duplicate' END AS problem FROM w FULL JOIN c USING (unit, doc_id) WHERE n IS NULL OR w.doc_id IS NULL OR n > 1""")
+def guard_batches(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select(F.floor(F.col("doc_id") / 32).alias("unit"), "doc_id")
+    moved = F.when(F.col("doc_id") % 100 == 3, F.col("doc_id") + 1000000).otherwise(F.col("doc_id")).alias("doc_id")
+    got = d.where("doc_id % 50 <> 1").select("unit", moved).union(d.where("doc_id % 70 = 2"))
+    return guard.batch_problems(d, got, "unit", "doc_id")
+
+
+@query("""WITH p AS (SELECT l_orderkey AS k, sum(l_quantity) AS v FROM lineitem GROUP BY 1), r AS (SELECT k, v + (k % 100 = 7)::INT AS v FROM p WHERE k % 50 <> 3)
+SELECT CASE WHEN r.k IS NULL THEN 'not recomputed' WHEN abs(p.v - r.v) > 0.005 THEN 'differs' ELSE 'agrees' END AS problem, count(*) AS rows FROM p LEFT JOIN r USING (k) GROUP BY 1""")
+def verify_checks(spark, sf_dir):
+    p = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.sum("l_quantity").alias("v"))
+    r = p.where("k % 50 <> 3").select("k", (F.col("v") + (F.col("k") % 100 == 7).cast("int")).alias("v"))
+    return verify.checks(p, r, "k", "v", 0.005)
+
+
+@query(_BANDS_SQL + " SELECT cluster, max(dollars) FILTER (band = 'low') AS low FROM bands GROUP BY cluster HAVING NOT (max(dollars) FILTER (band = 'low') <= max(dollars) FILTER (band = 'base') AND max(dollars) FILTER (band = 'base') <= max(dollars) FILTER (band = 'high'))")
+def verify_bands(spark, sf_dir):
+    return verify.bands_in_order(estimate.estimate(estimate.measure(_grouped(spark, sf_dir)), spark), "cluster").select("cluster", "low")

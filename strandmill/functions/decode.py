@@ -79,14 +79,17 @@ def to_raw(runs: list[Run], start: int, end: int, base: int = 0) -> tuple[int, i
     return base + first, base + last
 
 
-@F.pandas_udf(DECODED)
-def decoded(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
-    """``struct<text, runs>`` of a raw body."""
+def _decoded(raw: pd.Series, encoding: pd.Series) -> pd.DataFrame:
     rows = [decode_body(r or "", e) for r, e in zip(raw, encoding, strict=True)]
     names = ("out_start", "out_len", "raw_start", "raw_len")
     return pd.DataFrame({"text": [t for t, _ in rows], "runs": [[dict(zip(names, x, strict=True)) for x in runs] for _, runs in rows]})
 
 
+def decoded(raw: Column, encoding: Column) -> Column:
+    """``struct<text, runs>`` of a raw body."""
+    return F.pandas_udf(_decoded, DECODED)(raw, encoding)
+
+
 def raw_range(runs: Column, start: Column, end: Column, base: Column) -> Column:
     """``to_raw`` on columns, without a UDF."""
     solid = F.filter(runs, lambda r: r["out_len"] > 0)

@@ -45,12 +45,18 @@ def groups(duplicates: DataFrame) -> DataFrame:
     return duplicates.groupBy("canonical_uid", "reason").agg(listed.alias("duplicate_uids"))
 
 
-def shingle_set(text: Column, width: int = SHINGLE) -> Column:
-    """Distinct word shingles; a shorter text is one shingle, an empty one has none."""
-    words = F.split(fold(F.lower(F.coalesce(text, F.lit("")))), " ")
-    windows = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))
-    whole = F.array_join(words, " ")
-    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(words) < width, F.array(whole)).otherwise(F.array_distinct(windows))
+def words_of(text: Column) -> Column:
+    return F.split(fold(F.lower(F.coalesce(text, F.lit("")))), " ")
+
+
+def shingle_set(words: Column, width: int = SHINGLE) -> Column:
+    """Distinct hashes of word shingles; a shorter text is one shingle, an empty one has none.
+
+    ``words`` must be a column of its own, not an expression: it is read once for each shingle.
+    """
+    windows = F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.xxhash64(F.slice(words, i, width)))
+    none = F.array().cast("array<bigint>")
+    return F.when(F.array_join(words, "") == "", none).when(F.size(words) < width, F.array(F.xxhash64(words))).otherwise(F.array_distinct(windows))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -65,11 +71,11 @@ def near_candidates(messages: DataFrame, block: str = "subject_key", text: str =
     only texts of at least 25 words. The time condition is part of the join key in
     windows of its own length, so a block is not paired with itself as a whole.
     """
-    sized = messages.where(F.col(block) != "").withColumn("block_size", F.count("*").over(Window.partitionBy(block)))
-    long_ = sized.where(F.col("block_size").between(2, MAX_BLOCK) & (F.size(F.split(fold(F.col(text)), " ")) >= MIN_WORDS))
+    sized = messages.where(F.col(block) != "").withColumn("words", words_of(F.col(text))).withColumn("block_size", F.count("*").over(Window.partitionBy(block)))
+    long_ = sized.where(F.col("block_size").between(2, MAX_BLOCK) & (F.size("words") >= MIN_WORDS))
     rank = F.row_number().over(Window.partitionBy(block).orderBy(*_rank_columns()))
     seconds = F.unix_seconds(F.col("sent_at").cast("timestamp"))
-    ranked = long_.select("msg_uid", block, rank.alias("n"), seconds.alias("s"), shingle_set(F.col(text)).alias("set"))
+    ranked = long_.select("msg_uid", block, rank.alias("n"), seconds.alias("s"), shingle_set(F.col("words")).alias("set"))
     slot = F.coalesce(F.floor(F.col("s") / SAME_MOMENT_SECONDS), F.lit(-1))
     left = ranked.withColumn("slot", F.explode(F.when(F.col("s").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(slot - 1, slot, slot + 1))))
     right = ranked.select(*(F.col(c).alias(f"{c}_b") for c in ranked.columns)).withColumn("slot", F.coalesce(F.floor(F.col("s_b") / SAME_MOMENT_SECONDS), F.lit(-1)))

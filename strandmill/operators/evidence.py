@@ -89,8 +89,7 @@ def anchor(quote: str | None, raw: str, text: str, runs: list[Run], base: int =
     return fail("no_anchor")
 
 
-@F.pandas_udf(ANCHOR)
-def anchored(quote: pd.Series, raw: pd.Series, text: pd.Series, runs: pd.Series, base: pd.Series) -> pd.DataFrame:
+def _anchored(quote: pd.Series, raw: pd.Series, text: pd.Series, runs: pd.Series, base: pd.Series) -> pd.DataFrame:
     names = ["raw_start", "raw_end", "decoded_start", "decoded_end", "tier", "repaired", "error"]
     rows = []
     for q, r, t, m, b in zip(quote, raw, text, runs, base, strict=True):
@@ -101,6 +100,11 @@ def anchored(quote: pd.Series, raw: pd.Series, text: pd.Series, runs: pd.Series,
     return frame
 
 
+def anchored(quote: Column, raw: Column, text: Column, runs: Column, base: Column) -> Column:
+    """``ANCHOR`` struct of each quote in its own source."""
+    return F.pandas_udf(_anchored, ANCHOR)(quote, raw, text, runs, base)
+
+
 def exact_places(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: str = "text", words: int = 8) -> DataFrame:
     """Where whole quotes stand in texts: every pair with the 0-based start, without pairing each quote with each text.
 
@@ -116,7 +120,8 @@ def exact_places(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text
     keyed = keyed.withColumn("_n", F.least(F.col("_n"), F.size("_w") - 2))
     sizes = [r["_n"] for r in keyed.where("_key IS NOT NULL").select("_n").distinct().collect()]
     w = texts.withColumn("_w", pieces(F.col(text)))
-    grams = [F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i, n=n: F.xxhash64(F.slice("_w", i, F.lit(n)))) for n in sizes]
+    windows = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, F.lit(n))))
+    grams = [windows(n) for n in sizes]
     keys = F.array_distinct(F.flatten(F.array(*grams))) if grams else F.array().cast("array<bigint>")
     met = w.withColumn("_key", F.explode(keys)).drop("_w").join(keyed.drop("_w"), "_key")
     at = F.expr(f"locate({quote}, {text})")

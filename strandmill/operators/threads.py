@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +56,7 @@ def build_threads(messages: DataFrame, key: str = "subject_key") -> DataFrame:
         pdf = pdf.sort_values(["micros", "path"], kind="stable")
         home = chain(list(zip(pdf["micros"] / 1e6, pdf["is_reply"], pdf["people"], strict=True)))
         subject = pdf["subject"].iloc[0]
-        grouped = pdf["msg_uid"].groupby(home)
+        grouped = pdf["msg_uid"].groupby(np.array(home))
         ids = {k: thread_id(subject, list(v)) for k, v in grouped}
         return pd.DataFrame({"msg_uid": pdf["msg_uid"], "thread_id": [ids[k] for k in home], "subject": subject})
 
