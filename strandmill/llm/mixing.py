@@ -106,12 +106,12 @@ def mixture(rows: DataFrame, goals: DataFrame, ceiling: int = 2, steps: int = 40
     cells = durable(rows.where("size > 0").groupBy("source", "size").agg(F.count("*").alias("rows")))
     ends = cells.groupBy("source").agg(F.max("size").alias("scale"), F.min("size").alias("least"))
     state = goals.join(ends.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
-    share = F.col("target") / F.col("source_size")
+    share = F.when((F.col("source_size") > 0) & (F.col("target") > 0), F.col("target") / F.greatest(F.col("source_size"), F.lit(1)))
     bound = F.col("scale") / F.col("least")
     state = state.withColumns(
         {
             "full": F.coalesce(F.col("target") >= F.col("source_size") * F.lit(float(ceiling)), F.lit(True)),
-            "low": F.when(share < 1, F.log(share) * bound).otherwise(F.lit(0.0)) - 1,
+            "low": F.when(share < 1, F.log(F.coalesce(share, F.lit(1.0))) * bound).otherwise(F.lit(0.0)) - 1,
             "high": F.when(share > 1, math.log(ceiling) * bound).otherwise(F.lit(0.0)) + 1,
             "tilt": F.lit(0.0),
             "settled": F.lit(False),

@@ -25,7 +25,7 @@ def digits(value: Column) -> Column:
 
 
 def _octets(value: Column, _: Column) -> Column:
-    return F.forall(F.split(value, r"\."), lambda p: F.ltrim(F.lit("0"), p).rlike("^(|[0-9]|[0-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
+    return F.forall(F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0")).rlike("^(|[0-9]|[0-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])$"))
 
 
 def _card(value: Column, _: Column) -> Column:
