@@ -6,8 +6,9 @@ class, known by a hash of the set, and only classes are joined. Two classes link
 ``e = n - ceil(0.8 n)`` shingles of its partner.
 
 1. A table of fixed size counts how many sets hold the shingles of each of its buckets. It
-   splits shingles into rare ones and levels of frequent ones. Any total order is right for
-   prefixes; this one puts rare shingles first.
+   ranks shingles and tells rare from frequent ones. Any total order is right for
+   prefixes; this one puts the rarest first, so that passages that many texts share
+   come last and stay out of most prefixes.
 2. Among the first e + 1 shingles of both partners lies their first common shingle, among the
    first e + 2 their second. So each set indexes the rare shingles of its first e + 1 singly,
    and of its first e + 2 all pairs of frequent ones: two sets that share no rare shingle
@@ -15,9 +16,10 @@ class, known by a hash of the set, and only classes are joined. Two classes link
    just below do both, so partners always have one way in common.
 3. Index entries that one class alone holds are dropped. In each of the others every class is
    first compared with one hub; classes that are connected by verified links need no further
-   comparison. After ``hub_rounds`` rounds, entries that still hold unconnected classes
-   compare all of these, so components are exact while a group of near copies costs
-   about one comparison a member.
+   comparison. After ``hub_rounds`` rounds, entries of few classes compare all pairs that are
+   still unconnected. Classes of larger entries form groups, which are compared block by
+   block inside tasks; only a forest of new connections leaves these. So components are exact,
+   and no group of near copies is expanded into pairs.
 4. Candidates pass an exact bound on their overlap from bitmaps of 1024 bits, then a count of common
    shingles.
 
@@ -25,7 +27,7 @@ Nulls: a null text has an empty set and stays alone; a null id is ignored in the
 a component of null ids has a null id. Repeated rows and ids each get their row. Texts of
 fewer than five words have one shingle, the whole sequence. An empty table gives an empty
 result. Memory follows the block size or the longest text; tables of buckets have a fixed
-size (16 MB each, documented by ``BITS``). Of two different sets with one 64-bit hash the smaller
+size (``2**BITS`` buckets of one byte, 32 MB). Of two different sets with one 64-bit hash the smaller
 would be lost; below 10**8 documents the chance of any is under one in 3,000.
 """
 
@@ -38,7 +40,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +49,7 @@ from strandmill.operators.graph import connected_components
 from strandmill.session import durable, ship, table
 
 WIDTH = 5
-BITS = 24
+BITS = 25
 RANGES = 256
 FAN_IN = 256
 PAIR_SIZE = 320
@@ -127,15 +129,15 @@ class _Counter:
 
     def add(self, buckets: np.ndarray) -> None:
         if self.counts is None:
-            self.counts = np.zeros(1 << BITS, np.int32)
+            self.counts = np.zeros(1 << BITS, np.uint8)
         values, many = np.unique(buckets, return_counts=True)
-        self.counts[values] += many.astype(np.int32)
+        self.counts[values] = np.minimum(self.counts[values] + many, 255)
 
     def rows(self) -> pd.DataFrame:
         if self.counts is None:
             return pd.DataFrame({"range": pd.Series(dtype="int32"), "task": pd.Series(dtype="int32"), "counts": pd.Series(dtype=object)}).astype({"counts": "bytes"})
         task = TaskContext.get().partitionId()
-        parts = [zlib.compress(x.tobytes(), 1) for x in np.split(self.counts, RANGES)]
+        parts = [zlib.compress(x.astype("<u2").tobytes(), 1) for x in np.split(self.counts, RANGES)]
         return pd.DataFrame({"range": np.arange(RANGES, dtype=np.int32), "task": np.full(RANGES, task, np.int32), "counts": parts})
 
 
@@ -145,8 +147,8 @@ COUNTS = "range int, task int, counts binary"
 def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
     total = np.zeros((1 << BITS) // RANGES, np.int64)
     for blob in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), np.int32)
-    total = np.minimum(total, 2**31 - 1).astype(np.int32)
+        total += np.frombuffer(zlib.decompress(blob), "<u2")
+    total = np.minimum(total, 65535).astype("<u2")
     return pd.DataFrame({"range": pdf["range"].iloc[:1], "task": pdf["task"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
 
 
@@ -156,9 +158,9 @@ def _bucket_table(partial: DataFrame, tasks: int) -> np.ndarray:
         partial = partial.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
         partial = partial.groupBy("range", "task").applyInPandas(_summed, COUNTS)
         tasks = -(-tasks // FAN_IN)
-    out = np.zeros((RANGES, (1 << BITS) // RANGES), np.int32)
-    for row in partial.toLocalIterator():
-        out[row["range"]] += np.frombuffer(zlib.decompress(row["counts"]), np.int32)
+    out = np.zeros((RANGES, (1 << BITS) // RANGES), np.uint16)
+    for row in partial.collect():
+        out[row["range"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u2")
     return out.reshape(-1)
 
 
@@ -166,8 +168,13 @@ def _bucket(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
 
 
-def levels(df: DataFrame, text: str) -> np.ndarray:
-    """Level of each bucket: 0 for rare shingles, else by the logarithm of how many sets hold them."""
+def _rank(counts: np.ndarray) -> np.ndarray:
+    """Counts up to 128 as they are, larger ones in eighths of an octave."""
+    return np.where(counts < 128, counts, (128 + 8 * np.log2(np.maximum(counts, 128) / 128)).astype(np.int64)).astype(np.uint8)
+
+
+def levels(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
+    """Rank of each bucket, by how many sets hold its shingles, and the rank from which shingles are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -180,21 +187,21 @@ def levels(df: DataFrame, text: str) -> np.ndarray:
 
     texts = df.select(text)
     counts = _bucket_table(texts.mapInArrow(run, COUNTS), max(2, texts.rdd.getNumPartitions()))
-    often = 4 * counts.mean() + 32
-    return np.where(counts < often, 0, 1 + np.log2(np.maximum(counts, 1) / often).clip(0, 200)).astype(np.uint8)
+    often = np.array([4 * counts.mean(dtype=np.float64) + 32])
+    return np.concatenate([_rank(part) for part in np.split(counts, RANGES)]), int(_rank(often)[0])
 
 
-def signatures(sets: Sets, level: np.ndarray, pair_size: int) -> pd.DataFrame:
-    """Index entries ``(token, ref)`` of the prefixes of a block of sets."""
+def signatures(sets: Sets, level: np.ndarray, often: int, pair_size: int) -> pd.DataFrame:
+    """Index entries ``(token, ref, n)`` of the prefixes of a block of sets."""
     rank = level[_bucket(sets.hash)]
     order = np.argsort(rank, kind="stable")
     order = order[np.argsort(sets.doc[order].astype(np.uint16) if len(sets.n) < 65536 else sets.doc[order], kind="stable")]
     hashes, rank, doc = sets.hash[order], rank[order], sets.doc
     place, spread = np.arange(len(doc)) - sets.off[doc], _spread(sets.n)
-    head, rare = place <= spread[doc], rank == 0
+    head, rare = place <= spread[doc], rank < often
     alone = head & (rare | (sets.n[doc] > 0.8 * pair_size))
     token = mix(hashes[alone] ^ np.uint64(0x5851F42D4C957F2D))
-    parts, refs = [token], [sets.ref[doc[alone]]]
+    parts, owners = [token], [doc[alone]]
     often = np.flatnonzero(~rare & (place <= spread[doc] + 1) & (sets.n[doc] <= pair_size))
     if len(often):
         owner, begin, many = np.unique(doc[often], return_index=True, return_counts=True)
@@ -204,8 +211,9 @@ def signatures(sets: Sets, level: np.ndarray, pair_size: int) -> pd.DataFrame:
                 a, b = np.triu_indices(k, 1)
                 # both partners see the same order of levels and hashes, so a pair has one form
                 parts.append(mix(own[a] * np.uint64(0xDA942042E4DD58B5) + mix(own[b])))
-                refs.append(np.full(len(a), sets.ref[d]))
-    return pd.DataFrame({"token": np.concatenate(parts).view(np.int64), "ref": np.concatenate(refs)})
+                owners.append(np.full(len(a), d))
+    owner = np.concatenate(owners)
+    return pd.DataFrame({"token": np.concatenate(parts).view(np.int64), "ref": sets.ref[owner], "n": sets.n[owner].astype(np.int32)})
 
 
 def classes_of(df: DataFrame, keep: list[str], text: str) -> DataFrame:
@@ -311,37 +319,128 @@ def links(df: DataFrame, text: str, pair_size: int = PAIR_SIZE, hub_rounds: int
     """``(vertex, component)`` for every class that links with another one."""
     spark = df.sparkSession
     level = spark.sparkContext.broadcast(levels(df, text))
-    index = _each_sets(df, text, "token long, ref long", lambda sets: signatures(sets, level.value, pair_size))
-    shared = index.groupBy("token").agg(F.min("ref").alias("low"), F.max("ref").alias("high")).where("low != high")
+    index = _each_sets(df, text, "token long, ref long, n int", lambda sets: signatures(sets, *level.value, pair_size))
+    ends = [f(F.struct("ref", "n")).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
+    shared = index.groupBy("token").agg(*ends, F.count("*").alias("rows")).where("low.ref <> high.ref")
+    # of two sets alone, sizes tell whether they can link
+    shared = shared.where((F.col("rows") > 2) | _near(F.col("low.n"), F.col("high.n")))
     entries = durable(index.join(shared.select("token"), "token", "left_semi").distinct())
     sets = needed_sets(df, text, durable(entries.select("ref").distinct()))
-    entries = durable(entries.join(sets.select("ref", "n"), "ref").withColumn("label", F.col("ref")))
+    entries = entries.withColumn("label", F.col("ref"))
     edges, labels, done = None, None, None
-    near = lambda x, y: (5 * F.least(x, y) >= 4 * F.greatest(x, y))
-    for number in range(hub_rounds + 1):
-        if number < hub_rounds:
-            # another hub each round: the class whose label hashes lowest
-            pick = F.struct(F.xxhash64("label", F.lit(number)).alias("x"), "n", "ref", "label")
-            hubs = entries.groupBy("token").agg(F.min(pick).alias("hub"))
-            met = entries.join(hubs, "token").select("ref", "n", "label", *(F.col(f"hub.{c}").alias(f"{c}2") for c in ("ref", "n", "label")))
-        else:
-            other = entries.select("token", *(F.col(c).alias(f"{c}2") for c in ("ref", "n", "label")))
-            met = entries.join(other, "token").where("ref < ref2")
-        met = met.where((F.col("label") != F.col("label2")) & near(F.col("n"), F.col("n2")))
-        pairs = met.select(F.least("ref", "ref2").alias("a"), F.greatest("ref", "ref2").alias("b")).distinct()
-        pairs = durable(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+    for number in range(hub_rounds):
+        # another hub each round: the class whose label hashes lowest
+        pick = F.struct(F.xxhash64("label", F.lit(number)).alias("x"), "n", "ref", "label")
+        hubs = entries.groupBy("token").agg(F.min(pick).alias("hub"))
+        met = entries.join(hubs, "token").select("ref", "n", "label", *(F.col(f"hub.{c}").alias(f"{c}2") for c in ("ref", "n", "label")))
+        pairs = _pairs(met, done)
         done = pairs if done is None else done.union(pairs)
         new = verify(pairs, sets)
         edges = new if edges is None else edges.union(new)
         labels = durable(connected_components(edges, "a", "b"))
-        entries = entries.drop("label").join(labels.withColumnRenamed("vertex", "ref"), "ref", "left")
-        entries = entries.withColumn("label", F.coalesce("component", "ref")).drop("component")
-        if number < hub_rounds:
-            open_ = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-            entries = durable(entries.join(open_.select("token"), "token", "left_semi"))
-            if not entries.limit(1).count():
-                break
-    return labels
+        entries = _relabel(entries, labels)
+        open_ = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
+        entries = durable(entries.join(open_.select("token"), "token", "left_semi"))
+    if not entries.limit(1).count():
+        return labels
+    held = durable(entries.groupBy("token").agg(F.count("*").alias("held"), F.min("ref").alias("hub")))
+    few = entries.join(held.where(F.col("held") <= FEW), "token").drop("held", "hub")
+    other = few.select("token", *(F.col(c).alias(f"{c}2") for c in ("ref", "n", "label")))
+    edges = edges.union(verify(_pairs(few.join(other, "token").where("ref < ref2"), done), sets))
+    stars = entries.join(held.where(F.col("held") > FEW), "token").select(F.col("ref").alias("src"), F.col("hub").alias("dst"))
+    groups = connected_components(stars).select(F.col("vertex").alias("ref"), F.col("component").alias("g"))
+    nodes = durable(groups.join(sets.select("ref", "n", "sketch"), "ref"))
+    edges = _within_groups(nodes, sets, edges)
+    return durable(connected_components(edges, "a", "b"))
+
+
+FEW, CELL, FOREST_ROUNDS = 32, 1024, 6
+
+
+def _near(x: Column, y: Column) -> Column:
+    return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
+
+
+def _pairs(met: DataFrame, done: DataFrame | None) -> DataFrame:
+    """Distinct pairs of unconnected classes of near sizes, those compared before left out."""
+    met = met.where((F.col("label") != F.col("label2")) & _near(F.col("n"), F.col("n2")))
+    pairs = met.select(F.least("ref", "ref2").alias("a"), F.greatest("ref", "ref2").alias("b")).distinct()
+    return durable(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+
+
+def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    known = labels.select(F.col("vertex").alias("ref"), "component")
+    return rows.drop("label").join(known, "ref", "left").withColumn("label", F.coalesce("component", "ref")).drop("component")
+
+
+def _within_groups(nodes: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """Links inside large groups of classes that share frequent entries.
+
+    A group is dealt to blocks of about ``CELL`` classes, and a task compares the bitmaps of two
+    blocks in numpy. It hands on only a forest: pairs that would connect classes not yet
+    connected. These are verified exactly; the next round knows which hold and which do not, so
+    the rounds end when no unconnected pair is left that may link. Rows sent are the classes times the blocks of
+    their group, not pairs. After ``FOREST_ROUNDS`` all remaining pairs are handed on at once.
+    """
+    blocks_ = nodes.groupBy("g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("nb"))
+    nodes = durable(nodes.join(blocks_, "g").withColumn("blk", F.pmod(F.xxhash64("ref"), F.col("nb")).cast("int")))
+    failed = None
+    for number in range(FOREST_ROUNDS + 1):
+        labels = durable(connected_components(edges, "a", "b"))
+        rows = _relabel(nodes.withColumn("label", F.col("ref")), labels)
+        spread = rows.withColumn("other_blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        cell = [F.least("blk", "other_blk").alias("bi"), F.greatest("blk", "other_blk").alias("bj")]
+        cells = spread.select("g", *cell, "blk", "ref", "n", "label", "sketch", F.lit(0).cast("long").alias("other"))
+        if failed is not None:
+            side = lambda c: nodes.select(F.col("ref").alias(c), "g", F.col("blk").alias(f"blk_{c}"))
+            known = failed.join(side("a"), "a").join(side("b").drop("g"), "b")
+            known = known.select("g", F.least("blk_a", "blk_b").alias("bi"), F.greatest("blk_a", "blk_b").alias("bj"), F.lit(-1).alias("blk"), F.col("a").alias("ref"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), F.lit(b"").alias("sketch"), F.col("b").alias("other"))
+            cells = cells.unionByName(known)
+        run = _every if number == FOREST_ROUNDS else _forest
+        found = durable(cells.groupBy("g", "bi", "bj").applyInPandas(run, "a long, b long").distinct())
+        if not found.limit(1).count():
+            return edges
+        good = verify(found, sets)
+        edges = edges.union(good)
+        bad = durable(found.join(good, ["a", "b"], "left_anti"))
+        failed = bad if failed is None else failed.union(bad)
+    return edges
+
+
+def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _cell(pdf, False)
+
+
+def _every(pdf: pd.DataFrame) -> pd.DataFrame:
+    return _cell(pdf, True)
+
+
+def _cell(pdf: pd.DataFrame, everything: bool) -> pd.DataFrame:
+    """Pairs of two blocks that may link: all of them, or only such as connect what is not connected."""
+    known = {(min(a, b), max(a, b)) for a, b in pdf.loc[pdf["blk"] < 0, ["ref", "other"]].itertuples(index=False)}
+    rows = pdf[pdf["blk"] >= 0].sort_values(["blk", "ref"])
+    bi, bj = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
+    ref, n, blk = rows["ref"].to_numpy(), rows["n"].to_numpy(np.int64), rows["blk"].to_numpy()
+    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
+    label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
+    left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
+    out = []
+    for i in left.tolist():
+        js = right[right > i] if bi == bj else right
+        js = js[(label[js] != label[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i]))]
+        total = n[js] + n[i]
+        differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        js = js[180 * (total - differ) >= 160 * total]
+        if known:
+            js = js[[(min(ref[i], r), max(ref[i], r)) not in known for r in ref[js]]]
+        while len(js):
+            out.append((min(ref[i], ref[js[0]]), max(ref[i], ref[js[0]])))
+            if everything:
+                js = js[1:]
+            else:
+                label[label == label[js[0]]] = label[i]
+                js = js[label[js] != label[i]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def components(df: DataFrame, keep: list[str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
