@@ -118,3 +118,17 @@ def test_archive_source(spark, tmp_path):
     assert str(one.sent_at) == "2001-04-02 10:00:00" and one.is_reply and one.subject_key == "nom"
     assert rows["box/2."].flags == ["no_usable_date", "no_recipients"]
     assert archive.manifest(archive.raw_files(spark, str(tmp_path))).first().files == 2
+
+
+def test_archive_run(spark, tmp_path):
+    from strandmill.plans import archive_run
+
+    (tmp_path / "box").mkdir()
+    mail = "Message-ID: <{i}>\r\nDate: Mon, {d} Apr 2001 10:00:00 -0500\r\nFrom: a@x.org\r\nTo: b@x.org\r\nSubject: {s}Daily volume report 4/{d}\r\n\r\nvolume and meter\n"
+    for i, (d, s) in enumerate([(2, ""), (2, ""), (3, ""), (4, "RE: "), (5, "")]):
+        (tmp_path / "box" / f"{i}.").write_text(mail.format(i=i, d=d, s=s), newline="")
+    out = archive_run.run(spark, str(tmp_path))
+    assert out["messages"].count() == 5 and out["duplicates"].count() == 1 and out["people"].count() == 2
+    assert out["threads"].select("thread_id").distinct().count() == 3
+    row = out["series"].first()
+    assert (row.template, row.instances, row.replies_excluded) == ("daily volume report <date>", 3, 1)
