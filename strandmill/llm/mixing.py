@@ -203,11 +203,12 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mix_documents(docs: DataFrame, weights: list[float], share: float, ceiling: int = 2) -> DataFrame:
     """The documents themselves, each as often as the mixture takes it, with the columns of ``docs``."""
     ship(docs.sparkSession)
-    found = marked(docs)
-    rows = durable(found.select(F.col("_s").alias("source"), F.col("_n").alias("size"), F.col("_m").alias("mark")))
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    mark = F.xxhash64(*(F.col(f"_row.{c}") for c in ("doc_id", "source", "text")))
+    whole = row.select("_row", F.col("_row.source").alias("source"), words(F.col("_row.text")).alias("size"), mark.alias("mark"))
+    rows = durable(whole.drop("_row"))
     sources = durable(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
     state = mixture(rows, targets(sources, weights, share, ceiling), ceiling)
-    whole = found.select(F.struct(*docs.columns).alias("_row"), F.col("_s").alias("source"), F.col("_n").alias("size"), F.col("_m").alias("mark"))
     taken = copies(whole, state, ceiling).where("copies > 0")
     taken = taken.select("_row", F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("_copy"))
     return taken.select("_row.*")

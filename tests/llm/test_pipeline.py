@@ -43,6 +43,7 @@ def test_stages_against_brute_force(spark, tmp_path):
     words = lambda r: len((r.text or "").split())
     before, after = kept["secrets"].collect(), kept["mixing"].collect()
     assert max(Counter(r.doc_id for r in after).values()) <= 2
-    assert abs(sum(map(words, after)) - 1.5 * sum(map(words, before))) <= 3 * 4 + 1
+    # what is left of a source is less than a document
+    assert abs(sum(map(words, after)) - 1.5 * sum(map(words, before))) <= 4 * max(map(words, before))
     pieces = Counter(r.doc_id for r in kept["packing"].collect() if r.piece == 0)
     assert pieces == Counter(r.doc_id for r in after)
