@@ -287,20 +287,32 @@ def _bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield f.loc[180 * (n - differ) >= 160 * n, ["a", "b"]]
 
 
-def _exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    def unpack(body: bytes) -> np.ndarray:
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keep pairs that link, by the count of common shingles; bodies are read where Arrow holds them."""
+
+    def bodies(column: pa.Array) -> list[np.ndarray]:
+        column = column.cast(pa.large_binary())
+        _, offsets, data = column.buffers()
+        off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        return [raw[x:y] for x, y in zip(off, off[1:], strict=False)]
+
+    def unpack(body: np.ndarray) -> np.ndarray:
         out = np.zeros((len(body) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(body, np.uint8).reshape(-1, 6)
+        out[:, :6] = body.reshape(-1, 6)
         return out.view("<u8").ravel()
 
-    for f in frames:
-        keep = np.zeros(len(f), bool)
-        for i, (x, y) in enumerate(zip(f["body_a"], f["body_b"], strict=True)):
-            x, y = unpack(x), unpack(y)
-            both = np.sort(np.concatenate([x, y]))
-            common = int((both[1:] == both[:-1]).sum())
-            keep[i] = 100 * common >= 80 * (len(both) - common)
-        yield f.loc[keep, ["a", "b"]]
+    for batch in batches:
+        for start in range(0, batch.num_rows, 512):
+            part = batch.slice(start, 512)
+            at = part.schema.get_field_index
+            keep = np.zeros(part.num_rows, bool)
+            for i, (x, y) in enumerate(zip(bodies(part.column(at("body_a"))), bodies(part.column(at("body_b"))), strict=True)):
+                both = np.concatenate([unpack(x), unpack(y)])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                keep[i] = 100 * common >= 80 * (len(both) - common)
+            yield part.select(["a", "b"]).filter(pa.array(keep))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -312,7 +324,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     slim = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
     likely = durable(slim.mapInPandas(_bound, "a long, b long"))
     whole = likely.join(side("a", "body"), "a").join(side("b", "body"), "b")
-    return durable(whole.mapInPandas(_exact, "a long, b long"))
+    return durable(whole.mapInArrow(_exact, "a long, b long"))
 
 
 def links(df: DataFrame, text: str, pair_size: int = PAIR_SIZE, hub_rounds: int = 2) -> DataFrame:
@@ -468,8 +480,8 @@ def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     keep = keep.groupBy(id_col).agg(F.count("*").alias("_rows"))
     once = keep.where("_rows = 1").select(id_col)
     more = keep.where("_rows > 1").select(id_col)
-    left = docs.join(once.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    rest = docs.join(more.withColumnRenamed(id_col, "_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").dropDuplicates([id_col, text])
+    left = docs.join(once.withColumnRenamed(id_col, "__kept_id"), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
+    rest = docs.join(more.withColumnRenamed(id_col, "__kept_id"), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col, text])
     return left.unionByName(rest)
 
 
