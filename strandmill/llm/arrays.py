@@ -29,7 +29,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each; one long text is a slice of its own."""
     n = batch.num_rows
     _, off = utf8(batch.column(batch.schema.get_field_index(column)))

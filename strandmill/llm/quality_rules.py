@@ -7,7 +7,7 @@ repeat an earlier line. No shuffle takes place: a text's verdict depends on it a
 
 Nulls: a null text counts as empty (no words, hence rejected by the word floor); other
 columns may be null. Repeated rows and ids each get their own row. An empty table gives an
-empty result. Memory follows the block size (about 2 MB of text) or the longest text. Hashes have 64 bits
+empty result. Memory follows the block size (about 0.5 MB of text) or the longest text. Hashes have 64 bits
 and are compared inside one text only.
 """
 
