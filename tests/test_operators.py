@@ -132,3 +132,16 @@ def test_archive_run(spark, tmp_path):
     assert out["threads"].select("thread_id").distinct().count() == 3
     row = out["series"].first()
     assert (row.template, row.instances, row.replies_excluded) == ("daily volume report <date>", 3, 1)
+
+
+def test_table_runs_and_components_read_whole_tables(spark):
+    from strandmill import catalog
+
+    folder = "/root/testdata/sf0.001"
+    sizes = {r.l_suppkey: r["count"] for r in spark.read.parquet(f"{folder}/lineitem.parquet").groupBy("l_suppkey").count().collect()}
+    assert {r.l_suppkey: r.rows for r in catalog.queries()["table_runs"](spark, folder).collect()} == {k: n for k, n in sizes.items() if n >= 200}
+    ids = [r.doc_id for r in spark.read.parquet(f"{folder}/documents.parquet").select("doc_id").collect()]
+    root = {v: v for i in ids for v in (i, 2 * i + 1)}
+    for i in sorted(ids):
+        root[2 * i + 1] = root[i]
+    assert dict(map(tuple, catalog.queries()["components"](spark, folder).collect())) == root
