@@ -29,7 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The same documents, live-looking credentials redacted."""
+    """The same documents, every credential redacted that is not a widely copied example."""
     return redact_secrets(docs)
 
 

@@ -3,7 +3,8 @@
 Patterns propose candidates in whole texts. The hash of each candidate's value is aggregated
 over the corpus by distinct repositories and owners: a value that several owners carry is a
 widely copied example, one that a single owner carries and that looks random is a
-live-looking credential, the rest is shared. Only DataFrame functions are used.
+live-looking credential, the rest is shared. Redaction leaves only widely copied examples.
+Only DataFrame functions are used.
 
 Texts are read once and not shuffled; what travels are candidates. The counts are partial
 sums over (value, owner, repository), and the verdicts are joined back over salted keys, so a value
@@ -89,8 +90,9 @@ MARK = "[REDACTED]"
 
 
 def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` with the values of live-looking credentials replaced by ``MARK``.
+    """The rows of ``docs`` with every candidate replaced by ``MARK`` that is not a widely copied example.
 
+    Neither the look of a value nor a second owner spares it: short values can never look random.
     Texts without candidates pass straight through; only those with candidates are written and joined.
     """
     ship(docs.sparkSession)
@@ -101,8 +103,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", owner: str = "source", r
     )
     slim = durable(slim)
     judged = judge(slim.drop("row"))
-    live = F.filter(F.arrays_zip("spans", "verdicts"), lambda x: x["verdicts"] == "live")
-    cuts = judged.select("rid", F.array_sort(F.transform(live, lambda x: F.struct((x["spans"]["end"] - F.length(x["spans"]["value"])).alias("a"), x["spans"]["end"].alias("b")))).alias("cuts"))
+    secret = F.filter(F.arrays_zip("spans", "verdicts"), lambda x: x["verdicts"] != "example")
+    cuts = judged.select("rid", F.array_sort(F.transform(secret, lambda x: F.struct((x["spans"]["end"] - F.length(x["spans"]["value"])).alias("a"), x["spans"]["end"].alias("b")))).alias("cuts"))
     body = F.col(f"row.{text}")
 
     def step(state: Column, cut: Column) -> Column:

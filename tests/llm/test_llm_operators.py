@@ -177,3 +177,12 @@ def test_classifier_on_held_out_ratings(spark, none):
     scored = quality_classifier.score(docs, model, 3).join(ratings, "doc_id").where("doc_id >= 450").toPandas()
     assert (scored["kept"] == (scored["grade"] == 2)).mean() > 0.9 and (scored["p_ge_1"] >= scored["p_ge_2"]).all()
     assert quality_classifier.fit(docs, ratings.limit(0), 3) is None and quality_classifier.score(none, None, 3).count() == 0
+
+
+def test_redaction_leaves_only_examples(spark):
+    two, short, flat, copied = "q7Wm2Zx9Lp0aRt", "hunter2", "AKIA" + "B" * 16, "sample9999key"
+    bodies = [("a", f"token = '{two}' {flat}"), ("b", f"token = '{two}' and token = '{two}'"), ("a", f"password: {short} then")] + [(s, f"secret={copied}") for s in "abc"]
+    df = spark.createDataFrame([(i, t, "en", s, 1) for i, (s, t) in enumerate(bodies)], DOCS)
+    texts = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
+    m = secret_scan.MARK
+    assert texts == {0: f"token = '{m}' {m}", 1: f"token = '{m}' and token = '{m}'", 2: f"password: {m} then"} | {i: f"secret={copied}" for i in (3, 4, 5)}
