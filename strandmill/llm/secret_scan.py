@@ -23,6 +23,12 @@ from strandmill.llm.spans import Kind, base_only, count_of, duck_joined, duck_sp
 from strandmill.session import durable, ship, table
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+PEM_HEADER = "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+#: From the header through the END line, or to the end of the base64 lines where there is none. Keys share headers, so the body must be in the value.
+PEM = PEM_HEADER + (
+    r"(?:[^-]*+(?:-(?!----)[^-]*+){0,16}+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    r"|(?:\s*+[A-Za-z-]++:[^\n]*+\n){0,4}+(?:(?:\s|\\[nr]){0,8}+[A-Za-z0-9+/=]{16,}+){1,400}+(?:(?:\s|\\[nr]){1,8}+[A-Za-z0-9+/]{1,15}+={0,2}+(?=\s*+$|[\x20\t\r]*+\n|\\[nr]|[\"']))?+)"
+)
 #: The first three are the base kinds; the others are added by this operator.
 KINDS = [
     Kind("assign", ASSIGN, 2, lambda v, s: F.length(v) >= 6),
@@ -31,7 +37,7 @@ KINDS = [
     Kind("forge", "gh[pousr]_[A-Za-z0-9]{36,}+", first=lambda t: t.rlike("gh[pousr]_"), base=False),
     Kind("chat", "xox[abprs]-[A-Za-z0-9-]{10,}+", first=lambda t: F.contains(t, F.lit("xox")), base=False),
     Kind("jwt", r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+", first=lambda t: F.contains(t, F.lit("eyJ")), base=False),
-    Kind("pem", "-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", first=lambda t: F.contains(t, F.lit("PRIVATE KEY")), base=False),
+    Kind("pem", PEM, first=lambda t: F.contains(t, F.lit("PRIVATE KEY")), base=False),
 ]
 EXAMPLE_OWNERS = 3
 LIVE_CHARACTERS = 8
@@ -129,7 +135,9 @@ def op4_sql() -> str:
         ("assign", rf"""({names})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, "length({v}) >= 6"),
         ("access", "AKIA[A-Z0-9]+", 0, "length({v}) >= 20"),
         ("hex", "[0-9a-f]{24,}", 0, "true"),
-        *((k.name, k.pattern.replace("}+", "}"), 0, "true") for k in KINDS[3:]),
+        *((k.name, k.pattern.replace("}+", "}"), 0, "true") for k in KINDS[3:-1]),
+        # the SQL knows a key by its header only
+        ("pem", PEM_HEADER, 0, "true"),
     ]
     every = [f"s{i}" for i in range(len(kinds))]
     return f"""

@@ -186,3 +186,21 @@ def test_redaction_leaves_only_examples(spark):
     texts = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
     m = secret_scan.MARK
     assert texts == {0: f"token = '{m}' {m}", 1: f"token = '{m}' and token = '{m}'", 2: f"password: {m} then"} | {i: f"secret={copied}" for i in (3, 4, 5)}
+
+
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    head, foot = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = lambda c: "\n".join([c * 64] * 3 + [c * 9 + "=="])
+    cases = [f"{head}\n{body(c)}\n{foot}" for c in "QRS"]
+    cases += [f"{head}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n{body('T')}\n{foot}", f"{head}\n{body('U')}", f"{head}\\n{'V' * 64}\\n{foot}"]
+    rows = [(i, f"é {key}\nend", "en", f"s{i}", 1) for i, key in enumerate(cases)]
+    rows += [(20, f"the line {head} opens a key", "en", "s0", 1), (21, head + "\n" + "W" * 200_000, "en", "s0", 1), (22, head * 3_000, "en", "s0", 1), (23, head + "\n" + ("X" * 64 + "\n") * 3_000 + foot, "en", "s0", 1)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = {r.doc_id: r for r in secret_scan.scan(df, ["doc_id"]).collect()}
+    for i, key in enumerate(cases):
+        keys = [(s.value, v) for s, v in zip(found[i].spans, found[i].verdicts, strict=True) if s.kind == "pem"]
+        assert [k for k, _ in keys] == [key] and keys[0][1] != "example"
+    assert not found[20].spans and not found[22].spans
+    texts = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
+    m = secret_scan.MARK
+    assert all(texts[i] == f"é {m}\nend" for i in range(len(cases))) and texts[21] == texts[23] == m and texts[20] == rows[len(cases)][1]
