@@ -63,10 +63,13 @@ def _placed(kind: Kind, nth: int, matches: Column, pieces: Column, near: int) ->
         start = state["at"] + F.length(pair["piece"])
         end = start + F.length(pair["match"])
         # a test on the match alone decides whether the row is kept at all
-        row = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["match"].alias("match"), F.right(pair["piece"], F.lit(near)).alias("before"))
-        return F.struct(end.cast("int").alias("at"), F.concat(state["rows"], F.array(row)).alias("rows"))
+        # the window may reach over earlier matches of the kind, so the end of the text so far is carried on
+        before = F.right(F.concat(state["seen"], pair["piece"]), F.lit(near)) if kind.context else F.lit("")
+        seen = F.right(F.concat(before, pair["match"]), F.lit(near)) if kind.context else F.lit("")
+        row = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["match"].alias("match"), before.alias("before"))
+        return F.struct(end.cast("int").alias("at"), seen.alias("seen"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("rows"))
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("seen"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("rows"))
     rows = F.aggregate(pairs, zero, step, lambda state: state["rows"])
 
     def span(row: Column) -> Column:

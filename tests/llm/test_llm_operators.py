@@ -204,3 +204,12 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     texts = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
     m = secret_scan.MARK
     assert all(texts[i] == f"é {m}\nend" for i in range(len(cases))) and texts[21] == texts[23] == m and texts[20] == rows[len(cases)][1]
+
+
+def test_pii_context_reaches_over_other_numbers(spark):
+    body = "SSN 111-22-3333, 222-33-4444, 333-44-5555, 444-55-6666"
+    df = spark.createDataFrame([(1, body), (2, "é" * 37 + " ssn 111-22-3333")], "doc_id long, text string")
+    rows = {r.doc_id: [s.value for s in r.spans if s.kind == "ssn"] for r in pii.detect(df).collect()}
+    # as op8_sql: the word must stand whole in the 40 code points before the number
+    want = [body[i : i + 11] for i in (4, 17, 30, 43) if "ssn" in body[max(i - 40, 0) : i].lower()]
+    assert rows == {1: want, 2: ["111-22-3333"]} and len(want) == 3
