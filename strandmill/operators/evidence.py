@@ -106,26 +106,27 @@ def anchored(quote: Column, raw: Column, text: Column, runs: Column, base: Colum
 
 
 def exact_places(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: str = "text", words: int = 8) -> DataFrame:
-    """Where whole quotes stand in texts: every pair with the 0-based start, without pairing each quote with each text.
+    """Where whole quotes stand in texts: every pair with the 0-based start, without pairing each long quote with each text.
 
     Quotes and texts meet on the hash of a quote's first words between single blanks; a final search of the text decides.
-    Quotes of fewer words meet on their first word.
+    Quotes of one or two pieces hold no whole word for certain, so these alone are searched in every text.
     """
     pieces = lambda c: F.split(c, "[ \n]")
-    long_ = quotes.withColumn("_w", pieces(F.col(quote))).where(F.length(quote) > 0)
-    lengths = F.when(F.size("_w") > words, words).otherwise(F.greatest(F.size("_w") - 2, F.lit(1)))
+    every = quotes.withColumn("_w", pieces(F.col(quote))).where(F.length(quote) > 0)
+    short, long_ = every.where(F.size("_w") <= 2).drop("_w"), every.where(F.size("_w") > 2)
     # the first and last piece may be cut words, so the key starts behind the first piece
-    keyed = long_.withColumn("_n", lengths).withColumn("_from", F.when(F.size("_w") > 2, 2).otherwise(1))
-    keyed = keyed.withColumn("_key", F.when(F.size("_w") > 2, F.xxhash64(F.slice("_w", F.col("_from"), F.least(F.col("_n"), F.size("_w") - 2)))))
-    keyed = keyed.withColumn("_n", F.least(F.col("_n"), F.size("_w") - 2))
-    sizes = [r["_n"] for r in keyed.where("_key IS NOT NULL").select("_n").distinct().collect()]
+    keyed = long_.withColumn("_n", F.least(F.lit(words), F.size("_w") - 2)).withColumn("_key", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))))
+    sizes = [r["_n"] for r in keyed.select("_n").distinct().collect()]
     w = texts.withColumn("_w", pieces(F.col(text)))
     windows = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, F.lit(n))))
     grams = [windows(n) for n in sizes]
     keys = F.array_distinct(F.flatten(F.array(*grams))) if grams else F.array().cast("array<bigint>")
     met = w.withColumn("_key", F.explode(keys)).drop("_w").join(keyed.drop("_w"), "_key")
+    met = met.drop("_key", "_n")
+    if not short.isEmpty():
+        met = met.unionByName(texts.join(short, F.contains(text, quote)))
     at = F.expr(f"locate({quote}, {text})")
-    return met.withColumn("start", at - 1).where("start >= 0").drop("_key", "_n", "_from")
+    return met.withColumn("start", at - 1).where("start >= 0")
 
 
 def citations(anchors: DataFrame) -> DataFrame:

@@ -145,3 +145,12 @@ def test_table_runs_and_components_read_whole_tables(spark):
     for i in sorted(ids):
         root[2 * i + 1] = root[i]
     assert dict(map(tuple, catalog.queries()["components"](spark, folder).collect())) == root
+
+
+def test_exact_places_of_short_quotes(spark):
+    quotes = ["word pair", "長い引用文", "ne tw", "one two three", "absent", ""]
+    bodies = ["some word pair here", "前置き長い引用文です", "one two three four", "", None]
+    q = spark.createDataFrame([(i, x) for i, x in enumerate(quotes)], "item_id long, quote string")
+    t = spark.createDataFrame([(i, x) for i, x in enumerate(bodies)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.start) for r in evidence.exact_places(q, t).collect())
+    assert got == [(d, i, b.find(x)) for d, b in enumerate(bodies) for i, x in enumerate(quotes) if b and x and x in b]
