@@ -255,9 +255,7 @@ def identity_people(spark, sf_dir):
 
 
 def _threaded(spark, sf_dir):
-    m = messages(spark, sf_dir).select("msg_uid", "path", text.subject_key(F.col("subject")).alias("subject_key"), "sent_at", "is_reply", F.col("participants").alias("people"))
-    # the sender is added to the subject, so that subjects do not gather in a few groups
-    return m.withColumn("subject_key", F.when(F.col("subject_key") != "", F.concat_ws("/", "subject_key", F.col("people")[0])).otherwise(""))
+    return messages(spark, sf_dir).select("msg_uid", "path", text.subject_key(F.col("subject")).alias("subject_key"), "sent_at", "is_reply", F.col("participants").alias("people"))
 
 
 @query()

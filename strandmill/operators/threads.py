@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_GAP_SECONDS = 10 * 86_400
@@ -21,16 +21,19 @@ def chain(rows: list[tuple], most_gap: float = MAX_GAP_SECONDS) -> list[int]:
     """
     last: list[float] = []
     known: list[set] = []
+    live: list[int] = []
     out = []
     for at, reply, people in rows:
         people = set(people)
+        live = [i for i in live if at - last[i] <= most_gap]
         home = None
         if reply:
-            home = next((i for i in range(len(last) - 1, -1, -1) if at - last[i] <= most_gap and known[i] & people), None)
+            home = next((i for i in reversed(live) if known[i] & people), None)
         if home is None:
             home = len(last)
             last.append(at)
             known.append(set())
+            live.append(home)
         last[home] = at
         known[home] |= people
         out.append(home)
@@ -45,7 +48,8 @@ def build_threads(messages: DataFrame, key: str = "subject_key") -> DataFrame:
     """``(msg_uid, thread_id, subject)`` for ``(msg_uid, path, key, sent_at, is_reply, people)``.
 
     Messages without a subject or a date stand alone and skip the grouped step, so an empty
-    subject never gathers in one group.
+    subject never gathers in one group. A subject's timeline is cut at gaps that no reply can
+    bridge, and each part is a group of its own.
     """
     columns = ["msg_uid", "path", F.coalesce(key, F.lit("")).alias("subject"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("micros"), "is_reply", "people"]
     rows = messages.select(*columns)
@@ -60,7 +64,11 @@ def build_threads(messages: DataFrame, key: str = "subject_key") -> DataFrame:
         ids = {k: thread_id(subject, list(v)) for k, v in grouped}
         return pd.DataFrame({"msg_uid": pdf["msg_uid"], "thread_id": [ids[k] for k in home], "subject": subject})
 
-    chained = rows.where(~alone).groupBy("subject").applyInPandas(run, "msg_uid string, thread_id string, subject string")
+    own = Window.partitionBy("subject").orderBy("micros", "path")
+    # a second more than the gap, since the rule compares seconds as floats
+    far = F.coalesce(F.col("micros") - F.lag("micros").over(own) > (MAX_GAP_SECONDS + 1) * 1_000_000, F.lit(False))
+    parts = rows.where(~alone).withColumn("far", far.cast("int")).withColumn("part", F.sum("far").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    chained = parts.drop("far").groupBy("subject", "part").applyInPandas(run, "msg_uid string, thread_id string, subject string")
     return rows.where(alone).select("msg_uid", single.alias("thread_id"), "subject").unionByName(chained)
 
 

@@ -154,3 +154,29 @@ def test_exact_places_of_short_quotes(spark):
     t = spark.createDataFrame([(i, x) for i, x in enumerate(bodies)], "doc_id long, text string")
     got = sorted((r.doc_id, r.item_id, r.start) for r in evidence.exact_places(q, t).collect())
     assert got == [(d, i, b.find(x)) for d, b in enumerate(bodies) for i, x in enumerate(quotes) if b and x and x in b]
+
+
+def test_threads_join_senders_of_one_subject(spark):
+    from collections import defaultdict
+
+    from strandmill import catalog
+
+    m = [r for r in catalog._threaded(spark, "/root/testdata/sf0.001").collect()]
+    by = defaultdict(list)
+    for r in m:
+        if r.subject_key and r.sent_at:
+            by[r.subject_key].append(r)
+    want = {r.msg_uid: (r.msg_uid,) for r in m}
+    for rows in by.values():
+        rows.sort(key=lambda r: (r.sent_at, r.path))
+        opened = []
+        for r in rows:
+            fits = [x for x in opened if r.is_reply and (r.sent_at - x[-1].sent_at).total_seconds() <= threads.MAX_GAP_SECONDS and any(set(y.people) & set(r.people) for y in x)]
+            fits[-1].append(r) if fits else opened.append([r])
+        want |= {r.msg_uid: tuple(sorted(y.msg_uid for y in x)) for x in opened for r in x}
+    senders = {r.msg_uid: r.people[0] for r in m}
+    assert any(len({senders[u] for u in x}) > 1 for x in want.values())
+    found = defaultdict(list)
+    for r in catalog.queries()["threads_chain"](spark, "/root/testdata/sf0.001").collect():
+        found[r.thread_id].append(r.msg_uid)
+    assert {u: tuple(sorted(x)) for x in found.values() for u in x} == want
