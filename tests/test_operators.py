@@ -180,3 +180,26 @@ def test_threads_join_senders_of_one_subject(spark):
     for r in catalog.queries()["threads_chain"](spark, "/root/testdata/sf0.001").collect():
         found[r.thread_id].append(r.msg_uid)
     assert {u: tuple(sorted(x)) for x in found.values() for u in x} == want
+
+
+def test_linkage_weighs_phrases_by_records(spark):
+    import numpy as np
+
+    r = random.Random(5)
+    differ = 0
+    for _ in range(40):
+        phrases = sorted({" ".join(r.choice("abcdef") for _ in range(r.randint(1, 4))) for _ in range(7)})
+        counts = [r.choice([1, 2, 40]) for _ in phrases]
+        every = [i for i, n in enumerate(counts) for _ in range(n)]
+        unit = clusters.tfidf([phrases[i].split() for i in every])
+        label = clusters.average_linkage(1 - unit @ unit.T, 0.72)
+        own = clusters.tfidf([p.split() for p in phrases], counts)
+        assert np.allclose(own[every], unit)
+        got = clusters.average_linkage(1 - own @ own.T, 0.72, counts)[every]
+        same = lambda x: x[:, None] == x[None]
+        assert (same(got) == same(label)).all()
+        even = clusters.tfidf([p.split() for p in phrases])
+        differ += (same(clusters.average_linkage(1 - even @ even.T, 0.72)[every]) != same(label)).any()
+    assert differ
+    df = spark.createDataFrame([("1", "k", ""), ("2", "k", ""), ("3", "k", "send weekly report"), ("4", "k", "send weekly report")], "msg_uid string, task_class string, process_phrase string")
+    assert sorted(map(tuple, clusters.linkage_clusters(df).collect())) == [("1", "1"), ("2", "2"), ("3", "3"), ("4", "3")]
