@@ -188,21 +188,21 @@ r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s IS NULL, s NUL
 SELECT a.source AS subject_key, a.uid AS a, b.uid AS b FROM r a JOIN r b ON a.source = b.source AND a.n < b.n AND ((a.s IS NULL AND b.s IS NULL) OR abs(a.s - b.s) <= 120)
 WHERE len(list_intersect(a.g, b.g)) >= 0.2 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
 def dup_near_jaccard(spark, sf_dir):
-    found = dedupe.near_candidates(_doc_messages(spark, sf_dir)).where(F.col("jaccard") >= 0.2)
+    found = dedupe.near_candidates(_doc_messages(spark, sf_dir), most=None).where(F.col("jaccard") >= 0.2)
     return found.select("subject_key", "a", "b")
 
 
 @query()
 def dup_near_minhash(spark, sf_dir):
     m = dedupe.with_minhash(_doc_messages(spark, sf_dir))
-    pairs = dedupe.near_candidates(m)
+    pairs = dedupe.near_candidates(m, most=None)
     a, b = (m.select(F.col("msg_uid").alias(c), F.col("signature").alias(f"s_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", dedupe.signature_similarity(F.col("s_a"), F.col("s_b")).alias("similarity"))
 
 
 @query()
 def dup_near(spark, sf_dir):
-    return dedupe.near_duplicates(_doc_messages(spark, sf_dir))
+    return dedupe.near_duplicates(_doc_messages(spark, sf_dir), most=None)
 
 
 # ---- identity and threads ---------------------------------------------------------------

@@ -203,3 +203,16 @@ def test_linkage_weighs_phrases_by_records(spark):
     assert differ
     df = spark.createDataFrame([("1", "k", ""), ("2", "k", ""), ("3", "k", "send weekly report"), ("4", "k", "send weekly report")], "msg_uid string, task_class string, process_phrase string")
     assert sorted(map(tuple, clusters.linkage_clusters(df).collect())) == [("1", "1"), ("2", "2"), ("3", "3"), ("4", "3")]
+
+
+def test_near_duplicates_of_large_sources(spark, tmp_path):
+    from strandmill import catalog
+
+    # two copies among more than 400 documents of one source; the others are too short to be compared
+    bodies = [" ".join(f"w{k}" for k in range(40)) if i in (3, 5) else "short" for i in range(450)]
+    spark.createDataFrame([(i, x, "s") for i, x in enumerate(bodies)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    q = catalog.queries()
+    pair = ("000000003", "000000005")
+    assert [(r.a, r.b) for r in q["dup_near_jaccard"](spark, str(tmp_path)).collect()] == [pair]
+    assert [(r.a, r.b, r.similarity) for r in q["dup_near_minhash"](spark, str(tmp_path)).collect()] == [(*pair, 1.0)]
+    assert [(r.msg_uid, r.canonical_uid) for r in q["dup_near"](spark, str(tmp_path)).collect()] == [pair[::-1]]
