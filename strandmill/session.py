@@ -33,15 +33,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as in
-    local tests, a folder of this process is made and set.
+    A cluster names it in ``spark.checkpoint.dir``. Only in local mode, where one machine is
+    all there is, may that be unset: then a folder of this process is made and set.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
-        known = spark.sparkContext.getCheckpointDir()
-        folder = known or tempfile.mkdtemp(prefix="strandmill-")
-        if not known:
-            spark.sparkContext.setCheckpointDir(folder)
+        if not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="strandmill-")
+        context.setCheckpointDir(folder)
     return folder
 
 
@@ -54,4 +55,16 @@ def durable(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/strandmill-{uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._strandmill_path = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``durable`` wrote for ``frames``; only when nothing reads them any more."""
+    for df in frames:
+        path = getattr(df, "_strandmill_path", None)
+        if path:
+            spark = df.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
