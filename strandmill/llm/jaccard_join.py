@@ -5,59 +5,74 @@ class, known by a hash of the set, and only classes are joined. Two classes link
 ``100 * |intersection| >= 80 * |union|``; a set of n shingles may then miss at most
 ``e = n - ceil(0.8 n)`` shingles of its partner.
 
-1. A table of fixed size counts how many sets hold the shingles of each of its buckets. It
-   ranks shingles and tells rare from frequent ones. Any total order is right for
-   prefixes; this one puts the rarest first, so that passages that many texts share
-   come last and stay out of most prefixes.
-2. Among the first e + 1 shingles of both partners lies their first common shingle, among the
-   first e + 2 their second. So each set indexes the rare shingles of its first e + 1 singly,
-   and of its first e + 2 all pairs of frequent ones: two sets that share no rare shingle
-   there share such a pair. Sets of more than ``pair_size`` shingles index frequent ones singly; those
-   just below do both, so partners always have one way in common.
-3. Index entries that one class alone holds are dropped. In each of the others every class is
-   first compared with one hub; classes that are connected by verified links need no further
-   comparison. After ``hub_rounds`` rounds, entries of few classes compare all pairs that are
-   still unconnected. Classes of larger entries form groups, which are compared block by
-   block inside tasks; only a forest of new connections leaves these. So components are exact,
-   and no group of near copies is expanded into pairs.
-4. Candidates pass an exact bound on their overlap from bitmaps of 1024 bits, then a count of common
-   shingles.
+1. Pool: shingles whose hash lies in the lowest ``POOL`` of all hashes. Every set sends its pool
+   shingles (and its next lowest hashes where the pool holds fewer than its prefix needs), and
+   one aggregation counts exactly how many sets hold each. This gives one global order: pool
+   shingles by count, then the others by hash. A shingle that one class alone holds comes first and
+   can never be shared, so it takes its place in the prefix but is not sent on.
+2. Prefixes: the first common shingle of two partners lies among the first e + 1 of both, their
+   first p + 1 common ones among the first e + p + 1. Rare shingles of the first are indexed singly.
+   Frequent ones (a count of ``rare`` or more, and all outside the pool) are indexed as pairs: hashes
+   divide them into p parts, and of p + 1 shingles two lie in one part, so pairs inside parts are
+   enough. With p in proportion to the size of the smaller partner, a set of any size has
+   about 0.6 n pairs. A set indexes with the p of both sizes that a smaller partner may fall in.
+3. Hubs: of each index entry, every class is compared with the least. Entries whose classes
+   are connected by such links are done.
+4. The others are gathered into groups that share entries, and a group is compared block by block
+   inside tasks: a bound from bitmaps of 1024 bits, then the exact count of common shingles. Classes
+   already connected are not compared again, and a block hands on at most a tree of new
+   links. Of a group, classes outside its largest component are dealt to all blocks, those inside it
+   only to blocks with the former. So components are exact, and no group is expanded into pairs.
 
 Nulls: a null text has an empty set and stays alone; a null id is ignored in the minimum, and
 a component of null ids has a null id. Repeated rows and ids each get their row. Texts of
 fewer than five words have one shingle, the whole sequence. An empty table gives an empty
-result. Memory follows the block size or the longest text; tables of buckets have a fixed
-size (``2**BITS`` buckets of one byte, 32 MB). Of two different sets with one 64-bit hash the smaller
-would be lost; below 10**8 documents the chance of any is under one in 3,000.
+result. Memory follows the block size or the longest text. The one table broadcast is a bitmap of at
+most ``2**MARK_BITS`` bits (8 MB); it only saves sending sets that nothing asks for. Of two different
+sets with one 64-bit hash the smaller would be lost; below 10**8 documents the chance of any is under
+one in 3,000.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmill.llm.arrays import WORDS, Text, blocks, mix, prefix_sums, span_hashes, utf8, windows
 from strandmill.operators.graph import connected_components
-from strandmill.session import durable, ship, table
+from strandmill.session import discard, durable, ship, table
 
 WIDTH = 5
-BITS = 25
-RANGES = 256
-FAN_IN = 256
-PAIR_SIZE = 320
+#: Share of all hashes that is counted.
+POOL = 0.3
+#: Shingles of fewer sets are indexed singly.
+RARE = 16
+#: A part of frequent shingles for so many shingles of a set.
+PART = 20
 SKETCH_BITS = 1024
+MARK_BITS = 26
+#: Classes and bytes of a block of a group.
+BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
 
 
-def _spread(k: np.ndarray) -> np.ndarray:
-    return k - (4 * k + 4) // 5
+def _spread(n: np.ndarray) -> np.ndarray:
+    return n - (4 * n + 4) // 5
+
+
+def _parts(n: np.ndarray) -> np.ndarray:
+    """Parts of the frequent shingles for a smaller partner of ``n`` shingles, the same between powers of two."""
+    octave = 1 << np.floor(np.log2(np.maximum(n, 1))).astype(np.int64)
+    return np.maximum(1, octave // PART)
+
+
+def _need(n: np.ndarray) -> np.ndarray:
+    return _spread(n) + _parts(n) + 1
 
 
 class Sets:
@@ -94,225 +109,208 @@ class Sets:
         out.doc = np.repeat(np.arange(len(out.n)), out.n)
         return out
 
-    def fresh(self, seen: set[int]) -> Sets:
-        """The sets that were not met in this task before."""
+    def fresh(self, seen: np.ndarray) -> Sets:
+        """The sets that ``seen``, a table of fixed size, does not hold; repeats that it has forgotten do no harm."""
         keep = np.zeros(len(self.n), bool)
         for i in np.flatnonzero(self.n).tolist():
-            ref = int(self.ref[i])
-            if ref not in seen:
-                seen.add(ref)
-                keep[i] = True
+            at = self.ref[i] & (len(seen) - 1)
+            keep[i] = seen[at] != self.ref[i]
+            seen[at] = self.ref[i]
         return self.only(keep)
 
+    def in_pool(self) -> np.ndarray:
+        return self.hash < np.uint64(int(POOL * 2**64))
+
 
-def _each_sets(df: DataFrame, text: str, schema: str, make: Callable[[Sets], pd.DataFrame | None], last: Callable[[], pd.DataFrame] | None = None) -> DataFrame:
-    """Run ``make`` over the distinct sets of each block of texts."""
+def _each_sets(df: DataFrame, text: str, schema: str, make: Callable[[Sets], pa.RecordBatch | None]) -> DataFrame:
+    """Run ``make`` over the sets of each block of texts, most repeats in a task left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for part in blocks(batch, text):
                 made = make(Sets(*utf8(part.column(0))).fresh(seen))
-                if made is not None:
-                    yield from pa.Table.from_pandas(made, preserve_index=False).to_batches()
-        if last is not None:
-            yield from pa.Table.from_pandas(last(), preserve_index=False).to_batches()
+                if made is not None and made.num_rows:
+                    yield made
 
     return df.select(text).mapInArrow(run, schema)
 
 
-class _Counter:
-    """Counts of buckets, made when the first value comes, so that tasks without rows send nothing."""
-
-    def __init__(self) -> None:
-        self.counts: np.ndarray | None = None
-
-    def add(self, buckets: np.ndarray) -> None:
-        if self.counts is None:
-            self.counts = np.zeros(1 << BITS, np.uint8)
-        values, many = np.unique(buckets, return_counts=True)
-        self.counts[values] = np.minimum(self.counts[values] + many, 255)
-
-    def rows(self) -> pd.DataFrame:
-        if self.counts is None:
-            return pd.DataFrame({"range": pd.Series(dtype="int32"), "task": pd.Series(dtype="int32"), "counts": pd.Series(dtype=object)}).astype({"counts": "bytes"})
-        task = TaskContext.get().partitionId()
-        parts = [zlib.compress(x.astype("<u2").tobytes(), 1) for x in np.split(self.counts, RANGES)]
-        return pd.DataFrame({"range": np.arange(RANGES, dtype=np.int32), "task": np.full(RANGES, task, np.int32), "counts": parts})
-
-
-COUNTS = "range int, task int, counts binary"
-
-
-def _summed(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros((1 << BITS) // RANGES, np.int64)
-    for blob in pdf["counts"]:
-        total += np.frombuffer(zlib.decompress(blob), "<u2")
-    total = np.minimum(total, 65535).astype("<u2")
-    return pd.DataFrame({"range": pdf["range"].iloc[:1], "task": pdf["task"].iloc[:1], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-
-def _bucket_table(partial: DataFrame, tasks: int) -> np.ndarray:
-    """Sum the tables of all tasks, ``FAN_IN`` at a time, and fetch the one that is left (fixed size)."""
-    while tasks > 1:
-        partial = partial.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int"))
-        partial = partial.groupBy("range", "task").applyInPandas(_summed, COUNTS)
-        tasks = -(-tasks // FAN_IN)
-    out = np.zeros((RANGES, (1 << BITS) // RANGES), np.uint16)
-    for row in partial.collect():
-        out[row["range"]] = np.frombuffer(zlib.decompress(row["counts"]), "<u2")
-    return out.reshape(-1)
-
-
-def _bucket(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - BITS)).astype(np.int64)
-
-
-def _rank(counts: np.ndarray) -> np.ndarray:
-    """Counts up to 128 as they are, larger ones in eighths of an octave."""
-    return np.where(counts < 128, counts, (128 + 8 * np.log2(np.maximum(counts, 128) / 128)).astype(np.int64)).astype(np.uint8)
-
-
-def levels(df: DataFrame, text: str) -> tuple[np.ndarray, int]:
-    """Rank of each bucket, by how many sets hold its shingles, and the rank from which shingles are frequent."""
+def classes_of(df: DataFrame, keep: list[str], text: str, names: tuple[str, str, str] = ("n_shingles", "ref", "pooled")) -> DataFrame:
+    """``keep`` of every row with the size of its set, the hash of its set (null if empty) and how many of its shingles lie in the pool."""
+    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField(x, T.LongType()) for x in names])
+    every = list(dict.fromkeys([*keep, text]))
+    # by place, so that no name of the table clashes
+    flat = df.select(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(every)))
+    at = f"c{every.index(text)}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        counter = _Counter()
         for batch in batches:
-            for part in blocks(batch, text):
-                counter.add(_bucket(Sets(*utf8(part.column(0))).fresh(seen).hash))
-        if counter.counts is not None:
-            yield from pa.Table.from_pandas(counter.rows(), preserve_index=False).to_batches()
-
-    texts = df.select(text)
-    counts = _bucket_table(texts.mapInArrow(run, COUNTS), max(2, texts.rdd.getNumPartitions()))
-    often = np.array([4 * counts.mean(dtype=np.float64) + 32])
-    return np.concatenate([_rank(part) for part in np.split(counts, RANGES)]), int(_rank(often)[0])
-
-
-def signatures(sets: Sets, level: np.ndarray, often: int, pair_size: int) -> pd.DataFrame:
-    """Index entries ``(token, ref, n)`` of the prefixes of a block of sets."""
-    rank = level[_bucket(sets.hash)]
-    order = np.argsort(rank, kind="stable")
-    order = order[np.argsort(sets.doc[order].astype(np.uint16) if len(sets.n) < 65536 else sets.doc[order], kind="stable")]
-    hashes, rank, doc = sets.hash[order], rank[order], sets.doc
-    place, spread = np.arange(len(doc)) - sets.off[doc], _spread(sets.n)
-    head, rare = place <= spread[doc], rank < often
-    alone = head & (rare | (sets.n[doc] > 0.8 * pair_size))
-    token = mix(hashes[alone] ^ np.uint64(0x5851F42D4C957F2D))
-    parts, owners = [token], [doc[alone]]
-    often = np.flatnonzero(~rare & (place <= spread[doc] + 1) & (sets.n[doc] <= pair_size))
-    if len(often):
-        owner, begin, many = np.unique(doc[often], return_index=True, return_counts=True)
-        for d, i, k in zip(owner.tolist(), begin.tolist(), many.tolist(), strict=True):
-            if k > 1:
-                own = hashes[often[i : i + k]]
-                a, b = np.triu_indices(k, 1)
-                # both partners see the same order of levels and hashes, so a pair has one form
-                parts.append(mix(own[a] * np.uint64(0xDA942042E4DD58B5) + mix(own[b])))
-                owners.append(np.full(len(a), d))
-    owner = np.concatenate(owners)
-    return pd.DataFrame({"token": np.concatenate(parts).view(np.int64), "ref": sets.ref[owner], "n": sets.n[owner].astype(np.int32)})
-
-
-def classes_of(df: DataFrame, keep: list[str], text: str) -> DataFrame:
-    """``keep`` of every row with ``n_shingles`` and ``ref``, the hash of its set (null if empty)."""
-    schema = T.StructType([df.schema[c] for c in keep] + [T.StructField("n_shingles", T.LongType()), T.StructField("ref", T.LongType())])
+            for part in blocks(batch, at):
+                sets = Sets(*utf8(part.column(part.schema.get_field_index(at))))
+                pooled = np.bincount(sets.doc[sets.in_pool()], minlength=len(sets.n))
+                made = [pa.array(sets.n, pa.int64()), pa.array(sets.ref, mask=sets.n == 0), pa.array(pooled, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *names])
+
+    return flat.mapInArrow(run, schema)
+
+
+def _pool(sets: Sets) -> pa.RecordBatch:
+    place = np.arange(len(sets.doc)) - sets.off[sets.doc]
+    sent = sets.in_pool() | (place < _need(sets.n)[sets.doc])
+    return pa.RecordBatch.from_arrays([pa.array(sets.hash[sent].view(np.int64)), pa.array(sets.ref[sets.doc[sent]])], names=["token", "ref"])
+
+
+def shared_tokens(df: DataFrame, text: str) -> DataFrame:
+    """``(token, ref, sets)``: what sets send, as far as two classes or more share it, with its exact count."""
+    index = _each_sets(df, text, "token long, ref long", _pool)
+    counts = index.groupBy("token").agg(F.min("ref").alias("low"), F.max("ref").alias("high"), F.count("*").cast("int").alias("sets"))
+    common = counts.where("low < high").select("token", "sets")
+    # one row a token here, of a few of all tokens: its hash table needs no sorting of the index
+    return index.join(common.hint("shuffle_hash"), "token")
+
+
+def _pairs_within(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs inside runs of equal keys."""
+    left, right, step = [], [], 1
+    while step < len(key):
+        same = np.flatnonzero(key[step:] == key[:-step])
+        if not len(same):
+            break
+        left.append(same)
+        right.append(same + step)
+        step += 1
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *left]), np.concatenate([none, *right])
+
+
+def signatures(ref: np.ndarray, n: np.ndarray, pooled: np.ndarray, off: np.ndarray, token: np.ndarray, count: np.ndarray, rare: int) -> tuple[np.ndarray, np.ndarray]:
+    """Index entries ``(sig, ref)`` of sets from their shared shingles ``token[off[i]:off[i + 1]]``."""
+    own = np.repeat(np.arange(len(ref)), np.diff(off))
+    pool = token < np.uint64(int(POOL * 2**64))
+    # outside the pool counts are of no meaning: last, by hash
+    count = np.where(pool, count, 1 << 40)
+    order = np.lexsort((token, count, own))
+    own, token, count, pool = own[order], token[order], count[order], pool[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (token[1:] != token[:-1])
+    own, token, count, pool = own[new], token[new], count[new], pool[new]
+    first = np.searchsorted(own, np.arange(len(ref)))
+    alone = pooled - np.bincount(own[pool], minlength=len(ref))
+    place = np.arange(len(own)) - first[own] + alone[own]
+    single = pool & (count < rare) & (place <= _spread(n)[own])
+    sigs, owners = [mix(token[single] ^ np.uint64(0x5851F42D4C957F2D))], [own[single]]
+    # those outside the pool are sent only where they belong to the prefix
+    often = np.flatnonzero(((count >= rare) & (place < _need(n)[own])) | ~pool)
+    parts = _parts(n)
+    smaller = _parts((4 * n + 4) // 5)
+    for p, usable in ((parts, np.ones(len(n), bool)), (smaller, smaller != parts)):
+        at = often[usable[own[often]]]
+        part = ((token[at] >> np.uint64(7)) % p[own[at]].astype(np.uint64)).astype(np.int64)
+        at, part = (x[np.lexsort((token[at], part, own[at]))] for x in (at, part))
+        x, y = _pairs_within(own[at] * (int(p.max(initial=1)) + 1) + part)
+        x, y = at[x], at[y]
+        sigs.append(mix(token[x] * np.uint64(0xDA942042E4DD58B5) + mix(token[y]) + p[own[x]].astype(np.uint64)))
+        owners.append(own[x])
+    return np.concatenate(sigs).view(np.int64), ref[np.concatenate(owners)]
+
+
+def index_entries(tokens: DataFrame, classes: DataFrame, rare: int) -> DataFrame:
+    """``(sig, ref)`` of every class whose prefix holds a shared shingle."""
+    lists = tokens.groupBy("ref").agg(F.collect_list(F.struct("token", "sets")).alias("found"))
+    lists = lists.join(classes.select("ref", "n_shingles", "pooled"), "ref")
+    n = F.col("n_shingles")
+    # a set with more shingles of its own than its prefix takes indexes nothing; the exact places come below
+    spread = n - F.floor((4 * n + 4) / 5)
+    lists = lists.where((F.col("pooled") - F.size("found")) <= spread + F.greatest(n / F.lit(PART), F.lit(1)) + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, text):
-                at = part.schema.get_field_index
-                sets = Sets(*utf8(part.column(at(text))))
-                ref = pa.array(sets.ref, mask=sets.n == 0)
-                arrays = [part.column(at(c)) for c in keep]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(sets.n, pa.int64()), ref], names=[*keep, "n_shingles", "ref"])
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ref, n, pooled = (part.column(i).to_numpy() for i in (0, 2, 3))
+                found = part.column(1)
+                off = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])
+                each = found.flatten()
+                token, count = (each.field(x).to_numpy() for x in ("token", "sets"))
+                sig, owner = signatures(ref, n, pooled, off, token.view(np.uint64), count.astype(np.int64), rare)
+                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner)], names=["sig", "ref"])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return lists.select("ref", "found", "n_shingles", "pooled").mapInArrow(run, "sig long, ref long")
 
 
-def _packed(sets: Sets) -> pd.DataFrame:
-    """Sets as bytes (48 bits a shingle) with bitmaps for the bound on overlaps."""
-    short = (sets.hash >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _packed(sets: Sets) -> pa.RecordBatch:
+    """Sets as bytes with bitmaps for the bound on overlaps."""
     bits = np.zeros((len(sets.n), SKETCH_BITS), np.uint8)
     np.bitwise_xor.at(bits, (sets.doc, (sets.hash & np.uint64(SKETCH_BITS - 1)).astype(np.int64)), 1)
     sketches = np.packbits(bits, axis=1)
-    off = (sets.off * 6).tolist()
-    return pd.DataFrame(
-        {
-            "ref": sets.ref,
-            "n": sets.n.astype(np.int64),
-            "sketch": [x.tobytes() for x in sketches],
-            "body": [short[a:b] for a, b in zip(off, off[1:], strict=False)],
-        }
-    )
+    raw, off = sets.hash.astype("<u8").tobytes(), (sets.off * 8).tolist()
+    bodies = [raw[a:b] for a, b in zip(off, off[1:], strict=False)]
+    columns = [pa.array(sets.ref), pa.array(sets.n, pa.int64()), pa.array([x.tobytes() for x in sketches], pa.binary()), pa.array(bodies, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["ref", "n", "sketch", "body"])
 
 
 def needed_sets(df: DataFrame, text: str, refs: DataFrame) -> DataFrame:
     """``(ref, n, sketch, body)`` of the classes in ``refs``, from one more pass over the texts.
 
-    A bitmap of fixed size keeps most other texts from being sent; the join decides.
+    A bitmap of bounded size keeps most other texts from being sent; the join decides.
     """
+    context = df.sparkSession.sparkContext
+    bits = min(MARK_BITS, max(12, (16 * refs.count()).bit_length()))
+    spot = F.shiftrightunsigned("ref", 64 - bits)
+    marked = refs.select(spot.alias("spot")).selectExpr("cast(spot >> 6 as int) AS word", "shiftleft(1L, cast(spot & 63 as int)) AS bit")
+    words = marked.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << (bits - 6), np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    shared = context.broadcast(bitmap.view(np.uint64))
+
+    def make(sets: Sets) -> pa.RecordBatch | None:
+        at = sets.ref.view(np.uint64) >> np.uint64(64 - bits)
+        wanted = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+        return _packed(sets.only(wanted)) if wanted.any() else None
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _Counter()
-        for batch in batches:
-            if batch.num_rows:
-                counter.add(_bucket(batch.column(0).to_numpy().view(np.uint64)))
-        if counter.counts is not None:
-            yield from pa.Table.from_pandas(counter.rows(), preserve_index=False).to_batches()
+    found = _each_sets(df, text, "ref long, n long, sketch binary, body binary", make)
+    sets = durable(found.join(refs, "ref", "left_semi").dropDuplicates(["ref"]))
+    shared.destroy()
+    return sets
 
-    marks = _bucket_table(refs.select("ref").mapInArrow(mark, COUNTS), max(2, refs.rdd.getNumPartitions()))
-    shared = df.sparkSession.sparkContext.broadcast(np.packbits(marks > 0))
 
-    def make(sets: Sets) -> pd.DataFrame | None:
-        at = _bucket(sets.ref.view(np.uint64))
-        wanted = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
-        return _packed(sets.only(wanted)) if wanted.any() else None
+def _bytes(column: pa.Array) -> list[np.ndarray]:
+    """Values of a binary column as uint64 arrays, read where Arrow holds them."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return [raw[x:y].view("<u8") for x, y in zip(off, off[1:], strict=False)]
 
-    found = _each_sets(df, text, "ref long, n long, sketch binary, body binary", make)
-    return durable(found.join(refs, "ref", "left_semi").dropDuplicates(["ref"]))
 
+def _may_link(differ: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Parity bitmaps differ in at most as many bits as the sets differ in shingles: overlap <= (total - differ) / 2."""
+    return 180 * (total - differ) >= 160 * total
 
-def _bound(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Keep pairs whose bitmaps allow the overlap: parity differs in at most as many bits as the sets differ in shingles."""
-    count = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-    for f in frames:
-        if len(f):
-            a, b = (np.frombuffer(b"".join(f[c]), np.uint8).reshape(len(f), -1) for c in ("sketch_a", "sketch_b"))
-            differ = count[a ^ b].sum(axis=1, dtype=np.int64)
-            n = (f["n_a"] + f["n_b"]).to_numpy()
-            # overlap <= (n - differ) / 2, and 100 * overlap >= 80 * (n - overlap)
-            yield f.loc[180 * (n - differ) >= 160 * n, ["a", "b"]]
 
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")  # merges the two sorted runs
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= 80 * (len(both) - common)
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keep pairs that link, by the count of common shingles; bodies are read where Arrow holds them."""
 
-    def bodies(column: pa.Array) -> list[np.ndarray]:
-        column = column.cast(pa.large_binary())
-        _, offsets, data = column.buffers()
-        off = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1].tolist()
-        raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-        return [raw[x:y] for x, y in zip(off, off[1:], strict=False)]
+def _bound(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            n = batch.column(2).to_numpy() + batch.column(4).to_numpy()
+            a, b = (np.stack(_bytes(batch.column(i))) for i in (3, 5))
+            keep = _may_link(np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64), n)
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
-    def unpack(body: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(body) // 6, 8), np.uint8)
-        out[:, :6] = body.reshape(-1, 6)
-        return out.view("<u8").ravel()
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for start in range(0, batch.num_rows, 512):
-            part = batch.slice(start, 512)
-            at = part.schema.get_field_index
-            keep = np.zeros(part.num_rows, bool)
-            for i, (x, y) in enumerate(zip(bodies(part.column(at("body_a"))), bodies(part.column(at("body_b"))), strict=True)):
-                both = np.concatenate([unpack(x), unpack(y)])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep[i] = 100 * common >= 80 * (len(both) - common)
-            yield part.select(["a", "b"]).filter(pa.array(keep))
+        for start in range(0, batch.num_rows, 256):
+            part = batch.slice(start, 256)
+            keep = [_linked(x, y) for x, y in zip(_bytes(part.column(2)), _bytes(part.column(3)), strict=True)]
+            yield part.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -321,169 +319,159 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     def side(c: str, *columns: str) -> DataFrame:
         return sets.select(F.col("ref").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in columns))
 
-    slim = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b")
-    likely = durable(slim.mapInPandas(_bound, "a long, b long"))
-    whole = likely.join(side("a", "body"), "a").join(side("b", "body"), "b")
+    slim = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(_near(F.col("n_a"), F.col("n_b")))
+    likely = slim.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_bound, "a long, b long")
+    whole = likely.join(side("a", "body"), "a").join(side("b", "body"), "b").select("a", "b", "body_a", "body_b")
     return durable(whole.mapInArrow(_exact, "a long, b long"))
 
 
-def links(df: DataFrame, text: str, pair_size: int = PAIR_SIZE, hub_rounds: int = 2) -> DataFrame:
-    """``(vertex, component)`` for every class that links with another one."""
-    spark = df.sparkSession
-    level = spark.sparkContext.broadcast(levels(df, text))
-    index = _each_sets(df, text, "token long, ref long, n int", lambda sets: signatures(sets, *level.value, pair_size))
-    ends = [f(F.struct("ref", "n")).alias(c) for f, c in ((F.min, "low"), (F.max, "high"))]
-    shared = index.groupBy("token").agg(*ends, F.count("*").alias("rows")).where("low.ref <> high.ref")
-    # of two sets alone, sizes tell whether they can link
-    shared = shared.where((F.col("rows") > 2) | _near(F.col("low.n"), F.col("high.n")))
-    entries = durable(index.join(shared.select("token"), "token", "left_semi").distinct())
-    sets = needed_sets(df, text, durable(entries.select("ref").distinct()))
-    entries = entries.withColumn("label", F.col("ref"))
-    edges, labels, done = None, None, None
-    for number in range(hub_rounds):
-        # another hub each round: the class whose label hashes lowest
-        pick = F.struct(F.xxhash64("label", F.lit(number)).alias("x"), "n", "ref", "label")
-        hubs = entries.groupBy("token").agg(F.min(pick).alias("hub"))
-        met = entries.join(hubs, "token").select("ref", "n", "label", *(F.col(f"hub.{c}").alias(f"{c}2") for c in ("ref", "n", "label")))
-        pairs = _pairs(met, done)
-        done = pairs if done is None else done.union(pairs)
-        new = verify(pairs, sets)
-        edges = new if edges is None else edges.union(new)
-        labels = durable(connected_components(edges, "a", "b"))
-        entries = _relabel(entries, labels)
-        open_ = entries.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high")
-        entries = durable(entries.join(open_.select("token"), "token", "left_semi"))
-    if not entries.limit(1).count():
-        return labels
-    held = durable(entries.groupBy("token").agg(F.count("*").alias("held"), F.min("ref").alias("hub")))
-    few = entries.join(held.where(F.col("held") <= FEW), "token").drop("held", "hub")
-    other = few.select("token", *(F.col(c).alias(f"{c}2") for c in ("ref", "n", "label")))
-    edges = edges.union(verify(_pairs(few.join(other, "token").where("ref < ref2"), done), sets))
-    stars = entries.join(held.where(F.col("held") > FEW), "token").select(F.col("ref").alias("src"), F.col("hub").alias("dst"))
-    groups = connected_components(stars).select(F.col("vertex").alias("ref"), F.col("component").alias("g"))
-    nodes = durable(groups.join(sets.select("ref", "n", "sketch"), "ref"))
-    edges = _within_groups(nodes, sets, edges)
-    return durable(connected_components(edges, "a", "b"))
-
-
-FEW, CELL, FOREST_ROUNDS = 32, 1024, 6
-
-
 def _near(x: Column, y: Column) -> Column:
     return 5 * F.least(x, y) >= 4 * F.greatest(x, y)
 
 
-def _pairs(met: DataFrame, done: DataFrame | None) -> DataFrame:
-    """Distinct pairs of unconnected classes of near sizes, those compared before left out."""
-    met = met.where((F.col("label") != F.col("label2")) & _near(F.col("n"), F.col("n2")))
-    pairs = met.select(F.least("ref", "ref2").alias("a"), F.greatest("ref", "ref2").alias("b")).distinct()
-    return durable(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-
-
-def _relabel(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def links(df: DataFrame, text: str, classes: DataFrame, rare: int = RARE) -> DataFrame:
+    """``(vertex, component)`` for every class that links with another one."""
+    none = df.sparkSession.createDataFrame([], "vertex long, component long")
+    every = durable(index_entries(shared_tokens(df, text), classes, rare))
+    hubs = every.groupBy("sig").agg(F.min("ref").alias("hub"), F.max("ref").alias("last")).where("hub < last")
+    entries = durable(every.join(hubs.select("sig", "hub"), "sig"))
+    refs = durable(entries.select("ref").distinct())
+    discard(every)
+    if refs.isEmpty():
+        return none
+    sets = needed_sets(df, text, refs)
+    stars = entries.where("ref <> hub").select(F.col("ref").alias("a"), F.col("hub").alias("b")).distinct()
+    edges = verify(stars, sets)
+    labels = durable(connected_components(edges, "a", "b"))
     known = labels.select(F.col("vertex").alias("ref"), "component")
-    return rows.drop("label").join(known, "ref", "left").withColumn("label", F.coalesce("component", "ref")).drop("component")
-
-
-def _within_groups(nodes: DataFrame, sets: DataFrame, edges: DataFrame) -> DataFrame:
-    """Links inside large groups of classes that share frequent entries.
-
-    A group is dealt to blocks of about ``CELL`` classes, and a task compares the bitmaps of two
-    blocks in numpy. It hands on only a forest: pairs that would connect classes not yet
-    connected. These are verified exactly; the next round knows which hold and which do not, so
-    the rounds end when no unconnected pair is left that may link. Rows sent are the classes times the blocks of
-    their group, not pairs. After ``FOREST_ROUNDS`` all remaining pairs are handed on at once.
-    """
-    blocks_ = nodes.groupBy("g").agg(F.ceil(F.count("*") / CELL).cast("int").alias("nb"))
-    nodes = durable(nodes.join(blocks_, "g").withColumn("blk", F.pmod(F.xxhash64("ref"), F.col("nb")).cast("int")))
-    failed = None
-    for number in range(FOREST_ROUNDS + 1):
-        labels = durable(connected_components(edges, "a", "b"))
-        rows = _relabel(nodes.withColumn("label", F.col("ref")), labels)
-        spread = rows.withColumn("other_blk", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-        cell = [F.least("blk", "other_blk").alias("bi"), F.greatest("blk", "other_blk").alias("bj")]
-        cells = spread.select("g", *cell, "blk", "ref", "n", "label", "sketch", F.lit(0).cast("long").alias("other"))
-        if failed is not None:
-            side = lambda c: nodes.select(F.col("ref").alias(c), "g", F.col("blk").alias(f"blk_{c}"))
-            known = failed.join(side("a"), "a").join(side("b").drop("g"), "b")
-            known = known.select("g", F.least("blk_a", "blk_b").alias("bi"), F.greatest("blk_a", "blk_b").alias("bj"), F.lit(-1).alias("blk"), F.col("a").alias("ref"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("label"), F.lit(b"").alias("sketch"), F.col("b").alias("other"))
-            cells = cells.unionByName(known)
-        run = _every if number == FOREST_ROUNDS else _forest
-        found = durable(cells.groupBy("g", "bi", "bj").applyInPandas(run, "a long, b long").distinct())
-        if not found.limit(1).count():
-            return edges
-        good = verify(found, sets)
-        edges = edges.union(good)
-        bad = durable(found.join(good, ["a", "b"], "left_anti"))
-        failed = bad if failed is None else failed.union(bad)
-    return edges
-
-
-def _forest(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _cell(pdf, False)
-
-
-def _every(pdf: pd.DataFrame) -> pd.DataFrame:
-    return _cell(pdf, True)
-
-
-def _cell(pdf: pd.DataFrame, everything: bool) -> pd.DataFrame:
-    """Pairs of two blocks that may link: all of them, or only such as connect what is not connected."""
-    known = {(min(a, b), max(a, b)) for a, b in pdf.loc[pdf["blk"] < 0, ["ref", "other"]].itertuples(index=False)}
-    rows = pdf[pdf["blk"] >= 0].sort_values(["blk", "ref"])
-    bi, bj = pdf["bi"].iloc[0], pdf["bj"].iloc[0]
-    ref, n, blk = rows["ref"].to_numpy(), rows["n"].to_numpy(np.int64), rows["blk"].to_numpy()
-    bits = np.frombuffer(b"".join(rows["sketch"]), np.uint64).reshape(len(rows), -1)
-    label = np.unique(rows["label"].to_numpy(), return_inverse=True)[1]
-    left, right = np.flatnonzero(blk == bi), np.flatnonzero(blk == bj)
-    out = []
-    for i in left.tolist():
-        js = right[right > i] if bi == bj else right
-        js = js[(label[js] != label[i]) & (5 * np.minimum(n[js], n[i]) >= 4 * np.maximum(n[js], n[i]))]
-        total = n[js] + n[i]
-        differ = np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64)
-        js = js[180 * (total - differ) >= 160 * total]
-        if known:
-            js = js[[(min(ref[i], r), max(ref[i], r)) not in known for r in ref[js]]]
+    labelled = entries.join(known, "ref", "left").withColumn("label", F.coalesce("component", "ref"))
+    open_ = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    # the hub of an open entry stands for its group
+    spokes = durable(labelled.join(open_.select("sig"), "sig", "left_semi").select("ref", "hub").distinct())
+    discard(entries, refs)
+    if spokes.isEmpty():
+        return labels
+    groups = connected_components(spokes, "ref", "hub").select(F.col("vertex").alias("ref"), F.col("component").alias("g"))
+    nodes = groups.join(known, "ref", "left").withColumn("label", F.coalesce("component", "ref")).drop("component")
+    more = within_groups(durable(nodes.join(sets.select("ref", "n"), "ref")), sets)
+    discard(sets)
+    return durable(connected_components(edges.union(more), "a", "b"))
+
+
+def within_groups(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` between classes of one group ``g`` that do not have one ``label`` yet: a forest for each pair of blocks."""
+    sizes = nodes.groupBy("g", "label").agg(F.count("*").alias("rows"), F.sum("n").alias("bytes"))
+    sizes = sizes.withColumn("bytes", 8 * F.col("bytes") + 256 * F.col("rows"))
+    main = sizes.groupBy("g").agg(
+        F.max(F.struct("rows", "label", "bytes")).alias("most"),
+        F.sum("rows").alias("rows"),
+        F.sum("bytes").alias("bytes"),
+        F.count("*").alias("labels"),
+    ).where("labels > 1")
+    main = main.withColumn("main", F.col("most.label"))
+    count = lambda rows, size: F.ceil(F.greatest(rows / BLOCK_ROWS, size / BLOCK_BYTES)).cast("int")
+    main = main.withColumn("open_blocks", F.greatest(F.lit(1), count(F.col("rows") - F.col("most.rows"), F.col("bytes") - F.col("most.bytes"))))
+    main = durable(main.withColumn("main_blocks", F.greatest(F.lit(1), count(F.col("most.rows"), F.col("most.bytes")))))
+    small = (F.col("rows") <= BLOCK_ROWS) & (F.col("bytes") <= BLOCK_BYTES)
+    held = main.where(small).agg(F.sum("rows").alias("rows"), F.sum("bytes").alias("bytes")).first()
+    shelves = max(1, -(-(held["rows"] or 0) // BLOCK_ROWS), -(-(held["bytes"] or 0) // BLOCK_BYTES))
+    rows = nodes.join(main.select("g", "main", "open_blocks", "main_blocks", small.alias("small")), "g")
+    is_open = F.col("label") != F.col("main")
+    deal = lambda blocks: F.pmod(F.xxhash64("ref"), blocks).cast("int")
+    block = F.when(is_open, deal(F.col("open_blocks"))).otherwise(F.col("open_blocks") + deal(F.col("main_blocks")))
+    last = F.when(is_open, F.col("open_blocks") + F.col("main_blocks")).otherwise(F.col("open_blocks")) - 1
+    # a small group is one cell, and shares its task with others
+    cells = F.when(F.col("small"), F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), last))
+    spread = rows.withColumn("block", F.when(F.col("small"), F.lit(-1)).otherwise(block)).withColumn("other", F.explode(cells))
+    lot = F.when(F.col("small"), F.pmod(F.xxhash64("g"), F.lit(shelves))).otherwise(F.col("g"))
+    spread = spread.select(
+        lot.alias("lot"), F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "g", "ref", "label"
+    )
+    whole = spread.join(sets.select("ref", "n", "sketch", "body"), "ref")
+    columns = ["lot", "bi", "bj", "block", "g", "ref", "label", "n", "sketch", "body"]
+    return durable(whole.select(*columns).groupBy("lot", "bi", "bj").applyInArrow(_cell, "a long, b long"))
+
+
+def _cell(rows: pa.Table) -> pa.Table:
+    """Links between two blocks, or inside one or inside each of several small groups, that connect what is not connected yet."""
+    g, n = rows.column("g").to_numpy(), rows.column("n").to_numpy()
+    order = np.lexsort((rows.column("ref").to_numpy(), n, g))
+    rows = rows.take(pa.array(order))
+    g, n, ref, block, label = (rows.column(c).to_numpy() for c in ("g", "n", "ref", "block", "label"))
+    label = np.unique(label, return_inverse=True)[1]
+    sides = block if rows.num_rows and rows.column("bi")[0] != rows.column("bj")[0] else None
+    sketches, bodies = (_bytes(pa.concat_arrays(rows.column(c).chunks)) for c in ("sketch", "body"))
+    bits = np.stack(sketches)
+    ends = np.searchsorted(g, g, "right")
+    out: list[tuple[int, int]] = []
+    for i in range(len(ref)):
+        # sizes ascend inside a group, and a partner is at most 5 / 4 as large
+        end = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], 5 * int(n[i]) // 4, "right"))
+        near = label[i + 1 : end] != label[i]
+        if sides is not None:
+            near &= sides[i + 1 : end] != sides[i]
+        js = np.flatnonzero(near) + i + 1
+        if not len(js):
+            continue
+        js = js[_may_link(np.bitwise_count(bits[js] ^ bits[i]).sum(axis=1, dtype=np.int64), n[js] + n[i])]
         while len(js):
-            out.append((min(ref[i], ref[js[0]]), max(ref[i], ref[js[0]])))
-            if everything:
-                js = js[1:]
-            else:
-                label[label == label[js[0]]] = label[i]
+            j, js = js[0], js[1:]
+            if _linked(bodies[i], bodies[j]):
+                out.append((int(ref[i]), int(ref[j])))
+                label[label == label[j]] = label[i]
                 js = js[label[js] != label[i]]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+    a, b = ([x[k] for x in out] for k in (0, 1))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _named(rows: DataFrame, df: DataFrame, text: str, id_col: str, rare: int) -> DataFrame:
+    """``(ref, component, least)`` for every class: its component and the least id of its rows."""
+    filled = rows.where("ref IS NOT NULL")
+    classes = filled.groupBy("ref").agg(F.min(id_col).alias("least"), F.max("n_shingles").alias("n_shingles"), F.max("pooled").alias("pooled"))
+    classes = durable(classes)
+    found = links(df, text, classes, rare).withColumnRenamed("vertex", "ref")
+    return durable(classes.select("ref", "least").join(found, "ref", "left").withColumn("component", F.coalesce("component", "ref")))
 
 
-def components(df: DataFrame, keep: list[str], text: str = "text", id_col: str = "doc_id") -> DataFrame:
+def components(df: DataFrame, keep: list[str], text: str = "text", id_col: str = "doc_id", rare: int = RARE) -> DataFrame:
     """``keep`` of every row with ``n_shingles`` and ``component_id``, the least id in its component."""
     rows = durable(classes_of(df, list(dict.fromkeys([*keep, id_col])), text))
-    classes = rows.where("ref IS NOT NULL").groupBy("ref").agg(F.min(id_col).alias("least"))
-    found = links(df, text)
-    labelled = classes.join(found.withColumnRenamed("vertex", "ref"), "ref", "left")
-    labelled = durable(labelled.withColumn("component", F.coalesce("component", "ref")))
-    least = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = labelled.join(least, "component").select("ref", "component_id")
-    out = rows.join(named, "ref", "left")
+    named = _named(rows, df, text, id_col, rare)
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    found = named.join(least, "component").select("ref", "component_id")
     alone = F.when(F.col("ref").isNull(), F.col(id_col)).otherwise(F.col("component_id"))
-    return out.withColumn("component_id", alone).select(*keep, "n_shingles", "component_id")
+    return rows.join(found, "ref", "left").withColumn("component_id", alone).select(*keep, "n_shingles", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row of each component, that with the least id; of rows with that id and one text, one.
+def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id", rare: int = RARE) -> DataFrame:
+    """The rows of ``docs``, of each component one: that with the least id (null ids last), then the least hash of its set, then the least text.
 
-    The documents to go are few next to the corpus; texts of the corpus are joined with their ids.
+    Ids may repeat: rows are known by id and set. Texts without words are linked with nothing and all stay.
     """
     ship(docs.sparkSession)
-    found = durable(components(docs.select(id_col, text), [id_col], text, id_col))
-    keep = found.where(F.col(id_col).eqNullSafe(F.col("component_id")))
-    keep = keep.groupBy(id_col).agg(F.count("*").alias("_rows"))
-    once = keep.where("_rows = 1").select(id_col)
-    more = keep.where("_rows > 1").select(id_col)
-    left = docs.join(once.withColumnRenamed(id_col, "__kept_id"), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi")
-    rest = docs.join(more.withColumnRenamed(id_col, "__kept_id"), F.col(id_col).eqNullSafe(F.col("__kept_id")), "left_semi").dropDuplicates([id_col, text])
-    return left.unionByName(rest)
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    rows = durable(classes_of(slim, ["id"], "text"))
+    named = _named(rows, slim, "text", "id", rare)
+    first = named.groupBy("component").agg(F.min(F.struct(F.col("least").isNull(), "least", "ref")).alias("first"))
+    first = first.select(F.col("first.ref").alias("__ref"), F.col("first.least").alias("__id"))
+    on = F.col("ref").eqNullSafe(F.col("__ref")) & F.col("id").eqNullSafe(F.col("__id"))
+    stay = durable(rows.where("ref IS NOT NULL").join(first, on).groupBy("__ref", "__id").agg(F.count("*").alias("__rows")))
+    names = ("__n", "__own", "__pooled")
+    tagged = classes_of(docs, docs.columns, text, names).drop("__n", "__pooled")
+    empty = F.col("__own").isNull()
+    none = F.lit(None).cast("long")
+    # rows without words have no entry to meet; they pass as a key of their own
+    keys = stay.where("__rows = 1").select("__ref", "__id").withColumn("__empty", F.lit(False))
+    same = F.col("__own").eqNullSafe(F.col("__ref")) & F.col(id_col).eqNullSafe(F.col("__id"))
+    kept = tagged.join(keys, same, "left").where(empty | F.col("__empty").isNotNull()).select(*docs.columns)
+    twice = stay.where("__rows > 1").select("__ref", "__id")
+    if twice.isEmpty():
+        return kept
+    repeats = tagged.join(twice, same, "left_semi").groupBy(F.col(id_col).alias("__id"), "__own")
+    once = repeats.agg(F.min_by(F.struct(*docs.columns), F.struct(text, F.xxhash64(*docs.columns))).alias("row"))
+    return kept.unionByName(once.select("row.*"))
 
 
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the size of its shingle set and the least id of its component, for 5 words and a similarity of 0.8."""
     return components(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
