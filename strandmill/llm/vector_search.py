@@ -4,26 +4,31 @@ Unit vectors are cut into subspaces of two dimensions with 16 centres each, so a
 four bits a subspace. Centres and codes minimise an anisotropic loss (Guo et al., 2020):
 the part of a residual that is parallel to its vector costs ``eta`` times the
 orthogonal part, because it is what changes large inner products. Centres are fitted on a
-bounded sample (``sample_rows`` rows with the least hashes); every row is coded.
+bounded sample (``sample_rows`` rows with the least hashes); every row is coded once, and
+the codes (32 bytes for 64 dimensions) are stored as the index.
 
-Queries meet rows in blocks: rows are dealt to blocks by hash, queries go to every block, and
-a task holds one block of rows and one of queries. Two codes share a byte, so a query scans a table of 256 scores
-for each byte; the best ``rerank`` rows of a block are scored again exactly, in
-double precision on the original vectors, and the ``k`` best of each block are merged for each query.
+The scan reads the index alone: rows are dealt to blocks by hash, queries go to every block,
+and a task holds the codes of one block of rows and one block of queries. Two codes share a byte, so a
+query scans a table of 256 scores for each byte. The best ``rerank`` rows of each block are joined to the
+stored vectors and scored again exactly, in double precision; the ``k`` best remain. Full vectors
+thus move only for queries and candidates.
 
 Nulls: rows whose vector is null, zero, or holds null or non-finite components take no part,
-neither as queries nor as candidates, and so do rows of another length than most. A null id is no query. Ties go to the smaller id; repeated ids are separate candidates, and a
-query skips rows of its own id. An empty table gives an empty result.
+neither as queries nor as candidates. A cosine needs equal lengths, so each length is an index of its own, and
+a query's candidates are the rows of its length. A null id is no query. Ties go to the smaller id; repeated ids are
+separate candidates and separate queries, and a query skips rows of its own id. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.session import table
+from strandmill.session import durable, table
 
 CENTRES = 16
 
@@ -123,9 +128,9 @@ def _units(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Row by row in double precision, in one order of operations, so equal vectors score alike."""
-    q, x = q / np.abs(q).max(), x / np.abs(x).max(axis=1, keepdims=True)
-    return np.einsum("ij,j->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("j,j->", q, q)))
+    """Of pairs of rows in double precision, in one order of operations, so equal vectors score alike."""
+    q, x = (v / np.abs(v).max(axis=1, keepdims=True) for v in (q, x))
+    return np.einsum("ij,ij->i", x, q) / (np.sqrt(np.einsum("ij,ij->i", x, x)) * np.sqrt(np.einsum("ij,ij->i", q, q)))
 
 
 def search(
@@ -134,66 +139,92 @@ def search(
     id_col: str,
     vector: str,
     k: int = 5,
-    rerank: int = 256,
-    block_rows: int = 8192,
+    rerank: int = 128,
+    block_rows: int = 65_536,
     block_queries: int = 1024,
     sample_rows: int = 20_000,
 ) -> DataFrame:
     """``(query_id, rank, id, score)``: the ``k`` nearest rows found for each row of ``queries``, another id than its own."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.where(usable(vector)).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.where(usable(vector) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"))
-    n, m = 0, 0
-    if lengths := rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect():
-        rows, asked = (x.where(F.size("v") == lengths[0]["d"]) for x in (rows, asked))
-        n, m = lengths[0]["count"], asked.count()
-    if not m:
-        return spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).toPandas()
-    _, unit = _units(sample["v"])
-    quantiser = Quantiser.fit(unit)
-    shared = spark.sparkContext.broadcast((quantiser.books, quantiser.eta))
-    row_blocks, query_blocks = -(-n // block_rows), -(-m // block_queries)
-    hashed = lambda blocks, salt: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(blocks)).cast("int")
-    # rows without an id of their own, or repeated ones, spread by position; the block of a row is free
-    left = rows.withColumn("rb", hashed(row_blocks, "row")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    right = asked.withColumn("qb", hashed(query_blocks, "query")).withColumn("rb", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1))))
-    cells = left.select("rb", "qb", "id", "v", F.lit(False).alias("asks")).unionByName(right.select("rb", "qb", "id", "v", F.lit(True).alias("asks")))
+    slim = lambda x: x.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("d"))
+    # written once, so that the number of a row stays what it is
+    rows = durable(slim(df.where(usable(vector))).withColumn("row", F.monotonically_increasing_id()))
+    asked = durable(slim(queries.where(usable(vector) & F.col(id_col).isNotNull())).withColumn("query", F.monotonically_increasing_id()))
+    out = spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
+    counts = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
+    for d, m in sorted((r["d"], r["count"]) for r in asked.groupBy("d").count().collect()):
+        if d in counts:
+            of = [x.where(F.col("d") == d).drop("d") for x in (rows, asked)]
+            found = _search_length(*of, kind, k, rerank, -(-counts[d] // block_rows), -(-m // block_queries), sample_rows)
+            out = out.unionByName(found.withColumnRenamed("id", id_col))
+    return out
+
+
+def build_index(rows: DataFrame, kind: str, sample_rows: int) -> tuple[Quantiser, DataFrame]:
+    """A quantiser fitted on at most ``sample_rows`` of ``(id, v, row)`` and the stored codes ``(row, id, code)`` of all rows."""
+    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).select("v").toPandas()
+    quantiser = Quantiser.fit(_units(sample["v"])[1])
+    shared = rows.sparkSession.sparkContext.broadcast(quantiser)
+
+    def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                codes = shared.value.encode(_units(frame["v"])[1])
+                yield pd.DataFrame({"row": frame["row"], "id": frame["id"], "code": [x.tobytes() for x in codes]})
+
+    codes = durable(rows.select("row", "id", "v").mapInPandas(encode, f"row long, id {kind}, code binary"))
+    shared.destroy()
+    return quantiser, codes
+
+
+def _search_length(rows: DataFrame, asked: DataFrame, kind: str, k: int, rerank: int, row_blocks: int, query_blocks: int, sample_rows: int) -> DataFrame:
+    quantiser, codes = build_index(rows, kind, sample_rows)
+    shared = rows.sparkSession.sparkContext.broadcast(quantiser)
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = codes.select(block("row", row_blocks).alias("rb"), every(query_blocks).alias("qb"), "row", "id", "code", F.lit(None).cast("array<double>").alias("v"))
+    right = asked.select(every(row_blocks).alias("rb"), block("query", query_blocks).alias("qb"), F.col("query").alias("row"), "id", F.lit(None).cast("binary").alias("code"), "v")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        quantiser = Quantiser(*shared.value)
-        q = pdf[pdf["asks"]]
-        x = pdf[~pdf["asks"]].sort_values("id", na_position="last", kind="stable")
-        out = []
+        q = pdf[pdf["v"].notna()]
+        # of rows that tie, those with the least ids are kept
+        x = pdf[pdf["v"].isna()].sort_values(["id", "row"], na_position="last")
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64)})]
         if len(q) and len(x):
-            ids, null = x["id"].to_numpy(), x["id"].isna().to_numpy()
-            raw, unit = _units(x["v"])
-            packed = quantiser.encode(unit)
+            ids, null, place = x["id"].to_numpy(), x["id"].isna().to_numpy(), x["row"].to_numpy(np.int64)
+            packed = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
             for start in range(0, len(q), 64):
                 part = q.iloc[start : start + 64]
-                own, own_unit = _units(part["v"])
-                approximate = quantiser.scores(own_unit, packed)
-                for i, query_id in enumerate(part["id"]):
-                    score = np.where(~null & (ids == query_id), -np.inf, approximate[i])
+                approximate = shared.value.scores(_units(part["v"])[1], packed)
+                for score, query, query_id in zip(approximate, part["row"], part["id"], strict=True):
+                    score = np.where(~null & (ids == query_id), -np.inf, score)
                     if len(score) > rerank:
                         cut = np.partition(score, -rerank)[-rerank]
-                        # of rows that tie at the cut, those with the least ids
-                        best = np.sort(np.concatenate([np.flatnonzero(score > cut), np.flatnonzero(score == cut)])[:rerank])
+                        best = np.concatenate([np.flatnonzero(score > cut), np.flatnonzero(score == cut)])[:rerank]
                     else:
                         best = np.arange(len(score))
                     best = best[score[best] > -np.inf]
-                    exact = cosines(own[i], raw[best])
-                    top = np.argsort(-exact, kind="stable")[:k]
-                    out.append(pd.DataFrame({"query_id": query_id, "id": ids[best[top]], "score": exact[top]}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "id": [], "score": []})
+                    out.append(pd.DataFrame({"query": query, "row": place[best]}))
+        return pd.concat(out, ignore_index=True)
+
+    found = left.unionByName(right).groupBy("rb", "qb").applyInPandas(scan, "query long, row long")
+    near = found.join(rows.select("row", "id", "v"), "row")
+    near = near.join(asked.select("query", F.col("id").alias("query_id"), F.col("v").alias("q")), "query")
+
+    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if len(frame):
+                q, x = (np.stack(frame[c].to_numpy()) for c in ("q", "v"))
+                yield frame[["query", "query_id", "id"]].assign(score=cosines(q, x))
 
-    found = cells.groupBy("rb", "qb").applyInPandas(scan, f"query_id {kind}, id {kind}, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    scored = near.select("query", "query_id", "id", "q", "v").mapInPandas(exact, f"query long, query_id {kind}, id {kind}, score double")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
+    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 
 def op3_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest rows found for every row whose vec_id is divisible by 50, all rows being candidates."""
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return search(rows, rows.where("vec_id % 50 = 0"), "vec_id", "embedding")

@@ -66,6 +66,28 @@ def test_sharding_is_even_with_one_hot_text(spark):
     assert len(sizes) == 8 and sizes.max() - sizes.min() <= 50
 
 
+def test_shards_are_runs_of_keys(spark):
+    """Against a sort on one machine: shards follow each other in key order, slots too, and cuts lie where even ones would."""
+    rng = np.random.default_rng(3)
+    rows = [(int(i) if i % 50 else None, "same" if i % 3 == 0 else "x" * int(rng.integers(0, 400)), "clash") for i in range(5000)]
+    rows += [(7, "twin", "clash")] * 900 + [(8, "y" * 60_000, "clash")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, shard string")
+    hashes = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    found = sharding.shard_records(df, 10).toPandas()
+    by_crc = {zlib.crc32(t.encode()): h for t, h in hashes.items()}
+    found["h"] = found["text_crc32"].map(by_crc)
+    placed = found.sort_values(["shard", "slot"])
+    keys = list(zip(placed["h"], placed["doc_id"].fillna(-(2.0**63)), strict=True))
+    assert keys == sorted(keys) and len(keys) == len(rows)
+    ends = placed.groupby("shard")["size"].sum().cumsum().to_numpy()
+    even = found["size"].sum() / 10
+    assert all((placed.groupby("shard").cumcount() == placed["slot"]).tolist())
+    sizes = found["size"].to_numpy()
+    # a cut may miss its place by half a range: a record, or a thousandth of a shard
+    large = np.array([60_016 if abs(end - (i + 1) * even) > 0.001 * even + sizes[sizes < 1000].max() else 0 for i, end in enumerate(ends)])
+    assert (large > 0).sum() <= 1 and (abs(ends - even * np.arange(1, 11)) <= 30_008 + 0.001 * even).all()
+
+
 def test_packing_round_trip(odd, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
@@ -161,6 +183,30 @@ def test_vector_search_recall_and_bad_vectors(spark):
     assert vector_search.search(df.limit(0), df.limit(0), "vec_id", "embedding").count() == 0
 
 
+def test_vector_recall_at_default_settings(spark):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(40, 64))
+    x = np.concatenate([rng.normal(size=(4000, 64)), centres[rng.integers(0, 40, 4000)] + 0.5 * rng.normal(size=(4000, 64))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), "clash") for i, v in enumerate(x)], "vec_id long, embedding array<float>, score string")
+    found = vector_search.search(df, df.where("vec_id % 100 = 0"), "vec_id", "embedding").toPandas()
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    hits = 0
+    for q in range(0, 8000, 100):
+        score = unit @ unit[q]
+        score[q] = -2
+        own = found[found["query_id"] == q].sort_values("rank")
+        assert own["rank"].tolist() == [1, 2, 3, 4, 5] and np.allclose(own["score"], score[own["vec_id"]], atol=1e-12)
+        hits += len(set(np.argsort(-score)[:5]) & set(own["vec_id"]))
+    assert hits >= 0.95 * 5 * 80
+
+
+def test_vectors_of_two_lengths_are_searched_apart(spark):
+    rows = [(i, [1.0, float(i)]) for i in range(6)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = vector_search.search(df, df, "vec_id", "embedding", k=2).collect()
+    assert len(found) == 24 and all((r.query_id < 10) == (r.vec_id < 10) for r in found)
+
+
 def test_classifier_on_held_out_ratings(spark, none):
     bad, junk = ["vile", "awful", "nasty"], ["$$$", "###"]
     rng = np.random.default_rng(2)
