@@ -1,14 +1,14 @@
 """Secret scans with corpus-wide ownership.
 
 Patterns propose candidates in whole texts. The hash of each candidate's value is aggregated
-over the corpus by distinct repositories and owners: a value that several owners carry is a
-widely copied example, one that a single owner carries and that looks random is a
-live-looking credential, the rest is shared. Redaction leaves only widely copied examples.
-Only DataFrame functions are used.
+over the corpus by distinct repositories and owners: a value that ``EXAMPLE_OWNERS`` owners or more carry is a
+widely copied example; one that a single owner carries in fewer than ``COPIED_REPOS`` repositories and that looks random is a
+live-looking credential; the rest (two owners, an owner's own boilerplate, flat values) is shared. Redaction leaves only widely copied examples.
+Only DataFrame functions are used. A repository is known by its owner and its id; by default each document is one.
 
 Texts are read once and not shuffled; what travels are candidates. The counts are partial
-sums over (value, owner, repository), and the verdicts are joined back over salted keys, so a value
-that a third of all documents hold is spread over many tasks.
+sums over (value, owner, repository), one row a value, and are joined back without salt: a value
+that a third of all documents hold is one row on that side, so adaptive execution can split the other.
 
 Nulls: a null text has no spans; a null owner or repository counts as one of its own. Repeated rows each get
 their own result. An empty table gives an empty result. Values are compared by 64-bit hash.
@@ -40,14 +40,15 @@ KINDS = [
     Kind("pem", PEM, first=lambda t: F.contains(t, F.lit("PRIVATE KEY")), base=False),
 ]
 EXAMPLE_OWNERS = 3
+COPIED_REPOS = 8
 LIVE_CHARACTERS = 8
-SALTS = 32
 
 
-def verdict(owners: Column, value: Column) -> Column:
-    """``example``, ``live`` or ``shared`` from the number of owners and the look of the value."""
+def verdict(owners: Column, repos: Column, value: Column) -> Column:
+    """``example``, ``live`` or ``shared`` from the numbers of owners and repositories and the look of the value."""
     variety = F.size(F.array_distinct(F.regexp_extract_all(value, F.lit("."), F.lit(0))))
-    return F.when(owners >= EXAMPLE_OWNERS, "example").when((owners == 1) & (variety >= LIVE_CHARACTERS), "live").otherwise("shared")
+    own = (owners == 1) & (repos < COPIED_REPOS) & (variety >= LIVE_CHARACTERS)
+    return F.when(owners >= EXAMPLE_OWNERS, "example").when(own, "live").otherwise("shared")
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -57,31 +58,35 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def judge(slim: DataFrame) -> DataFrame:
-    """Add ``verdicts``, one for each of ``spans``, to a table with ``rid`` (unique), ``owner``, ``repo`` and ``spans``."""
+    """Add ``verdicts``, ``owners`` and ``repos``, one for each of ``spans``, to a table with ``rid`` (unique), ``owner``, ``repo`` and ``spans``."""
     each = slim.where(F.size("spans") > 0).select("rid", "owner", "repo", F.posexplode("spans").alias("nth", "span"))
     each = each.select("rid", "owner", "repo", "nth", F.col("span.value").alias("value"), F.xxhash64("span.value").alias("value_hash"))
     counts = ownership(each.select("value_hash", "owner", "repo"))
-    counts = counts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    each = each.withColumn("salt", F.pmod(F.xxhash64("rid"), F.lit(SALTS)).cast("int"))
-    judged = each.join(counts, ["value_hash", "salt"]).select("rid", F.struct("nth", verdict(F.col("owners"), F.col("value")).alias("v")).alias("one"))
-    lists = judged.groupBy("rid").agg(F.transform(F.array_sort(F.collect_list("one")), lambda x: x["v"]).alias("verdicts"))
-    none = F.array().cast("array<string>")
-    return slim.join(lists, "rid", "left").withColumn("verdicts", F.coalesce("verdicts", none))
+    one = F.struct("nth", verdict(F.col("owners"), F.col("repos"), F.col("value")).alias("verdict"), "owners", "repos")
+    judged = each.join(counts, "value_hash").select("rid", one.alias("one"))
+    lists = judged.groupBy("rid").agg(F.array_sort(F.collect_list("one")).alias("judged"))
+    joined_ = slim.drop("owner", "repo").join(lists, "rid", "left")
+    kinds = {"verdict": "array<string>", "owners": "array<bigint>", "repos": "array<bigint>"}
+    # a field of an array of structs is the array of that field
+    made = [F.coalesce(F.col(f"judged.{c}"), F.array().cast(kind)).alias(c) for c, kind in kinds.items()]
+    return joined_.select(*joined_.columns, *made).drop("judged").withColumnRenamed("verdict", "verdicts")
 
 
 def scan(df: DataFrame, keep: list[str], text: str = "text", owner: str = "source", repo: str = "doc_id") -> DataFrame:
-    """``keep`` of every row with ``spans`` and ``verdicts``; texts are dropped before any shuffle."""
+    """``keep`` of every row with ``spans`` and their ``verdicts``, ``owners`` and ``repos``; texts are dropped before any shuffle."""
     found = find(df.select(*dict.fromkeys([*keep, text, owner, repo])), KINDS, text)
     own = F.struct(F.col(owner).alias("owner"), F.col(repo).alias("repo"))
     slim = found.select(F.struct(*keep).alias("kept"), own["owner"].alias("owner"), own["repo"].alias("repo"), "spans")
     slim = durable(slim.withColumn("rid", F.monotonically_increasing_id()))
-    return judge(slim).select("kept.*", "spans", "verdicts")
+    return judge(slim).select("kept.*", "spans", "verdicts", "owners", "repos")
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in all documents, with counts, verdicts by ownership and the widest ownership of a document's values."""
     found = scan(table(spark, sf_dir, "documents"), ["doc_id"])
     counts = [count_of(F.col("spans"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
     of = lambda v: F.size(F.filter("verdicts", lambda x: x == v)).cast("long")
+    most = lambda c: F.coalesce(F.array_max(c), F.lit(0)).cast("long").alias(f"max_{c}")
     return found.select(
         "doc_id",
         *counts,
@@ -89,6 +94,8 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         joined(F.col("spans")).alias("spans"),
         of("live").alias("n_live"),
         of("example").alias("n_example"),
+        most("owners"),
+        most("repos"),
     )
 
 
@@ -144,10 +151,12 @@ def op4_sql() -> str:
     WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),
     {duck_spans(kinds, "rid, doc_id, source")},
     c AS (SELECT rid, doc_id, source, unnest(list_concat({", ".join(every)})).v AS v FROM f),
-    o AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS owners FROM c GROUP BY v),
-    n AS (SELECT rid, count(*) FILTER (owners = 1 AND len(list_distinct(regexp_extract_all(v, '.'))) >= {LIVE_CHARACTERS}) AS n_live,
+    o AS (SELECT v, count(DISTINCT source) + max((source IS NULL)::INT) AS owners, count(DISTINCT {{'o': source, 'r': doc_id}}) AS repos FROM c GROUP BY v),
+    n AS (SELECT rid, max(owners) AS max_owners, max(repos) AS max_repos,
+                 count(*) FILTER (owners = 1 AND repos < {COPIED_REPOS} AND len(list_distinct(regexp_extract_all(v, '.'))) >= {LIVE_CHARACTERS}) AS n_live,
                  count(*) FILTER (owners >= {EXAMPLE_OWNERS}) AS n_example FROM c JOIN o USING (v) GROUP BY rid)
     SELECT doc_id, len(s0)::BIGINT AS n_assign, len(s1)::BIGINT AS n_access, len(s2)::BIGINT AS n_hex,
            sha256({duck_joined(every[:3], "start")}) AS base_sha256, {duck_joined(every, "start")} AS spans,
-           coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example
+           coalesce(n_live, 0)::BIGINT AS n_live, coalesce(n_example, 0)::BIGINT AS n_example,
+           coalesce(max_owners, 0)::BIGINT AS max_owners, coalesce(max_repos, 0)::BIGINT AS max_repos
     FROM f LEFT JOIN n USING (rid)"""

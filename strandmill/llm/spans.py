@@ -34,10 +34,9 @@ class Kind:
 def find(df: DataFrame, kinds: list[Kind], text: str, near: int = 40) -> DataFrame:
     """Add ``spans``, an array of ``SPAN`` ordered by start, then kind, for the column ``text``.
 
-    A kind with ``context`` words gains 30 points of score if one of them stands within ``near`` code points
-    before the span; a span that scores below ``needs`` is dropped. The text is null-safe:
-    a null text has no spans. The matches of one text are gathered one after another, so a
-    text costs its length plus its matches.
+    A kind with ``context`` words gains 30 points of score if one of them stands, as a whole word, within ``near`` code
+    points before or after the span; a span that scores below ``needs`` is dropped. A word cut by the edge of the
+    window counts as it stands there. The text is null-safe: a null text has no spans.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     found = df.withColumn("_t", body)
@@ -56,27 +55,39 @@ def find(df: DataFrame, kinds: list[Kind], text: str, near: int = 40) -> DataFra
 
 
 def _placed(kind: Kind, nth: int, matches: Column, pieces: Column, near: int) -> Column:
-    """Matches of one kind with their offsets, those that fail their test dropped."""
-    pairs = F.arrays_zip(matches.alias("match"), F.slice(pieces, 1, F.size(matches)).alias("piece"))
+    """Matches of one kind with their offsets, those that fail their test dropped.
+
+    The ends of the text before and after are carried along, so windows reach over other matches of the kind.
+    """
+    count = F.size(matches)
+    pairs = F.arrays_zip(matches.alias("match"), F.slice(pieces, 1, count).alias("piece"))
 
     def step(state: Column, pair: Column) -> Column:
         start = state["at"] + F.length(pair["piece"])
         end = start + F.length(pair["match"])
-        # a test on the match alone decides whether the row is kept at all
-        # the window may reach over earlier matches of the kind, so the end of the text so far is carried on
         before = F.right(F.concat(state["seen"], pair["piece"]), F.lit(near)) if kind.context else F.lit("")
         seen = F.right(F.concat(before, pair["match"]), F.lit(near)) if kind.context else F.lit("")
         row = F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), pair["match"].alias("match"), before.alias("before"))
         return F.struct(end.cast("int").alias("at"), seen.alias("seen"), F.concat(state["rows"], F.array(row)).alias("rows"))
 
+    def back(state: Column, pair: Column) -> Column:
+        after = F.left(F.concat(pair["piece"], state["seen"]), F.lit(near))
+        return F.struct(F.left(F.concat(pair["match"], after), F.lit(near)).alias("seen"), F.concat(state["rows"], F.array(after)).alias("rows"))
+
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("seen"), F.array().cast("array<struct<start:int,end:int,match:string,before:string>>").alias("rows"))
     rows = F.aggregate(pairs, zero, step, lambda state: state["rows"])
+    if kind.context:
+        following = F.reverse(F.arrays_zip(matches.alias("match"), F.slice(pieces, 2, count).alias("piece")))
+        none = F.struct(F.lit("").alias("seen"), F.array().cast("array<string>").alias("rows"))
+        after = F.reverse(F.aggregate(following, none, back, lambda state: state["rows"]))
+        rows = F.zip_with(rows, after, lambda row, words: row.withField("after", words))
 
     def span(row: Column) -> Column:
         value = F.regexp_extract(row["match"], kind.pattern, kind.group) if kind.group else row["match"]
         score = F.lit(kind.score)
         if kind.context:
-            score = score + F.when(F.lower(row["before"]).rlike(kind.context), 30).otherwise(0)
+            word = f"(?:^|[^a-z0-9])(?:{kind.context})(?:[^a-z0-9]|$)"
+            score = score + F.when(F.lower(row["before"]).rlike(word) | F.lower(row["after"]).rlike(word), 30).otherwise(0)
         return F.struct(
             F.lit(kind.name).alias("kind"), F.lit(nth).alias("nth"), row["start"].alias("start"), row["end"].alias("end"),
             value.alias("value"), F.lit(kind.base).alias("base"), score.alias("score"),
@@ -87,7 +98,7 @@ def _placed(kind: Kind, nth: int, matches: Column, pieces: Column, near: int) ->
         spans = F.filter(spans, lambda s: kind.test(s["value"], s))
     if kind.needs:
         spans = F.filter(spans, lambda s: s["score"] >= kind.needs)
-    return F.when(F.size(matches) > 0, spans)
+    return F.when(count > 0, spans)
 
 
 def count_of(spans: Column, kind: str) -> Column:

@@ -225,6 +225,21 @@ def test_classifier_on_held_out_ratings(spark, none):
     assert quality_classifier.fit(docs, ratings.limit(0), 3) is None and quality_classifier.score(none, None, 3).count() == 0
 
 
+def test_an_owners_own_boilerplate_is_not_live(spark):
+    lone, spread = "q7Wm2Zx9Lp0aRt", "w8Vn3Yc6Kq1bSu"
+    rows = [(i, f"token = '{spread}'", "en", "s", 1) for i in range(secret_scan.COPIED_REPOS)] + [(100, f"token = '{lone}'", "en", "s", 1), (100, f"token = '{lone}'", "en", "s", 1)]
+    found = secret_scan.scan(spark.createDataFrame(rows, DOCS), ["doc_id"]).collect()
+    assert {(r.doc_id == 100, r.verdicts[0], r.owners[0], r.repos[0]) for r in found} == {(False, "shared", 1, 8), (True, "live", 1, 1)} and len(found) == 10
+
+
+def test_pii_context_on_both_sides_and_whole_words(spark):
+    cases = ["111-22-3333 (SSN)", "the password 111-22-3333", "essn 111-22-3333", "x" * 50 + " 111-22-3333 " + "y" * 40 + " ssn", "social security: 111-22-3333"]
+    cases += ["ship 10.0.0.1 slip", "10.0.0.1 is the server's"]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    rows = {r.doc_id: [(s.kind, s.score) for s in r.spans] for r in pii.detect(df).collect()}
+    assert rows == {0: [("ssn", 70)], 1: [], 2: [], 3: [], 4: [("ssn", 70)], 5: [("ip", 60)], 6: [("ip", 90)]}
+
+
 def test_redaction_leaves_only_examples(spark):
     two, short, flat, copied = "q7Wm2Zx9Lp0aRt", "hunter2", "AKIA" + "B" * 16, "sample9999key"
     bodies = [("a", f"token = '{two}' {flat}"), ("b", f"token = '{two}' and token = '{two}'"), ("a", f"password: {short} then")] + [(s, f"secret={copied}") for s in "abc"]
@@ -256,6 +271,6 @@ def test_pii_context_reaches_over_other_numbers(spark):
     body = "SSN 111-22-3333, 222-33-4444, 333-44-5555, 444-55-6666"
     df = spark.createDataFrame([(1, body), (2, "é" * 37 + " ssn 111-22-3333")], "doc_id long, text string")
     rows = {r.doc_id: [s.value for s in r.spans if s.kind == "ssn"] for r in pii.detect(df).collect()}
-    # as op8_sql: the word must stand whole in the 40 code points before the number
+    # as op8_sql: the word must stand whole in the 40 code points before the number or behind it
     want = [body[i : i + 11] for i in (4, 17, 30, 43) if "ssn" in body[max(i - 40, 0) : i].lower()]
     assert rows == {1: want, 2: ["111-22-3333"]} and len(want) == 3
