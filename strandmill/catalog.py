@@ -50,8 +50,7 @@ series AS (SELECT s.template, s.sender, 'ser_' || substr(sha256(s.template || '|
              coalesce(n, 0) AS replies_excluded FROM s LEFT JOIN x USING (template, sender))"""
 _ORDERS_M = "m AS (SELECT 'order report' AS template, 'c' || o_custkey AS sender, o_orderdate AS sent_at, o_orderkey % 9 = 0 AS is_reply FROM orders)"
 _EVENTS_M = "m AS (SELECT event_type AS template, 'u' || user_id AS sender, ts AS sent_at, false AS is_reply FROM events)"
-_FAILED = """array_to_string(list_filter([CASE WHEN instances < 8 THEN 'only ' || instances || ' instances (need 8)' END,
-  CASE WHEN months < 3 THEN 'only ' || months || ' months (need 3)' END, CASE WHEN weeks < 3 THEN 'only ' || weeks || ' weeks (need 3)' END], lambda r: r IS NOT NULL), '; ')"""
+_FAILED = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {x} < {n} THEN '{x} ' || {x} || ' < {n}' END" for x, n in (("instances", 8), ("months", 3), ("weeks", 3))) + "], lambda r: r IS NOT NULL), '; ')"
 
 
 def _order_messages(spark, sf_dir):
@@ -154,11 +153,11 @@ def _hashed(spark, sf_dir):
     return m.withColumn("content_hash", text.content_hash(text.subject_key(F.col("subject")), F.col("sender"), stamp, F.col("novel_text")))
 
 
-_DUP_SQL = f"""WITH {MESSAGES_SQL}, h AS (SELECT *, sha256(concat_ws('|', {_KEY_SQL}, sender, coalesce(strftime(sent_at, '%Y-%m'), path), lower(trim(regexp_replace(novel_text, '\\s+', ' ', 'g'))))) AS content_hash FROM messages),
-a AS (SELECT msg_uid, first_value(msg_uid) OVER w AS canonical_uid, row_number() OVER w AS n, 'identical Message-ID' AS reason FROM h WHERE message_id IS NOT NULL
+_DUP_SQL = f"""WITH {MESSAGES_SQL}, h AS (SELECT *, sha256(concat_ws('|', {_KEY_SQL}, sender, coalesce(strftime(sent_at, '%Y-%m'), path), trim(regexp_replace(novel_text, '\\s+', ' ', 'g')))) AS content_hash FROM messages),
+a AS (SELECT msg_uid, first_value(msg_uid) OVER w AS canonical_uid, row_number() OVER w AS n, 'same message id' AS reason FROM h WHERE message_id IS NOT NULL
       WINDOW w AS (PARTITION BY message_id ORDER BY sent_at IS NULL, sent_at NULLS FIRST, length(path), path)),
 d1 AS (SELECT msg_uid, canonical_uid, reason FROM a WHERE n > 1),
-b AS (SELECT msg_uid, first_value(msg_uid) OVER w AS canonical_uid, row_number() OVER w AS n, 'identical normalized content' AS reason FROM h WHERE msg_uid NOT IN (SELECT msg_uid FROM d1)
+b AS (SELECT msg_uid, first_value(msg_uid) OVER w AS canonical_uid, row_number() OVER w AS n, 'same content' AS reason FROM h WHERE msg_uid NOT IN (SELECT msg_uid FROM d1)
       WINDOW w AS (PARTITION BY content_hash ORDER BY sent_at IS NULL, sent_at NULLS FIRST, length(path), path)),
 dups AS (SELECT * FROM d1 UNION ALL SELECT msg_uid, canonical_uid, reason FROM b WHERE n > 1)"""
 
@@ -275,14 +274,15 @@ _ASCII = lambda p: p.replace("'", "''")
 _TERMS_SQL = f"len(regexp_extract_all(subject || chr(10) || novel_text, '{_ASCII(triage.OPERATIONAL_TERMS)}'))"
 _BODY_SQL = "CASE " + " ".join(f"WHEN regexp_matches(novel_text, '{_ASCII(p)}') THEN '{n}'" for n, p in triage.NOISE_BODIES) + " END"
 _SUBJ_SQL = "CASE " + " ".join(f"WHEN regexp_matches(subject, '{_ASCII(p)}') THEN '{n}'" for n, p in triage.NOISE_SUBJECTS) + " END"
+_R = triage.REASONS
 _TRIAGE_SQL = f"""WITH {MESSAGES_SQL},
 t AS (SELECT *, {_TERMS_SQL} AS terms, {_BODY_SQL} AS body_noise, {_SUBJ_SQL} AS subject_noise, regexp_matches(sender, '{_ASCII(triage.AUTOMATED_SENDERS)}') AS auto,
         trim(novel_text) = '' AS bare, regexp_matches(subject, '{_ASCII(triage.ATTACHMENT_ONLY)}') AS file FROM messages),
 c AS (SELECT msg_uid, terms,
    CASE WHEN bare THEN 'ack' WHEN body_noise IS NOT NULL THEN 'noise' WHEN subject_noise IS NOT NULL AND terms < 3 THEN 'noise' WHEN auto AND terms < 2 THEN 'automated' ELSE 'operational' END AS category,
-   CASE WHEN bare AND file THEN 'attachment-only message: subject names a file, body empty' WHEN bare THEN 'empty body' WHEN body_noise IS NOT NULL THEN 'body matches ' || body_noise
-        WHEN subject_noise IS NOT NULL AND terms < 3 THEN 'subject matches ' || subject_noise WHEN auto AND terms < 2 THEN 'automated sender, no operational vocabulary'
-        ELSE 'default: unmatched by any noise rule' END AS reason,
+   CASE WHEN bare AND file THEN '{_R["file"]}' WHEN bare THEN '{_R["empty"]}' WHEN body_noise IS NOT NULL THEN '{_R["body"]}' || body_noise
+        WHEN subject_noise IS NOT NULL AND terms < 3 THEN '{_R["subject"]}' || subject_noise WHEN auto AND terms < 2 THEN '{_R["automated"]}'
+        ELSE '{_R["default"]}' END AS reason,
    array_to_string(list_filter([CASE WHEN auto THEN 'automated_sender' END, CASE WHEN bare THEN CASE WHEN file THEN 'attachment_only' ELSE 'empty_body' END END,
      CASE WHEN NOT bare AND body_noise IS NULL AND subject_noise IS NOT NULL AND terms >= 3 THEN 'noise_subject_overridden:' || subject_noise END], lambda f: f IS NOT NULL), ',') AS flags FROM t)"""
 
@@ -292,7 +292,7 @@ def triage_case(spark, sf_dir):
     return triage.classify(messages(spark, sf_dir)).select("msg_uid", "category", "reason", "operational_terms", F.array_join("flags", ",").alias("flags"))
 
 
-@query(_TRIAGE_SQL + " SELECT category, count(*) AS messages, count(*) FILTER (category = 'operational' OR reason LIKE 'attachment-only%') AS operational FROM c GROUP BY category")
+@query(_TRIAGE_SQL + " SELECT category, count(*) AS messages, count(*) FILTER (category = 'operational' OR reason = '" + _R["file"] + "') AS operational FROM c GROUP BY category")
 def triage_counts(spark, sf_dir):
     return triage.triage_counts(triage.classify(messages(spark, sf_dir)))
 
@@ -374,9 +374,13 @@ def cluster_linkage(spark, sf_dir):
 @query(_GROUPED_SQL + f""", k AS (SELECT cluster, count(*) AS messages, count(DISTINCT novel_hash) AS distinct_content, count(DISTINCT sender) AS senders, count(DISTINCT thread_id) AS threads,
   count(DISTINCT {_MONTH}) AS months, count(DISTINCT {_WEEK}) AS weeks, count(DISTINCT folder) AS folders FROM g GROUP BY cluster),
 p AS (SELECT cluster, count(DISTINCT person) AS people FROM (SELECT cluster, unnest(participants) AS person FROM g) GROUP BY cluster)
-SELECT *, distinct_content >= 8 AND (senders >= 2 OR messages >= 15) AND months >= 3 AND weeks >= 3 AND threads >= 4 AS passed FROM k JOIN p USING (cluster)""")
+SELECT *, distinct_content >= 8 AND (senders >= 2 OR messages >= 15) AND months >= 3 AND weeks >= 3 AND threads >= 4 AS passed,
+  array_to_string(list_filter([CASE WHEN distinct_content < 8 THEN 'distinct_content ' || distinct_content || ' < 8' END, CASE WHEN messages < 15 AND senders < 2 THEN 'senders ' || senders || ' < 2' END,
+    CASE WHEN months < 3 THEN 'months ' || months || ' < 3' END, CASE WHEN weeks < 3 THEN 'weeks ' || weeks || ' < 3' END, CASE WHEN threads < 4 THEN 'threads ' || threads || ' < 4' END], lambda r: r IS NOT NULL), '; ') AS failed_gates
+FROM k JOIN p USING (cluster)""")
 def cluster_gate(spark, sf_dir):
-    return clusters.gate(clusters.metrics(_grouped(spark, sf_dir))).drop("failed_gates")
+    found = clusters.gate(clusters.metrics(_grouped(spark, sf_dir)))
+    return found.withColumn("failed_gates", F.array_join("failed_gates", "; "))
 
 
 @query(_GROUPED_SQL + " SELECT cluster, " + ", ".join(f"round(avg({s}::INT), 4) AS {s.replace('_signal', '_rate')}" for s in clusters.SIGNALS) + " FROM g GROUP BY cluster")

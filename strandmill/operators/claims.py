@@ -56,30 +56,30 @@ def ranked(findings: DataFrame) -> DataFrame:
     return findings.withColumn("place", F.row_number().over(Window.orderBy(status_rank(F.col("status")), F.desc("dollars"), "finding")))
 
 
-def artifact_reasons() -> Column:
+def artifact_reasons(least: dict = ARTIFACT) -> Column:
     """Why a finding gets no document; dollars are judged apart."""
     short = [("citations", "citations"), ("cited_messages", "messages"), ("instances", "instances"), ("months", "months")]
     tests = [
-        F.when(F.col("status") != "counted", F.concat(F.lit("status is "), F.col("status"))),
-        F.when(F.col("confidence") == "low", F.lit("confidence is low")),
-        F.when(F.coalesce("shape", F.lit("")).isin("", "none"), F.lit("no artifact shape")),
-        *[F.when(F.col(c) < ARTIFACT[k], F.concat(F.col(c).cast("string"), F.lit(f" {k}, {ARTIFACT[k]} required"))) for c, k in short],
+        F.when(F.col("status") != "counted", F.col("status")),
+        F.when(F.col("confidence") == "low", F.lit("low confidence")),
+        F.when(F.coalesce("shape", F.lit("")).isin("", "none"), F.lit("no shape of document")),
+        *[F.when(F.col(c) < least[k], F.concat(F.lit(f"{k} "), F.col(c).cast("string"), F.lit(f" < {least[k]}"))) for c, k in short],
     ]
     return F.filter(F.array(*tests), lambda r: r.isNotNull())
 
 
-def select_artifacts(findings: DataFrame) -> DataFrame:
+def select_artifacts(findings: DataFrame, least: dict = ARTIFACT) -> DataFrame:
     """Add ``reasons`` and ``choice``: selected, capped, near_miss (the best of those short of money alone), short or rejected."""
-    rows = findings.withColumn("reasons", artifact_reasons())
-    fit = (F.size("reasons") == 0) & (F.col("dollars") >= ARTIFACT["dollars"])
-    near = (F.size("reasons") == 0) & (F.col("dollars") < ARTIFACT["dollars"])
+    rows = findings.withColumn("reasons", artifact_reasons(least))
+    fit = (F.size("reasons") == 0) & (F.col("dollars") >= least["dollars"])
+    near = (F.size("reasons") == 0) & (F.col("dollars") < least["dollars"])
     rows = rows.withColumn("pool", F.when(fit, "fit").when(near, "near").otherwise("rejected"))
     by_money = Window.partitionBy("pool").orderBy(F.desc("dollars"), "finding")
     by_proof = Window.partitionBy("pool").orderBy(F.desc("citations"), F.desc("dollars"), "finding")
     place = F.when(F.col("pool") == "fit", F.row_number().over(by_money)).otherwise(F.row_number().over(by_proof))
     choice = (
         F.when(F.col("pool") == "rejected", "rejected")
-        .when(F.col("pool") == "fit", F.when(place <= ARTIFACT["most"], "selected").otherwise("capped"))
+        .when(F.col("pool") == "fit", F.when(place <= least["most"], "selected").otherwise("capped"))
         .otherwise(F.when(place == 1, "near_miss").otherwise("short"))
     )
     return rows.withColumn("choice", choice).drop("pool")

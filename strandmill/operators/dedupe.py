@@ -31,9 +31,9 @@ def exact_tier(messages: DataFrame, key: str, reason: str) -> DataFrame:
 
 def exact_duplicates(messages: DataFrame) -> DataFrame:
     """Copies by message id, then by content among the rest."""
-    by_id = exact_tier(messages, "message_id", "identical Message-ID")
+    by_id = exact_tier(messages, "message_id", "same message id")
     rest = messages.join(by_id.select("msg_uid"), "msg_uid", "left_anti")
-    return by_id.unionByName(exact_tier(rest, "content_hash", "identical normalized content"))
+    return by_id.unionByName(exact_tier(rest, "content_hash", "same content"))
 
 
 def survivors(messages: DataFrame, duplicates: DataFrame) -> DataFrame:
@@ -100,7 +100,7 @@ def claim(pairs: DataFrame, block: str = "subject_key") -> DataFrame:
 
 def near_duplicates(messages: DataFrame, block: str = "subject_key", text: str = "text", near: float = NEAR, most: int | None = MAX_BLOCK) -> DataFrame:
     found = claim(near_candidates(messages, block, text, most).where(F.col("jaccard") >= near), block)
-    return found.withColumn("reason", F.lit(f"near-duplicate content (Jaccard >= {near})"))
+    return found.withColumn("reason", F.lit(f"near copy, similarity {near} or more"))
 
 
 def minhash_signature(texts: pd.Series) -> pd.Series:

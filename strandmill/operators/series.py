@@ -54,10 +54,8 @@ def with_templates(messages: DataFrame, template) -> DataFrame:
 
 def failed_gates(series: DataFrame) -> DataFrame:
     """Add ``failed_gates``, all reasons why a series is not promoted; empty if it is."""
-    tests = [("instances", "instances", MIN_INSTANCES), ("months", "months", MIN_MONTHS), ("weeks", "weeks", MIN_WEEKS)]
-    reasons = [
-        F.when(F.col(c) < least, F.concat(F.lit("only "), F.col(c).cast("string"), F.lit(f" {label} (need {least})"))) for c, label, least in tests
-    ]
+    tests = [("instances", MIN_INSTANCES), ("months", MIN_MONTHS), ("weeks", MIN_WEEKS)]
+    reasons = [F.when(F.col(c) < least, F.concat(F.lit(f"{c} "), F.col(c).cast("string"), F.lit(f" < {least}"))) for c, least in tests]
     return series.withColumn("failed_gates", F.filter(F.array(*reasons), lambda r: r.isNotNull()))
 
 

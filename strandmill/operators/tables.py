@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # What a field must look like.
-NUMERIC = r"^[-+]?[\d,]+(\.\d+)?$"
+NUMERIC = r"^[-+]?[\d,]+(?:\.\d+)?$"
 LABELLED = r"^([A-Z][A-Z0-9]*)-(\d+)$"
 MIN_FIELDS, MIN_STRUCTURED, MIN_ROWS = 6, 4, 200
 MIN_STEPS, MIN_STRIDE_SHARE = 50, 0.9

@@ -13,25 +13,24 @@ from strandmill.session import durable
 from strandmill.sources import archive
 
 
-def run(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+def run(spark: SparkSession, root: str, rule: str = "first_blank") -> dict[str, DataFrame]:
     """Tables by name; parsed messages are written once, since every later step reads them."""
-    messages = durable(archive.parse(archive.raw_files(spark, root)).drop("raw"))
+    messages = durable(archive.parse(archive.raw_files(spark, root), rule).drop("raw"))
     addresses = messages.select(F.explode("participants").alias("address"))
     senders = messages.where("sender IS NOT NULL").select(F.col("sender").alias("address"), F.col("sender_display").alias("display"))
     resolved = durable(identity.resolve(addresses, senders))
     people = identity.people(resolved, senders.groupBy("address").agg(F.count("*").alias("messages")))
     known = durable(resolved.join(people.select("root", "person_id"), "root").select("address", "person_id"))
 
-    text = F.when(F.trim("novel_text") == "", F.col("body")).otherwise(F.col("novel_text"))
     exact = durable(dedupe.exact_duplicates(messages))
-    rest = dedupe.survivors(messages, exact).withColumn("text", text)
+    rest = dedupe.survivors(messages, exact).withColumn("text", archive.near_text(messages))
     duplicates = durable(exact.unionByName(dedupe.near_duplicates(rest)))
     kept = durable(dedupe.survivors(messages, duplicates))
 
     each = kept.select("msg_uid", F.explode_outer("participants").alias("address")).join(known, "address", "left")
     people_of = each.groupBy("msg_uid").agg(F.collect_set(F.coalesce("person_id", "address")).alias("people"))
     threaded = threads.build_threads(kept.join(people_of, "msg_uid").withColumn("sent_at", F.col("sent_at_utc")))
-    classified = triage.classify(kept, ack_only=F.col("is_ack_only"))
+    classified = triage.classify(kept, ack_only=F.col("is_ack_only"), bulk=F.array_contains("flags", "bulk_x_to"))
     by_person = identity.to_people(kept, "sender", known)
     found = series.find_series(series.with_templates(by_person, subject_template(F.col("subject"))))
     return {

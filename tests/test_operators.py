@@ -112,11 +112,11 @@ def test_archive_source(spark, tmp_path):
     raw = "Message-ID: <1>\r\nDate: Mon, 2 Apr 2001 10:00:00 -0500\r\nFrom: a..b@x.org\r\nTo: c@x.org,\r\n\td@x.org\r\nSubject: RE: Nom 4/2\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\nfirst=20part\n\nsecond part\n"
     (tmp_path / "box" / "1.").write_bytes(raw.encode("latin-1"))
     (tmp_path / "box" / "2.").write_bytes(b"Subject: x\n\nbody\n")
-    rows = {r.path: r for r in archive.parse(archive.raw_files(spark, str(tmp_path))).collect()}
+    rows = {r.path.split("/", 1)[1]: r for r in archive.parse(archive.raw_files(spark, str(tmp_path))).collect()}
     one = rows["box/1."]
     assert one.body == "first part\n\nsecond part\n" and one.sender == "a.b@x.org" and one.recipients == ["c@x.org", "d@x.org"]
     assert str(one.sent_at) == "2001-04-02 10:00:00" and one.is_reply and one.subject_key == "nom"
-    assert rows["box/2."].flags == ["no_usable_date", "no_recipients"]
+    assert rows["box/2."].flags == ["no_usable_date", "no_to_header"]
     assert archive.manifest(archive.raw_files(spark, str(tmp_path))).first().files == 2
 
 
@@ -216,3 +216,45 @@ def test_near_duplicates_of_large_sources(spark, tmp_path):
     assert [(r.a, r.b) for r in q["dup_near_jaccard"](spark, str(tmp_path)).collect()] == [pair]
     assert [(r.a, r.b, r.similarity) for r in q["dup_near_minhash"](spark, str(tmp_path)).collect()] == [(*pair, 1.0)]
     assert [(r.msg_uid, r.canonical_uid) for r in q["dup_near"](spark, str(tmp_path)).collect()] == [pair[::-1]]
+
+
+def _archive(folder):
+    """A few messages, each for one rule of the parser."""
+    box = folder / "mail" / "box"
+    box.mkdir(parents=True)
+    head = lambda n, **h: "".join(f"{k.replace('_', '-')}: {v}\r\n" for k, v in ({"Message-ID": f"<{n}>", "Date": "Mon, 2 Apr 2001 10:00:00 -0500", "From": "a@x.org", "To": "b@x.org", "Subject": "Gas nomination report"} | h).items()) + "\r\n"
+    quoted = "\n\n-----Original Message-----\nold text"
+    files = {
+        "1.": head(1) + quoted,
+        "2.": head(2) + "fresh words" + quoted,
+        "3.": head(3, Date="Mon, 2 Apr 2001 10:00:20 -0500") + "fresh words\n\n-----Original Message-----\nother old text",
+        "4.": head(4) + "fresh   words" + quoted,
+        "5.": head(5, X_To="All Staff").replace("To: b@x.org\r\n", "", 1) + "hello",
+        "6.": head(6, Content_Type='multipart/mixed; boundary="zz"') + "--zz\nContent-Type: text/html\n\n<p>\n--zz\nContent-Type: text/plain\nContent-Transfer-Encoding: quoted-printable\n\nplain=20part\n--zz--\n",
+        "10.": head(10) + "\n first\n\nsecond",
+        "x": head(11) + "\n\n",
+    }
+    for name, text_ in files.items():
+        (box / name).write_bytes(text_.encode("latin-1"))
+    return str(folder / "mail")
+
+
+def test_archive_rules(spark, tmp_path):
+    from strandmill.sources import archive
+
+    files = archive.raw_files(spark, _archive(tmp_path))
+    rows = {r.path.rsplit("/")[-1]: r for r in archive.parse(files).collect()}
+    assert rows["1."].path == "mail/box/1." and rows["1."].is_ack_only and not rows["2."].is_ack_only and not rows["x"].is_ack_only
+    # copies are told by the whole body: quoted history and minutes count, white space does not
+    assert rows["2."].content_hash == rows["4."].content_hash != rows["3."].content_hash and rows["2."].novel_hash == rows["3."].novel_hash
+    assert rows["5."].flags == ["no_to_header", "bulk_x_to"] and rows["5."].recipients == [] and "empty_body" in rows["x"].flags
+    assert rows["6."].body.strip() == "plain part" and "multipart" in rows["6."].flags
+    other = {r.path.rsplit("/")[-1]: r for r in archive.parse(files, "lf_first").collect()}
+    assert rows["10."].body == "\n first\n\nsecond" and other["10."].body == "second" and other["10."].sender == "a@x.org"
+    order = [r.path.rsplit("/")[-1] for r in archive.corpus_order(files.select("path")).orderBy("place").collect()]
+    assert order == ["1.", "2.", "3.", "4.", "5.", "6.", "10.", "x"]
+    import hashlib
+
+    lines = sorted((r.path, r.source_sha256) for r in files.collect())
+    digest = hashlib.sha256("".join(f"{p}:{s}\x00" for p, s in lines).encode()).hexdigest()
+    assert tuple(archive.manifest(files).first()) == (8, digest)
