@@ -231,7 +231,7 @@ def _archive(folder):
         "4.": head(4) + "fresh   words" + quoted,
         "5.": head(5, X_To="All Staff").replace("To: b@x.org\r\n", "", 1) + "hello",
         "6.": head(6, Content_Type='multipart/mixed; boundary="zz"') + "--zz\nContent-Type: text/html\n\n<p>\n--zz\nContent-Type: text/plain\nContent-Transfer-Encoding: quoted-printable\n\nplain=20part\n--zz--\n",
-        "10.": head(10) + "\n first\n\nsecond",
+        "10.": head(10) + " first\n\nsecond",
         "x": head(11) + "\n\n",
     }
     for name, text_ in files.items():
@@ -250,7 +250,7 @@ def test_archive_rules(spark, tmp_path):
     assert rows["5."].flags == ["no_to_header", "bulk_x_to"] and rows["5."].recipients == [] and "empty_body" in rows["x"].flags
     assert rows["6."].body.strip() == "plain part" and "multipart" in rows["6."].flags
     other = {r.path.rsplit("/")[-1]: r for r in archive.parse(files, "lf_first").collect()}
-    assert rows["10."].body == "\n first\n\nsecond" and other["10."].body == "second" and other["10."].sender == "a@x.org"
+    assert rows["10."].body == " first\n\nsecond" and other["10."].body == "second" and other["10."].sender == "a@x.org"
     order = [r.path.rsplit("/")[-1] for r in archive.corpus_order(files.select("path")).orderBy("place").collect()]
     assert order == ["1.", "2.", "3.", "4.", "5.", "6.", "10.", "x"]
     import hashlib
