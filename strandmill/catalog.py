@@ -422,7 +422,7 @@ ms AS (SELECT cluster, max(task_class) AS task_class, count(DISTINCT thread_id)
   greatest(count(DISTINCT {_MONTH}), 1) AS months, count(DISTINCT sender) AS senders, avg(rework_signal::INT) AS rework_rate, avg(waiting_signal::INT) AS waiting_rate,
   avg(manual_transfer_signal::INT) AS manual_transfer_rate FROM g GROUP BY cluster),
 me AS (SELECT * FROM ms JOIN pm USING (cluster))"""
-_DIM_SQL = "dim(task_class, band, handle, touch, rework, waiting, share, alpha) AS (VALUES " + ", ".join("('" + r[0] + "', '" + r[1] + "', " + ", ".join(f"{x}::DOUBLE" for x in r[2:]) + ")" for r in estimate.assumption_rows()) + ")"
+_DIM_SQL = "dim(task_class, band, handle, touch, rework, waiting, share, alpha) AS (VALUES " + ", ".join("('" + r[0] + "', '" + r[1] + "', " + ", ".join(f"{x}::DOUBLE" for x in r[2:]) + ")" for r in estimate.Assumptions.load().rows()) + ")"
 _BANDS_SQL = _MEASURE_SQL + f""", {_DIM_SQL}, h AS (SELECT cluster, me.task_class, band, instances, messages,
   (instances::DOUBLE / (dated_messages::DOUBLE / messages) / greatest(months, 1)) * (handle + (messages::DOUBLE / instances - 1) * touch + rework_rate * rework + waiting_rate * waiting)
   * (1 + alpha * (greatest(participants_median, 1) - 1)) / 60 AS hours, share FROM me JOIN dim USING (task_class)),

@@ -35,6 +35,21 @@ def status(coherence: Column, messages: Column) -> Column:
     )
 
 
+def status_reason(coherence: Column, messages: Column) -> Column:
+    """Why a claim is not counted, empty if it is; the tests are those of ``status`` in the same order."""
+    weak = F.col("citations") - F.col("strong")
+    text = lambda c: c.cast("string")
+    return (
+        F.when(F.col("citations") < MIN_CITATIONS, F.concat(F.lit("citations "), text(F.col("citations")), F.lit(f" < {MIN_CITATIONS}")))
+        .when(F.col("cited_messages") < MIN_MESSAGES, F.concat(F.lit("cited messages "), text(F.col("cited_messages")), F.lit(f" < {MIN_MESSAGES}")))
+        .when((F.col("cited_senders") < MIN_SENDERS) & (messages < ENOUGH_MESSAGES), F.concat(F.lit("cited senders "), text(F.col("cited_senders")), F.lit(f" < {MIN_SENDERS}")))
+        .when(weak / F.col("citations") > MAX_WEAK_SHARE, F.concat(text(weak), F.lit(" weak of "), text(F.col("citations"))))
+        .when(F.col("strong") == 0, F.lit("no strong citation"))
+        .when(coherence == "incoherent", F.lit("incoherent"))
+        .otherwise("")
+    )
+
+
 def confidence(coherence: Column, senders: Column, months: Column) -> Column:
     high = (coherence == "tight") & (F.col("strong") >= 3) & (senders >= 2) & (months >= 4)
     return F.when(high, "high").when((coherence == "incoherent") | (F.col("strong") == 0), "low").otherwise("medium")
@@ -52,8 +67,19 @@ def status_rank(status: Column) -> Column:
 
 
 def ranked(findings: DataFrame) -> DataFrame:
-    """Rank by status, dollars and id. There is one row a finding, so one task orders them."""
-    return findings.withColumn("place", F.row_number().over(Window.orderBy(status_rank(F.col("status")), F.desc("dollars"), "finding")))
+    """Rank by status, dollars and id.
+
+    Places inside a status and dollar band of powers of two are numbered apart; a running sum over one row a band, of which
+    there are a few hundred at most, tells where each begins. So no task holds all findings.
+    """
+    band = F.when(F.col("dollars") > 0, F.floor(F.log2(F.col("dollars").cast("double")))).otherwise(-2000)
+    lots = findings.withColumns({"_rank": status_rank(F.col("status")), "_band": band})
+    counts = lots.groupBy("_rank", "_band").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_rank", F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_rank", "_band", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_rank", "_band").orderBy(F.desc("dollars"), "finding")
+    placed = lots.withColumn("_at", F.row_number().over(inside)).join(starts, ["_rank", "_band"])
+    return placed.withColumn("place", (F.col("_before") + F.col("_at")).cast("int")).drop("_rank", "_band", "_before", "_at")
 
 
 def artifact_reasons(least: dict = ARTIFACT) -> Column:
@@ -80,7 +106,7 @@ def select_artifacts(findings: DataFrame, least: dict = ARTIFACT) -> DataFrame:
     choice = (
         F.when(F.col("pool") == "rejected", "rejected")
         .when(F.col("pool") == "fit", F.when(place <= least["most"], "selected").otherwise("capped"))
-        .otherwise(F.when(place == 1, "near_miss").otherwise("short"))
+        .otherwise(F.when((place == 1) & F.lit(least.get("exception", True)), "near_miss").otherwise("short"))
     )
     return rows.withColumn("choice", choice).drop("pool")
 

@@ -41,6 +41,7 @@ def survivors(messages: DataFrame, duplicates: DataFrame) -> DataFrame:
 
 
 def groups(duplicates: DataFrame) -> DataFrame:
+    """One row a canonical message and reason, its copies by id."""
     listed = F.array_sort(F.collect_list("msg_uid"))
     return duplicates.groupBy("canonical_uid", "reason").agg(listed.alias("duplicate_uids"))
 

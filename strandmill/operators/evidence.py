@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.decode import Run, to_raw
-from strandmill.functions.text import line_bounds, sha_short
 
 # Lengths of quotes, the least likeness of a repaired one, and the punctuation that is folded.
 MIN_QUOTE, MAX_QUOTE, MIN_LIKENESS = 24, 300, 0.92
@@ -129,35 +128,45 @@ def exact_places(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text
     return met.withColumn("start", at - 1).where("start >= 0")
 
 
-def citations(anchors: DataFrame) -> DataFrame:
-    """Citation rows from ``path, raw, anchor``: the quote is always cut from the source, at least 24 characters."""
-    a = F.col("anchor")
-    rows = anchors.where(a["error"].isNull())
-    rows = rows.withColumn("quote", F.expr("substring(raw, anchor.raw_start + 1, anchor.raw_end - anchor.raw_start)")).where(F.length(F.trim("quote")) >= MIN_QUOTE)
-    cid = sha_short("cit_", F.concat_ws(":", "path", a["raw_start"].cast("string"), a["raw_end"].cast("string")), 12)
-    lines = line_bounds(F.col("raw"), a["raw_start"], a["raw_end"])
-    return rows.select("*", cid.alias("citation_id"), F.sha2(F.encode("raw", "ISO-8859-1"), 256).alias("source_sha256"), a["tier"].alias("match_tier"), lines.alias("lines")).drop("raw", "anchor")
+def holds(quote: str, tier: str, start: int, end: int, decoded: tuple[int, int], repaired: bool, raw: str, text: str, runs: list[Run], base: int = 0) -> str | None:
+    """What is wrong with a published quote, by its tier; None if nothing is.
 
-
-def quarantined(anchors: DataFrame) -> DataFrame:
-    return anchors.where(F.col("anchor.error").isNotNull()).select("path", F.col("anchor.error").alias("error"))
-
-
-def subject_citation(raw: Column) -> Column:
-    """``struct<start, end>`` of the subject line's value in a raw message, 0-based."""
-    line = F.regexp_extract(raw, r"(?dmi)^Subject:[ \t]*(.*?)\r?$", 1)
-    head = F.regexp_extract(raw, r"(?dmi)^(Subject:[ \t]*)", 1)
-    at = F.regexp_instr(raw, F.lit(r"(?dmi)^Subject:[ \t]*")) - 1 + F.length(head)
-    return F.when(line != "", F.struct(at.alias("start"), (at + F.length(line)).alias("end")))
+    A quote that would match more strictly than it claims is right too.
+    """
+    if not 0 <= start <= end <= len(raw):
+        return "range outside the source"
+    if raw[start:end] != quote:
+        return "slice differs from quote"
+    if tier == "raw_exact":
+        return None
+    if tier == "decoded_exact":
+        if not repaired and quote in raw:
+            return None
+        if 0 <= decoded[0] <= decoded[1] <= len(text):
+            a, b = to_raw(runs, *decoded, base)
+            if a <= start and end <= b:
+                return None
+        return "decoded range lies elsewhere"
+    fold = {"rewrapped": collapse, "normalized": normalized}.get(tier)
+    if fold is None:
+        return f"unknown tier {tier}"
+    return None if fold(quote) and fold(quote) in fold(raw) else f"no {tier} match"
+
+
+def _held(rows: pd.DataFrame) -> pd.Series:
+    out = []
+    for r in rows.to_dict("records"):
+        if r["raw"] is None:
+            out.append("source missing")
+            continue
+        runs = [(x["out_start"], x["out_len"], x["raw_start"], x["raw_len"]) for x in (r["runs"] if r["runs"] is not None else [])]
+        place = [int(r[c]) for c in ("raw_start", "raw_end", "decoded_start", "decoded_end", "body_start")]
+        out.append(holds(r["quote"], r["match_tier"], *place[:2], (place[2], place[3]), bool(r["repaired"]), r["raw"], r["body"] or "", runs, place[4]))
+    return pd.Series(out, dtype=object)
 
 
 def reverified(rows: DataFrame) -> DataFrame:
-    """Add ``problem``, null if the published quote still equals the source at its offsets and its tier holds."""
-    cut = F.expr("substring(raw, raw_start + 1, raw_end - raw_start)")
-    problem = (
-        F.when(F.sha2(F.encode("raw", "ISO-8859-1"), 256) != F.col("source_sha256"), "source changed")
-        .when(F.col("raw_end") > F.length("raw"), "range outside the source")
-        .when(cut != F.col("quote"), "slice differs from quote")
-        .when((F.col("match_tier") == "raw_exact") & (F.instr("raw", F.col("quote")) == 0), "no raw match")
-    )
-    return rows.withColumn("problem", problem)
+    """Add ``problem`` to published citations joined with ``raw, body, runs, body_start`` of their source; null if they hold at their tier."""
+    at = [F.coalesce(c, F.lit(0)).alias(c) for c in ("raw_start", "raw_end", "decoded_start", "decoded_end", "body_start")]
+    packed = F.struct("quote", "match_tier", "repaired", "raw", "body", "runs", *at)
+    return rows.withColumn("problem", F.pandas_udf(_held, "string")(packed))

@@ -21,7 +21,7 @@ def directory_links(addresses: DataFrame) -> DataFrame:
 
     The longest surname wins, then the least address, so the result does not depend on any order.
     """
-    names = addresses.where(F.col("address").startswith("x500:")).select("address", F.substring("address", 6, 10_000).alias("cn"))
+    names = addresses.where(F.col("address").startswith("x500:")).select("address", F.expr("substring(address, 6)").alias("cn"))
     cuts = names.select("address", "cn", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("cut"))
     cuts = cuts.select("address", F.substring("cn", F.lit(1), F.col("cut")).alias("initial"), F.expr("substring(cn, cut + 1)").alias("surname"), (F.length("cn") - F.col("cut")).alias("long"))
     # a whole name is no abbreviation: at least one initial stands before the surname
@@ -46,17 +46,25 @@ def resolve(addresses: DataFrame, senders: DataFrame) -> DataFrame:
     return joined.select("address", F.coalesce("component", "address").alias("root"))
 
 
-def people(resolved: DataFrame, counts: DataFrame) -> DataFrame:
-    """One row a person: id, canonical address (the shortest real one), addresses and messages sent."""
+def people(resolved: DataFrame, senders: DataFrame) -> DataFrame:
+    """One row a person: id, canonical address (the shortest real one), addresses, display names and messages sent.
+
+    ``senders`` has a row a message, with ``address`` and ``display``. At most six names are listed, in order of the
+    alphabet; ``label`` is the longest of these, or the address.
+    """
+    counts = senders.groupBy("address").agg(F.count("*").alias("messages"), F.collect_set(F.trim(F.regexp_replace("display", r"(?s)</.*$", ""))).alias("names"))
     real = F.contains("address", F.lit("@")) & ~F.col("address").startswith("x500:")
     shortest = F.min(F.when(real, F.struct(F.length("address").alias("n"), "address")))["address"]
     grouped = resolved.join(counts, "address", "left").groupBy("root").agg(
         F.coalesce(shortest, F.min("address")).alias("canonical_address"),
         F.array_sort(F.collect_set("address")).alias("addresses"),
+        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), 1, 6).alias("display_names"),
         F.sum(F.coalesce("messages", F.lit(0))).alias("message_count"),
     )
+    longest = F.array_max(F.transform("display_names", lambda n: F.struct(F.length(n).alias("long"), n.alias("name"))))["name"]
     # an id by hash, since shortened addresses of two people may be alike
-    return grouped.select(sha_short("p_", F.col("canonical_address"), 12).alias("person_id"), "root", "canonical_address", "addresses", "message_count")
+    pid = sha_short("p_", F.col("canonical_address"), 12)
+    return grouped.select(pid.alias("person_id"), "root", "canonical_address", "addresses", "display_names", F.coalesce(longest, "canonical_address").alias("label"), "message_count")
 
 
 def to_people(rows: DataFrame, column: str, address_to_person: DataFrame) -> DataFrame:

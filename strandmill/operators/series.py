@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.functions.text import cadence, month_key, sha_short, template_words, week_key
+from strandmill.functions.text import cadence, is_blank, month_key, sha_short, template_words, week_key
 
 MIN_MEMBERS, MIN_INSTANCES, MIN_MONTHS, MIN_WEEKS, MIN_TEMPLATE_WORDS = 3, 8, 3, 3, 2
 
@@ -73,3 +73,18 @@ def recipients_of(messages: DataFrame, keys: list[str], most: int = 8) -> DataFr
     order = Window.partitionBy(*keys).orderBy(F.desc("count"), "recipient")
     top = counts.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most)
     return top.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "recipient"))), lambda x: x["recipient"]).alias("recipients"))
+
+
+def profiles(messages: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys.., folders, empty_share)`` of each series: where its instances lie and how many of them have no text."""
+    own = messages.where(~F.col("is_reply"))
+    return own.groupBy(*keys).agg(
+        F.array_sort(F.collect_set("folder")).alias("folders"), F.avg(is_blank(F.col("novel_text")).cast("int")).alias("empty_share")
+    )
+
+
+def members(messages: DataFrame, promoted: DataFrame, keys: tuple[str, str] = ("template", "sender")) -> DataFrame:
+    """The instances of promoted series, with the series' id as ``finding``; a null sender is a sender of its own."""
+    named = promoted.select(F.col("series_id").alias("finding"), *(F.col(k).alias(f"_{k}") for k in keys))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return messages.where(~F.col("is_reply")).join(named, same).drop(*(f"_{k}" for k in keys))

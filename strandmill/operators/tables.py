@@ -85,3 +85,21 @@ def generated(proofs: DataFrame, keys: list[str]) -> DataFrame:
     linear = F.count_if(F.col("kind").isin("linear", "modular"))
     signals = F.count_if(F.col("kind") != "none")
     return proofs.groupBy(*keys).agg(linear.alias("linear_columns"), signals.alias("signals"), ((linear >= 2) & (signals >= 3)).alias("generated"))
+
+
+def generated_tables(messages: DataFrame, uid: str = "msg_uid", body: str = "body", size: str = "size", least_size: int = 60_000) -> DataFrame:
+    """``(uid, first_line, rows, table_start, columns, linear_columns, signals, generated)`` of the table in each large message.
+
+    Only messages of more than ``least_size`` bytes are looked at. A column that fewer than nine in ten rows have is no evidence.
+    """
+    large = messages.where(F.col(size) > least_size).select(uid, body)
+    runs = longest_runs(large, uid, body)
+    found = large.join(runs, uid).withColumn("_lines", F.split(body, "\n"))
+    before = F.length(F.array_join(F.slice("_lines", F.lit(1), F.col("first_line")), "\n"))
+    places = found.select(uid, "first_line", "rows", (before + F.when(F.col("first_line") > 0, 1).otherwise(0)).cast("int").alias("table_start"))
+    lines = found.select(uid, "rows", F.posexplode(F.slice("_lines", F.col("first_line") + 1, F.col("rows").cast("int"))).alias("n", "line"))
+    cells = lines.select(uid, "n", F.posexplode(fields(F.col("line"))).alias("col", "value"))
+    proofs = column_proof(cells, [uid]).join(runs.select(uid, F.col("rows").alias("_all")), uid)
+    proofs = proofs.where(F.col("rows") >= 0.9 * F.col("_all"))
+    width = cells.groupBy(uid).agg((F.max("col") + 1).alias("columns"))
+    return places.join(width, uid).join(generated(proofs, [uid]), uid)

@@ -18,7 +18,7 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).parent
     archive = Path(tempfile.mkdtemp(prefix="strandmill-code-"), "strandmill_code.zip")
     with zipfile.ZipFile(archive, "w") as out:
-        for path in sorted(package.rglob("*.py")):
+        for path in sorted([*package.rglob("*.py"), *package.rglob("*.toml")]):
             out.write(path, path.relative_to(package.parent))
     context.addPyFile(str(archive))
     context._strandmill_shipped = True

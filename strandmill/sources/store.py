@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandmill.functions.text import money
+
 
 def put(results: DataFrame, path: str) -> None:
     """Append ``(stage, key, created_at, ..)`` rows; the newest of a key counts."""
@@ -38,6 +41,7 @@ def log_events(events: DataFrame, path: str) -> None:
 
 
 def failures(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded failures in order of time."""
     return spark.read.parquet(path).orderBy("created_at")
 
 
@@ -66,14 +70,82 @@ def file_set_hash(paths: list[str]) -> str:
     return digest.hexdigest()
 
 
-def publish(findings: DataFrame, summary: dict, folder: str) -> None:
-    """Write one JSON line a finding with Spark and the summary as one file; findings are few by their gates."""
-    findings.write.mode("overwrite").json(f"{folder}/findings")
-    session = findings.sparkSession
-    session.createDataFrame([(json.dumps(summary, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/summary")
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write one small file to any store Spark can write to, in place of what is there."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark._jsc.hadoopConfiguration()).create(where, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def write_json(spark: SparkSession, path: str, payload: object) -> None:
+    write_text(spark, path, json.dumps(payload, indent=2, sort_keys=True, default=str) + "\n")
+
+
+def read_json(spark: SparkSession, path: str) -> dict:
+    """A published summary or index, back as it was written."""
+    return json.loads(spark.read.text(path, wholetext=True).first()[0])
+
+
+def start_run(spark: SparkSession, path: str, run: str, corpus_sha256: str) -> None:
+    """Record that a run began; ``finish_run`` adds how it ended. Records are appended, so the newest of a run counts."""
+    _run_record(spark, path, run, corpus_sha256, "started", "")
+
+
+def finish_run(spark: SparkSession, path: str, run: str, corpus_sha256: str, status: str, notes: str = "") -> None:
+    _run_record(spark, path, run, corpus_sha256, status, notes)
+
+
+def _run_record(spark: SparkSession, path: str, run: str, corpus: str, status: str, notes: str) -> None:
+    row = spark.createDataFrame([(run, corpus, status, notes)], "run string, corpus_sha256 string, status string, notes string")
+    row.withColumn("created_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
+def record_failures(failed: DataFrame, path: str) -> None:
+    """Append ``(stage, unit, kind, detail, attempt)`` with the time."""
+    failed.withColumn("created_at", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def write_documents(spark: SparkSession, documents: list[dict], folder: str) -> list[dict]:
+    """Write drafted documents as Markdown with front matter, and an index of them; whatever lay in the folder goes first.
+
+    ``documents`` has ``finding, title, shape, body, evidence`` and ``judgment`` (taken in spite of the floor). There are as
+    many as ``max_artifacts`` allows, so the driver writes them.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    index, numbers = [], {}
+    for d in sorted(documents, key=lambda d: d["finding"]):
+        kind = d["shape"][:3].upper()
+        numbers[kind] = numbers.get(kind, 0) + 1
+        ident = f"{kind}-{numbers[kind]:02d}"
+        name = f"{ident}-{re.sub('[^a-z0-9]+', '-', d['title'].lower()).strip('-')[:50]}.md"
+        front = {
+            "id": ident, "title": d["title"], "shape": d["shape"], "finding": d["finding"], "review": "draft, not reviewed", "evidence": sorted(d["evidence"]), "judgment": bool(d["judgment"]),
+        }
+        # JSON values are YAML values too
+        head = "\n".join(f"{k}: {json.dumps(v)}" for k, v in front.items())
+        write_text(spark, f"{folder}/{name}", f"---\n{head}\n---\n\n{d['body'].strip()}\n")
+        index.append(front | {"name": name})
+    write_json(spark, f"{folder}/index.json", index)
+    return index
+
+
+def read_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """``(name, finding, body)`` of the documents that the index lists; the body is null where the file is gone."""
+    index = read_json(spark, f"{folder}/index.json")
+    listed = spark.createDataFrame([(d["name"], d["finding"]) for d in index], "name string, finding string")
+    found = spark.read.text(folder, wholetext=True, pathGlobFilter="*.md").select(F.col("value").alias("body"), F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"))
+    return listed.join(found, "name", "left").select("name", "finding", "body")
 
 
 def report_lines(findings: DataFrame) -> DataFrame:
-    """Markdown lines of a report, in rank order."""
-    line = F.format_string("%d. **%s** (%s): $%s a month, %d citations", "place", "finding", "status", F.format_number("dollars", 2), "citations")
-    return findings.select("place", line.alias("line")).orderBy("place")
+    """Markdown lines of a report in rank order: a heading a finding, its figures, its reason and its quotes."""
+    of = lambda band: F.get(F.filter("derivations", lambda d: d["band"] == band), F.lit(0))["result"]["dollars_per_month"]
+    head = F.format_string("## %d. %s", "place", "title")
+    figures = F.format_string("%s, %s confidence: %s a month (%s to %s), %d messages in %d instances over %d months, %d people", "status", "confidence", money(of("base")), money(of("low")), money(of("high")), "messages", "instances", "months", "people")
+    why = F.when(F.col("status_reason") != "", F.concat(F.lit("Not counted: "), F.col("status_reason")))
+    quotes = F.transform("citations_list", lambda c: F.concat(F.lit("> "), F.translate(c["quote"], "\r\n", " "), F.lit("\n> ["), c["citation_id"], F.lit("] "), c["source_path"], F.lit(", lines "), c["line_start"].cast("string"), F.lit(" to "), c["line_end"].cast("string")))
+    return findings.select("place", F.concat_ws("\n\n", head, figures, why, F.array_join(quotes, "\n\n")).alias("line")).orderBy("place")

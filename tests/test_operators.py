@@ -258,3 +258,138 @@ def test_archive_rules(spark, tmp_path):
     lines = sorted((r.path, r.source_sha256) for r in files.collect())
     digest = hashlib.sha256("".join(f"{p}:{s}\x00" for p, s in lines).encode()).hexdigest()
     assert tuple(archive.manifest(files).first()) == (8, digest)
+
+
+def _reports(folder, weeks=12):
+    """A weekly report of one sender, and work mail of several, as an archive."""
+    box = folder / "mail" / "kim" / "sent"
+    box.mkdir(parents=True)
+    import datetime
+
+    n = 0
+    for week in range(weeks):
+        day = datetime.date(2001, 1, 1) + datetime.timedelta(days=7 * week)
+        stamp = day.strftime("%a, %d %b %Y 09:00:00 +0000")
+        mails = [("kim@x.org", f"Weekly Capacity Report for {day.month}/{day.day}", "figures attached")]
+        mails += [(f"{who}@x.org", f"meter question {n}", "please confirm the meter volume for the flow date\nso that we can close it again") for who in ("lee", "ann")]
+        for sender, subject, body in mails:
+            n += 1
+            (box / f"{n}.").write_bytes(f"Message-ID: <{n}>\r\nDate: {stamp}\r\nFrom: {sender}\r\nTo: boss@x.org\r\nSubject: {subject}\r\n\r\n{body}\n".encode())
+    return str(folder / "mail")
+
+
+def test_run_publish_and_check(spark, tmp_path):
+    from strandmill.plans import archive_run
+    from strandmill.sources import store
+
+    root, out = _reports(tmp_path), str(tmp_path / "out")
+    done = archive_run.run(spark, root)
+    summary = archive_run.publish(spark, done, out)
+    found = {r.title: r for r in done["findings"].collect()}
+    report = next(r for t, r in found.items() if t.startswith('"Weekly'))
+    assert report.instances == 12 and report.months == 3 and report.status == "quarantined" and report.status_reason == "cited senders 1 < 2"
+    # 12 instances over 3 months, 22 minutes, two people: 4 * 22 * 1.35 / 60 * 0.75 * 85
+    assert str(report.dollars) == "126.22"
+    assert all(c.quote.startswith("Subject: Weekly Capacity Report") and c.raw_end - c.raw_start == len(c.quote) for c in report.citations_list)
+    work = next(r for r in found.values() if r.source == "clusters")
+    assert work.status == "counted" and work.messages == 24 and work.senders == 2 and len(work.citations_list) == 8
+    assert summary["headline"]["dollars"]["base"] == str(work.dollars) and summary["coverage"] == {"eligible": 36, "extracted": 36, "complete": True}
+    lines = [r.line for r in store.report_lines(done["findings"]).collect()]
+    assert lines[0].startswith("## 1. ") and "Not counted: cited senders 1 < 2" in lines[-1]
+    draft = {"finding": work.finding, "title": "Meter Questions", "shape": "sop", "body": f"Asked daily [{work.citations_list[0].citation_id}].", "evidence": [], "judgment": False}
+    store.write_documents(spark, [draft, draft | {"finding": report.finding, "body": "[cit_000000000000]"}], f"{out}/documents")
+    every, rolled = archive_run.check(spark, root, out)
+    assert {r.kind: r.failures for r in rolled.collect()} == {"citation": 0, "recompute": 0, "result": 0, "bands": 0, "headline": 0, "document": 1}
+    # a changed source, and a headline that is not the sum of its parts
+    source = tmp_path / work.citations_list[0].source_path
+    source.write_bytes(source.read_bytes() + b" ")
+    store.write_json(spark, f"{out}/summary.json", summary | {"headline": summary["headline"] | {"dollars": {"base": "1.00"}}})
+    problems = {r.problem for r in archive_run.check(spark, root, out)[0].where("problem IS NOT NULL").collect()}
+    assert problems == {"source changed", "headline is not the sum of its parts", "unknown markers cit_000000000000"}
+
+
+def test_published_quotes_hold_at_their_tier():
+    raw = "Head: x\n\nThe quick brown fox jumps=20over the lazy dog\nand then it rests."
+    base = 9
+    out, runs = decode.decode_quoted(raw[base:])
+    for quote in ("The quick brown fox jumps", "fox jumps over the lazy dog", "over the lazy dog and then it rests.", "OVER THE LAZY DOG AND THEN IT RESTS."):
+        a, b, c, d, tier, repaired, error = evidence.anchor(quote, raw, out, runs, base)
+        assert error is None and evidence.holds(raw[a:b], tier, a, b, (c, d), repaired, raw, out, runs, base) is None
+        assert evidence.holds(raw[a:b] + "x", tier, a, b, (c, d), repaired, raw, out, runs, base) == "slice differs from quote"
+    assert evidence.holds(raw[3:9], "decoded_exact", 3, 9, (0, 6), True, raw, out, runs, base) == "decoded range lies elsewhere"
+    assert evidence.holds("x", "raw_exact", 5, 500, (0, 0), False, raw, out, runs, base) == "range outside the source"
+    assert evidence.holds(raw[:4], "guess", 0, 4, (0, 0), False, raw, out, runs, base) == "unknown tier guess"
+
+
+def test_derivations_repeat_and_follow_the_file(tmp_path):
+    import json
+
+    assumed = estimate.Assumptions.load()
+    row = dict(task_class="gas_nomination", instances=10, messages=25, dated_messages=20, months=3, participants_median=3, rework_rate=1 / 3, waiting_rate=0.1)
+    for band in estimate.BANDS:
+        derived = estimate.derive(row, band, assumed)
+        assert estimate.recompute(derived) == derived["result"]["dollars_per_month"] == estimate.exact_dollars(row, band)
+    own = tmp_path / "own.json"
+    own.write_text(json.dumps({"global": {"blended_rate_usd_per_hour": 60, "coordination_alpha": 0}, "task_classes": {"other": {p: 1 for p in estimate.PARTS}}}))
+    plain = dict(task_class="unheard of", instances=30, messages=30, dated_messages=30, months=1, participants_median=1, rework_rate=0, waiting_rate=0)
+    assert str(estimate.exact_dollars(plain, "low", estimate.Assumptions.load(own))) == "30.00"
+
+
+def test_cards_and_rules(spark):
+    from strandmill.operators import extract
+
+    rows = [
+        ("m1", "kim@home.org", [f"p{i}@home.org" for i in range(8)], "Re: meter 12", "x" * 2000, None, "operational", None, None, True),
+        ("m2", None, [], "", "   ", "2001-02-03 00:00:00", "automated", None, None, True),
+        ("m3", "a@b.org", ["c@d.org"], "t", "prose first\n" + "1 2 3\n" * 400, "2001-02-03 00:00:00", "operational", 12, 400, True),
+    ]
+    df = spark.createDataFrame(rows, "msg_uid string, sender string, recipients array<string>, subject string, novel_text string, at string, category string, table_start int, table_rows long, send_to_model boolean")
+    df = df.select("*", F.to_timestamp_ntz("at").alias("sent_at"), F.lit("box").alias("folder"), F.col("novel_text").alias("body"), F.lit(False).alias("is_reply"))
+    cards = {r.msg_uid: r for r in extract.cards(df, "home.org").collect()}
+    assert "from: kim\nto: p0, p1, p2, p3, p4, p5 (+2 more)" in cards["m1"].card and "[... 480 characters left out ...]" in cards["m1"].card
+    assert cards["m1"].notes == ["the middle of a long message is left out", "no usable date"]
+    assert cards["m2"].card.endswith("note: the sender looks automated\ntext:\n(empty)") and "from: (none)\nto: (none)" in cards["m2"].card
+    assert cards["m3"].card.endswith("text:\nprose first") and "400 rows" in cards["m3"].notes[0]
+    made = {r.msg_uid: r for r in extract.by_rules(df).collect()}
+    assert made["m1"].task_class == "meter_data" and made["m1"].process_phrase == "meter" and made["m2"].task_class == "other" and made["m2"].evidence == []
+    keys = {r.key for r in extract.work(extract.cards(df), "v1").collect()} | {r.key for r in extract.work(extract.cards(df), "v2").collect()}
+    assert len(keys) == 6
+
+
+def test_documents_and_answers(spark):
+    good = "## Purpose\n## Scope\n## Current practice\nWork is done by hand each morning by the desk [cit_0123456789ab].\n## Procedure\n## Recommended change\nSave 3 hours.\n## Open questions\n" + "x" * 300
+    rows = [("a", "sop", good, ["cit_0123456789ab"]), ("b", "email", good.replace("Purpose", "Aim") + "[cit_ffffffffffff]", ["cit_0123456789ab"]), ("c", "sop", None, [])]
+    found = {r.finding: r.problems for r in guard.document_problems(spark.createDataFrame(rows, "finding string, shape string, body string, allowed array<string>")).collect()}
+    assert found["a"] == [] and found["b"] == ["missing heading ## Purpose", "missing heading ## Template", "unknown marker cit_ffffffffffff"]
+    assert "too short" in found["c"] and "no markers" in found["c"]
+    costly = good.replace("by hand", "in 2 hours")
+    assert guard.document_problems(spark.createDataFrame([("a", "sop", costly, ["cit_0123456789ab"])], "finding string, shape string, body string, allowed array<string>").where("true")).first().problems == ["quantity before the recommendation"]
+    answers = spark.createDataFrame([(1, '{"messages": [{"msg_uid": "x"}, {"msg_uid": "x"}, {"msg_uid": null}]}'), (2, '{"messages": 3}'), (3, "no json")], "unit int, payload string")
+    ids, bad = guard.returned_ids(answers)
+    assert sorted(r.unit for r in bad.collect()) == [2, 3]
+    want = spark.createDataFrame([(1, "x"), (1, "y")], "unit int, msg_uid string")
+    assert sorted((r.msg_uid or "", r.problem) for r in guard.batch_problems(want, ids).collect()) == [("", "missing id"), ("x", "duplicate"), ("y", "omitted")]
+    got = spark.createDataFrame([('{"hours": 1}',), ("{",), ('[{"why": "ok"}]',)], "p string").select(guard.json_violations(F.col("p")).alias("v")).collect()
+    assert [len(r.v) for r in got] == [1, 1, 0]
+
+
+def test_store_keeps_the_newest_and_logs(spark, tmp_path):
+    from strandmill.sources import store
+
+    path = str(tmp_path / "results")
+    for at, value in ((1, "old"), (2, "new")):
+        store.put(spark.createDataFrame([("extract", "k", at, value)], "stage string, key string, created_at long, payload string"), path)
+    assert store.latest(spark, path).first().payload == "new"
+    store.record_failures(spark.createDataFrame([("s", "u", "throttled", "", 1)], "stage string, unit string, kind string, detail string, attempt int"), str(tmp_path / "f"))
+    assert store.failures(spark, str(tmp_path / "f")).first().kind == "throttled"
+    store.start_run(spark, str(tmp_path / "runs"), "r1", "abc")
+    store.finish_run(spark, str(tmp_path / "runs"), "r1", "abc", "done")
+    assert {r.status for r in spark.read.parquet(str(tmp_path / "runs")).collect()} == {"started", "done"}
+    store.log_events(spark.createDataFrame([("parse", 3)], "stage string, files int"), str(tmp_path / "log"))
+    assert spark.read.json(str(tmp_path / "log")).first().files == 3
+    schema = {"$schema": "x", "type": "object", "required": ["a"], "properties": {"a": {"type": "integer"}, "b": {"type": ["array", "null"], "items": {"type": "string"}}}}
+    assert store.schema_hash(schema) == store.schema_hash({k: v for k, v in schema.items() if k != "$schema"})
+    assert store.to_struct(schema).simpleString() == "struct<a:bigint,b:array<string>>"
+    for name in ("b", "a"):
+        (tmp_path / name).write_text(name)
+    assert store.file_set_hash([str(tmp_path / "a"), str(tmp_path / "b")]) == store.file_set_hash([str(tmp_path / "b"), str(tmp_path / "a")])
