@@ -174,40 +174,53 @@ def dup_survivors(spark, sf_dir):
 
 
 def _doc_messages(spark, sf_dir):
+    """Documents as messages; the subject is the first four words, so copies share a block and blocks stay small."""
     d = table(spark, sf_dir, "documents")
     sent = F.lit("2001-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("doc_id") % 600).cast("decimal(18,6)"))
     uid = F.lpad(F.col("doc_id").cast("string"), 9, "0")
-    return d.select(uid.alias("msg_uid"), uid.alias("path"), F.col("source").alias("subject_key"), F.when(F.col("doc_id") % 50 != 0, sent).alias("sent_at"), "text")
+    key = F.array_join(F.slice(dedupe.words_of(F.col("text")), 1, 4), " ")
+    return d.select(uid.alias("msg_uid"), uid.alias("path"), key.alias("subject_key"), F.when(F.col("doc_id") % 50 != 0, sent).alias("sent_at"), "text")
 
 
-@query("""WITH m AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS uid, source, CASE WHEN doc_id % 50 <> 0 THEN doc_id % 600 END AS s, trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')) AS t FROM documents),
-z AS (SELECT *, count(*) OVER (PARTITION BY source) AS size, string_split(lower(t), ' ') AS w FROM m),
-r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY s IS NULL, s NULLS FIRST, uid) AS n,
-        list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM z WHERE size BETWEEN 2 AND 400 AND len(w) >= 25)
-SELECT a.source AS subject_key, a.uid AS a, b.uid AS b FROM r a JOIN r b ON a.source = b.source AND a.n < b.n AND ((a.s IS NULL AND b.s IS NULL) OR abs(a.s - b.s) <= 120)
-WHERE len(list_intersect(a.g, b.g)) >= 0.2 * (len(a.g) + len(b.g) - len(list_intersect(a.g, b.g)))""")
+_NEAR_SQL = """WITH m AS (SELECT lpad(doc_id::VARCHAR, 9, '0') AS uid, CASE WHEN doc_id % 50 <> 0 THEN doc_id % 600 END AS s,
+        string_split(lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\r\\f]+', ' ', 'g'))), ' ') AS w FROM documents),
+z AS (SELECT *, array_to_string(w[1:4], ' ') AS key, count(*) OVER (PARTITION BY array_to_string(w[1:4], ' ')) AS size FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s IS NULL, s NULLS FIRST, uid) AS n,
+        list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS g FROM z WHERE key <> '' AND size BETWEEN 2 AND 400 AND len(w) >= 25),
+pairs AS (SELECT a.key, a.uid AS a, b.uid AS b, a.n AS n, b.n AS nb, len(list_intersect(a.g, b.g)) AS common, len(a.g) + len(b.g) AS total
+  FROM r a JOIN r b ON a.key = b.key AND a.n < b.n AND ((a.s IS NULL AND b.s IS NULL) OR abs(a.s - b.s) <= 120))"""
+
+
+@query(_NEAR_SQL + " SELECT key AS subject_key, a, b FROM pairs WHERE common >= 0.5 * (total - common)")
 def dup_near_jaccard(spark, sf_dir):
-    found = dedupe.near_candidates(_doc_messages(spark, sf_dir), most=None).where(F.col("jaccard") >= 0.2)
+    found = dedupe.near_candidates(_doc_messages(spark, sf_dir)).where(F.col("jaccard") >= 0.5)
     return found.select("subject_key", "a", "b")
 
 
+@query("""WITH w AS (SELECT string_split(lower(trim(regexp_replace(coalesce(text, ''), '[ \\t\\n\\x0B\\r\\f]+', ' ', 'g'))), ' ') AS w FROM documents),
+k AS (SELECT array_to_string(w[1:4], ' ') AS subject_key, count(*) AS messages FROM w GROUP BY 1)
+SELECT subject_key, messages, messages > 400 AS left_out FROM k WHERE subject_key <> '' AND messages >= 2""")
+def dup_near_blocks(spark, sf_dir):
+    return dedupe.blocks(_doc_messages(spark, sf_dir))
+
+
 @query()
 def dup_near_minhash(spark, sf_dir):
     m = dedupe.with_minhash(_doc_messages(spark, sf_dir))
-    pairs = dedupe.near_candidates(m, most=None)
+    pairs = dedupe.near_candidates(m)
     a, b = (m.select(F.col("msg_uid").alias(c), F.col("signature").alias(f"s_{c}")) for c in "ab")
     return pairs.join(a, "a").join(b, "b").select("a", "b", dedupe.signature_similarity(F.col("s_a"), F.col("s_b")).alias("similarity"))
 
 
 @query()
 def dup_near(spark, sf_dir):
-    return dedupe.near_duplicates(_doc_messages(spark, sf_dir), most=None)
+    return dedupe.near_duplicates(_doc_messages(spark, sf_dir))
 
 
 # ---- identity and threads ---------------------------------------------------------------
 
 
-@query("""WITH RECURSIVE e AS (SELECT doc_id AS u, doc_id * 2 + 1 AS v FROM documents WHERE doc_id % 3 <> 0),
+@query("""WITH RECURSIVE e AS (SELECT doc_id AS u, doc_id * 2 + 1 AS v FROM documents),
 b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
 r AS (SELECT DISTINCT u AS vertex, u AS label FROM b UNION SELECT b.v, r.label FROM r JOIN b ON b.u = r.vertex)
 SELECT vertex, min(label) AS component FROM r GROUP BY vertex""")
@@ -217,24 +230,28 @@ def components(spark, sf_dir):
 
 
 def _addresses(spark, sf_dir):
+    """Up to 300 people with two addresses of one display name, another address of another name, and some directory names."""
     d = table(spark, sf_dir, "documents").select("doc_id")
-    k = F.col("doc_id")
-    s = lambda n: (k % n).cast("string")
+    person, which = F.col("doc_id") % 300, F.floor(F.col("doc_id") / 300) % 3
+    p = person.cast("string")
+    letters = F.concat(F.translate(p, "0123456789", "abcdefghij"), F.lit("x"))
     senders = d.select(
-        F.concat(F.lit("user"), s(40), F.lit(".name"), s(11), F.lit("@example.org")).alias("address"),
-        F.concat(F.translate(s(13), "0123456789", "abcdefghij"), F.lit("x first, "), F.translate(s(7), "0123456789", "abcdefghij"), F.lit("x last <o=x>")).alias("display"),
+        F.concat(F.lit("u"), p, F.lit(".name"), p, F.lit("@example"), which.cast("string"), F.lit(".org")).alias("address"),
+        F.concat(letters, F.when(which < 2, " first, ").otherwise(" second, "), letters, F.lit(" last </o=x>")).alias("display"),
     )
-    names = d.where(k % 17 == 0).select(F.concat(F.lit("x500:uname"), s(11)).alias("address"))
+    names = d.where("doc_id % 17 = 0").select(F.concat(F.lit("x500:uname"), p).alias("address"))
     return senders.select("address").union(names), senders
 
 
-_PEOPLE_SQL = """WITH RECURSIVE d AS (SELECT doc_id AS k FROM documents),
-s AS (SELECT 'user' || (k % 40) || '.name' || (k % 11) || '@example.org' AS address,
-        array_to_string(list_sort(list_filter(string_split_regex(lower(translate((k % 13)::VARCHAR, '0123456789', 'abcdefghij') || 'x first, ' || translate((k % 7)::VARCHAR, '0123456789', 'abcdefghij') || 'x last '), '[^a-z]+'), lambda w: length(w) > 1)), ' ') AS name FROM d),
-a AS (SELECT address FROM s UNION SELECT 'x500:uname' || (k % 11) FROM d WHERE k % 17 = 0),
+_PEOPLE_SQL = """WITH RECURSIVE d AS (SELECT doc_id % 300 AS p, (doc_id // 300) % 3 AS v, doc_id AS k FROM documents),
+l AS (SELECT *, translate(p::VARCHAR, '0123456789', 'abcdefghij') || 'x' AS letters FROM d),
+s AS (SELECT 'u' || p || '.name' || p || '@example' || v || '.org' AS address, letters || CASE WHEN v < 2 THEN ' first, ' ELSE ' second, ' END || letters || ' last' AS display,
+        array_to_string(list_sort(list_filter(string_split_regex(letters || CASE WHEN v < 2 THEN ' first, ' ELSE ' second, ' END || letters || ' last', '[^a-z]+'), lambda w: length(w) > 1)), ' ') AS name FROM l),
+a AS (SELECT address FROM s UNION SELECT 'x500:uname' || p FROM d WHERE k % 17 = 0),
+f AS (SELECT split_part(split_part(address, '@', 1), '.', 2) AS surname, min(address) AS least FROM s GROUP BY 1),
 e AS (SELECT min(address) OVER (PARTITION BY name) AS u, address AS v FROM (SELECT DISTINCT name, address FROM s)
-      UNION SELECT (SELECT min(r.address) FROM s r WHERE r.address LIKE '%.' || substr(x.address, 7) || '@%'), x.address FROM a x WHERE x.address LIKE 'x500:%'),
-b AS (SELECT u, v FROM e WHERE u IS NOT NULL UNION SELECT v, u FROM e WHERE u IS NOT NULL UNION SELECT address, address FROM a),
+      UNION SELECT f.least, x.address FROM a x JOIN f ON f.surname = substr(x.address, 7) WHERE x.address LIKE 'x500:%'),
+b AS (SELECT u, v FROM e UNION SELECT v, u FROM e UNION SELECT address, address FROM a),
 r AS (SELECT DISTINCT u AS vertex, u AS label FROM b UNION SELECT b.v, r.label FROM r JOIN b ON b.u = r.vertex),
 g AS (SELECT vertex AS address, min(label) AS root FROM r GROUP BY vertex)"""
 
@@ -244,13 +261,14 @@ def identity_resolve(spark, sf_dir):
     return identity.resolve(*_addresses(spark, sf_dir))
 
 
-@query(_PEOPLE_SQL + """, c AS (SELECT address, count(*) AS n FROM s GROUP BY address)
-SELECT root, arg_min(address, (length(address), address)) FILTER (address NOT LIKE 'x500:%') AS canonical_address, count(*) AS addresses, coalesce(sum(n), 0)::BIGINT AS message_count
-FROM g LEFT JOIN c USING (address) GROUP BY root""")
+@query(_PEOPLE_SQL + """, c AS (SELECT address, count(*) AS n FROM s GROUP BY address), o AS (SELECT DISTINCT root, display FROM g JOIN s USING (address)),
+n AS (SELECT root, arg_min(display, (-length(display), display)) AS label, count(*) AS names FROM o GROUP BY root)
+SELECT root, arg_min(address, (length(address), address)) FILTER (address NOT LIKE 'x500:%') AS canonical_address, count(*) AS addresses, coalesce(sum(n), 0)::BIGINT AS message_count, max(label) AS label, max(names) AS names
+FROM g LEFT JOIN c USING (address) LEFT JOIN n USING (root) GROUP BY root""")
 def identity_people(spark, sf_dir):
     every, senders = _addresses(spark, sf_dir)
-    found = identity.people(identity.resolve(every, senders), senders.groupBy("address").agg(F.count("*").alias("messages")))
-    return found.select("root", "canonical_address", F.size("addresses").cast("long").alias("addresses"), "message_count")
+    found = identity.people(identity.resolve(every, senders), senders)
+    return found.select("root", "canonical_address", F.size("addresses").cast("long").alias("addresses"), "message_count", "label", F.size("display_names").cast("long").alias("names"))
 
 
 def _threaded(spark, sf_dir):
@@ -277,7 +295,7 @@ _SUBJ_SQL = "CASE " + " ".join(f"WHEN regexp_matches(subject, '{_ASCII(p)}') THE
 _R = triage.REASONS
 _TRIAGE_SQL = f"""WITH {MESSAGES_SQL},
 t AS (SELECT *, {_TERMS_SQL} AS terms, {_BODY_SQL} AS body_noise, {_SUBJ_SQL} AS subject_noise, regexp_matches(sender, '{_ASCII(triage.AUTOMATED_SENDERS)}') AS auto,
-        trim(novel_text) = '' AS bare, regexp_matches(subject, '{_ASCII(triage.ATTACHMENT_ONLY)}') AS file FROM messages),
+        regexp_full_match(novel_text, '\\s*') AS bare, regexp_matches(subject, '{_ASCII(triage.ATTACHMENT_ONLY)}') AS file FROM messages),
 c AS (SELECT msg_uid, terms,
    CASE WHEN bare THEN 'ack' WHEN body_noise IS NOT NULL THEN 'noise' WHEN subject_noise IS NOT NULL AND terms < 3 THEN 'noise' WHEN auto AND terms < 2 THEN 'automated' ELSE 'operational' END AS category,
    CASE WHEN bare AND file THEN '{_R["file"]}' WHEN bare THEN '{_R["empty"]}' WHEN body_noise IS NOT NULL THEN '{_R["body"]}' || body_noise
@@ -313,7 +331,7 @@ def _lines(spark, sf_dir):
     return li.groupBy("l_suppkey").agg(F.array_join(F.transform(parts, lambda x: x["line"]), "\n").alias("body"))
 
 
-@query("SELECT l_suppkey, 0 AS first_line, count(*) AS rows FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY l_suppkey HAVING count(*) >= 200")
+@query("SELECT l_suppkey, 0 AS first_line, count(*) AS rows FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 200")
 def table_runs(spark, sf_dir):
     return tables.longest_runs(_lines(spark, sf_dir), "l_suppkey", "body")
 

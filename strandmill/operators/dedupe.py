@@ -65,15 +65,20 @@ def jaccard(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def near_candidates(messages: DataFrame, block: str = "subject_key", text: str = "text", most: int | None = MAX_BLOCK) -> DataFrame:
+def blocks(messages: DataFrame, block: str = "subject_key", most: int = MAX_BLOCK) -> DataFrame:
+    """``(block, messages, left_out)`` of each block of two or more: which ones the tier leaves alone for their size."""
+    sizes = messages.where(F.col(block) != "").groupBy(block).agg(F.count("*").alias("messages")).where("messages >= 2")
+    return sizes.withColumn("left_out", F.col("messages") > most)
+
+
+def near_candidates(messages: DataFrame, block: str = "subject_key", text: str = "text", most: int = MAX_BLOCK) -> DataFrame:
     """Pairs of one block, sent within two minutes or both undated; ``n`` is the rank in the block.
 
-    Blocks hold 2 to ``most`` messages (larger ones are left alone, as the tier is defined; None leaves out no
-    block, for keys coarser than subjects, at a cost that grows with the square of a block) and only texts of at least 25 words. The time condition is part of the join key in
+    Blocks hold 2 to ``most`` messages (larger ones are left alone, as the tier is defined; ``blocks`` lists them) and only texts of at least 25 words. The time condition is part of the join key in
     windows of its own length, so a block is not paired with itself as a whole.
     """
     sized = messages.where(F.col(block) != "").withColumn("words", words_of(F.col(text))).withColumn("block_size", F.count("*").over(Window.partitionBy(block)))
-    fits = F.col("block_size") >= 2 if most is None else F.col("block_size").between(2, most)
+    fits = F.col("block_size").between(2, most)
     long_ = sized.where(fits & (F.size("words") >= MIN_WORDS))
     rank = F.row_number().over(Window.partitionBy(block).orderBy(*_rank_columns()))
     seconds = F.unix_seconds(F.col("sent_at").cast("timestamp"))
@@ -99,7 +104,7 @@ def claim(pairs: DataFrame, block: str = "subject_key") -> DataFrame:
     return pairs.groupBy(block).applyInPandas(run, "msg_uid string, canonical_uid string")
 
 
-def near_duplicates(messages: DataFrame, block: str = "subject_key", text: str = "text", near: float = NEAR, most: int | None = MAX_BLOCK) -> DataFrame:
+def near_duplicates(messages: DataFrame, block: str = "subject_key", text: str = "text", near: float = NEAR, most: int = MAX_BLOCK) -> DataFrame:
     found = claim(near_candidates(messages, block, text, most).where(F.col("jaccard") >= near), block)
     return found.withColumn("reason", F.lit(f"near copy, similarity {near} or more"))
 

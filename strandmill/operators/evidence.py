@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.decode import Run, to_raw
+from strandmill.session import durable
 
 # Lengths of quotes, the least likeness of a repaired one, and the punctuation that is folded.
 MIN_QUOTE, MAX_QUOTE, MIN_LIKENESS = 24, 300, 0.92
@@ -104,30 +107,90 @@ def anchored(quote: Column, raw: Column, text: Column, runs: Column, base: Colum
     return F.pandas_udf(_anchored, ANCHOR)(quote, raw, text, runs, base)
 
 
-def exact_places(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: str = "text", words: int = 8) -> DataFrame:
-    """Where whole quotes stand in texts: every pair with the 0-based start, without pairing each long quote with each text.
-
-    Quotes and texts meet on the hash of a quote's first words between single blanks; a final search of the text decides.
-    Quotes of one or two pieces hold no whole word for certain, so these alone are searched in every text.
+def _window_keys(arrays: pd.Series, n: int) -> list[np.ndarray]:
+    """Hashes of every ``n`` words in a row, from the hashes of the words."""
+    out = []
+    for words in arrays:
+        h = np.asarray(words if words is not None else [], np.int64).view(np.uint64)
+        m = max(len(h) - n + 1, 0)
+        key = np.zeros(m, np.uint64)
+        for i in range(n):
+            key = key * np.uint64(0x9E3779B97F4A7C15) + h[i : i + m]
+        out.append(key ^ (key >> np.uint64(29)))
+    return out
+
+
+def exact_places(quotes: DataFrame, texts: DataFrame, quote: str = "quote", text: str = "text", words: int = 8, block: int = 20_000) -> DataFrame:
+    """Where whole quotes stand in texts: every pair with the 0-based start, without pairing each quote with each text.
+
+    Quotes and texts meet on the hash of a quote's first words between single blanks or line ends; a final search of
+    the text decides. A bitmap of the quotes' hashes (2 MB) keeps other windows from leaving the row of their text. The first
+    and the last piece of a quote may be cut words, so a quote of one or two pieces has no whole word to meet on:
+    those are searched in every text at once, ``block`` of them a pass.
     """
-    pieces = lambda c: F.split(c, "[ \n]")
-    every = quotes.withColumn("_w", pieces(F.col(quote))).where(F.length(quote) > 0)
+    spark = texts.sparkSession
+    hashed = lambda c: F.transform(F.split(c, "[ \n]"), lambda w: F.xxhash64(w))
+    every = quotes.withColumn("_w", hashed(F.col(quote))).where(F.length(quote) > 0)
     short, long_ = every.where(F.size("_w") <= 2).drop("_w"), every.where(F.size("_w") > 2)
-    # the first and last piece may be cut words, so the key starts behind the first piece
-    keyed = long_.withColumn("_n", F.least(F.lit(words), F.size("_w") - 2)).withColumn("_key", F.xxhash64(F.slice("_w", F.lit(2), F.col("_n"))))
-    sizes = [r["_n"] for r in keyed.select("_n").distinct().collect()]
-    w = texts.withColumn("_w", pieces(F.col(text)))
-    windows = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size("_w") - n + 1, F.lit(1))), lambda i: F.xxhash64(F.slice("_w", i, F.lit(n))))
-    grams = [windows(n) for n in sizes]
-    keys = F.array_distinct(F.flatten(F.array(*grams))) if grams else F.array().cast("array<bigint>")
-    met = w.withColumn("_key", F.explode(keys)).drop("_w").join(keyed.drop("_w"), "_key")
-    met = met.drop("_key", "_n")
-    if not short.isEmpty():
-        met = met.unionByName(texts.join(short, F.contains(text, quote)))
-    at = F.expr(f"locate({quote}, {text})")
+    keyed = long_.withColumn("_n", F.least(F.lit(words), F.size("_w") - 2).cast("int"))
+
+    @F.pandas_udf("long")
+    def first_key(w: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([_window_keys([x], k)[0].view(np.int64)[0] for x, k in zip(w, n, strict=True)], dtype="int64")
+
+    keyed = durable(keyed.withColumn("_key", first_key(F.slice("_w", F.lit(2), F.col("_n")), F.col("_n"))).drop("_w"))
+    sizes = sorted(r["_n"] for r in keyed.select("_n").distinct().collect())
+    spots = keyed.select(F.shiftrightunsigned("_key", 40).alias("spot")).selectExpr("cast(spot >> 6 as int) AS word", "shiftleft(1L, cast(spot & 63 as int)) AS bit")
+    held = spots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    bitmap = np.zeros(1 << 18, np.int64)
+    bitmap[held["word"].to_numpy()] = held["bits"].to_numpy()
+    shared = spark.sparkContext.broadcast(bitmap.view(np.uint64))
+
+    @F.pandas_udf("array<long>")
+    def candidates(arrays: pd.Series) -> pd.Series:
+        found = [[] for _ in range(len(arrays))]
+        for n in sizes:
+            for i, key in enumerate(_window_keys(arrays, n)):
+                at = key >> np.uint64(40)
+                hit = (shared.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) > 0
+                if hit.any():
+                    found[i].extend(np.unique(key[hit]).view(np.int64).tolist())
+        return pd.Series([sorted(set(x)) for x in found])
+
+    likely = texts.withColumn("_keys", candidates(hashed(F.col(text)))).where(F.size("_keys") > 0)
+    met = likely.withColumn("_key", F.explode("_keys")).drop("_keys").join(keyed, "_key").drop("_key", "_n")
+    passes = -(-short.count() // block)
+    for number in range(passes):
+        mine = short.where(F.pmod(F.xxhash64(quote), F.lit(passes)) == number) if passes > 1 else short
+        met = met.unionByName(_short_places(mine, texts, quote, text))
+    at = F.call_function("locate", F.col(quote), F.col(text))
     return met.withColumn("start", at - 1).where("start >= 0")
 
 
+def _short_places(quotes: DataFrame, texts: DataFrame, quote: str, text: str) -> DataFrame:
+    """Texts joined with the short quotes they hold, found in one pass of each text by an automaton over all of them."""
+    listed = sorted({r[0] for r in quotes.select(quote).collect()})
+    shared = texts.sparkSession.sparkContext.broadcast(listed)
+
+    @F.pandas_udf("array<string>")
+    def inside(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        try:
+            import ahocorasick
+
+            automaton = ahocorasick.Automaton()
+            for q in shared.value:
+                automaton.add_word(q, q)
+            automaton.make_automaton()
+            search = lambda t: sorted({q for _, q in automaton.iter(t)})
+        except ImportError:
+            search = lambda t: [q for q in shared.value if q in t]
+        for batch in batches:
+            yield batch.fillna("").map(search)
+
+    held = texts.withColumn("_q", inside(F.col(text))).where(F.size("_q") > 0).withColumn("_quote", F.explode("_q")).drop("_q")
+    return held.join(quotes.withColumnRenamed(quote, "_quote"), "_quote").withColumnRenamed("_quote", quote)
+
+
 def holds(quote: str, tier: str, start: int, end: int, decoded: tuple[int, int], repaired: bool, raw: str, text: str, runs: list[Run], base: int = 0) -> str | None:
     """What is wrong with a published quote, by its tier; None if nothing is.
 

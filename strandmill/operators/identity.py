@@ -61,7 +61,7 @@ def people(resolved: DataFrame, senders: DataFrame) -> DataFrame:
         F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("names")))), 1, 6).alias("display_names"),
         F.sum(F.coalesce("messages", F.lit(0))).alias("message_count"),
     )
-    longest = F.array_max(F.transform("display_names", lambda n: F.struct(F.length(n).alias("long"), n.alias("name"))))["name"]
+    longest = F.array_min(F.transform("display_names", lambda n: F.struct((-F.length(n)).alias("long"), n.alias("name"))))["name"]
     # an id by hash, since shortened addresses of two people may be alike
     pid = sha_short("p_", F.col("canonical_address"), 12)
     return grouped.select(pid.alias("person_id"), "root", "canonical_address", "addresses", "display_names", F.coalesce(longest, "canonical_address").alias("label"), "message_count")

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.session import ship
+
 MAX_GAP_SECONDS = 10 * 86_400
 
 
@@ -49,26 +50,43 @@ def build_threads(messages: DataFrame, key: str = "subject_key") -> DataFrame:
 
     Messages without a subject or a date stand alone and skip the grouped step, so an empty
     subject never gathers in one group. A subject's timeline is cut at gaps that no reply can
-    bridge, and each part is a group of its own.
+    bridge, and each part is dealt to a task of its own; a task works through its parts one after another.
     """
     columns = ["msg_uid", "path", F.coalesce(key, F.lit("")).alias("subject"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("micros"), "is_reply", "people"]
     rows = messages.select(*columns)
     alone = (F.col("subject") == "") | F.col("micros").isNull()
     single = F.concat(F.lit("t_"), F.substring(F.sha2(F.concat_ws("|", "subject", "msg_uid"), 256), 1, 12))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["micros", "path"], kind="stable")
-        home = chain(list(zip(pdf["micros"] / 1e6, pdf["is_reply"], pdf["people"], strict=True)))
-        subject = pdf["subject"].iloc[0]
-        grouped = pdf["msg_uid"].groupby(np.array(home))
-        ids = {k: thread_id(subject, list(v)) for k, v in grouped}
-        return pd.DataFrame({"msg_uid": pdf["msg_uid"], "thread_id": [ids[k] for k in home], "subject": subject})
-
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # rows come sorted, so groups follow each other; only the last one of a batch may go on in the next
+        held: list[tuple] = []
+
+        def closed(rows_: list[tuple]) -> list[tuple]:
+            home = chain([(micros / 1e6, reply, people) for _, _, micros, reply, people in rows_])
+            uids: dict[int, list[str]] = {}
+            for number, row in zip(home, rows_, strict=True):
+                uids.setdefault(number, []).append(row[0])
+            ids = {number: thread_id(rows_[0][1][0], own_) for number, own_ in uids.items()}
+            return [(row[0], ids[number], row[1][0]) for number, row in zip(home, rows_, strict=True)]
+
+        for frame in frames:
+            out: list[tuple] = []
+            for uid, subject, part, micros, reply, people in zip(*(frame[c] for c in ("msg_uid", "subject", "part", "micros", "is_reply", "people")), strict=True):
+                if held and held[0][1] != (subject, part):
+                    out += closed(held)
+                    held = []
+                held.append((uid, (subject, part), micros, reply, people))
+            yield pd.DataFrame(out, columns=["msg_uid", "thread_id", "subject"])
+        if held:
+            yield pd.DataFrame(closed(held), columns=["msg_uid", "thread_id", "subject"])
+
+    ship(messages.sparkSession)
     own = Window.partitionBy("subject").orderBy("micros", "path")
     # a second more than the gap, since the rule compares seconds as floats
     far = F.coalesce(F.col("micros") - F.lag("micros").over(own) > (MAX_GAP_SECONDS + 1) * 1_000_000, F.lit(False))
     parts = rows.where(~alone).withColumn("far", far.cast("int")).withColumn("part", F.sum("far").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    chained = parts.drop("far").groupBy("subject", "part").applyInPandas(run, "msg_uid string, thread_id string, subject string")
+    dealt = parts.repartition("subject", "part").sortWithinPartitions("subject", "part", "micros", "path")
+    chained = dealt.select("msg_uid", "subject", "part", "micros", "is_reply", "people").mapInPandas(run, "msg_uid string, thread_id string, subject string")
     return rows.where(alone).select("msg_uid", single.alias("thread_id"), "subject").unionByName(chained)
 
 

@@ -393,3 +393,62 @@ def test_store_keeps_the_newest_and_logs(spark, tmp_path):
     for name in ("b", "a"):
         (tmp_path / name).write_text(name)
     assert store.file_set_hash([str(tmp_path / "a"), str(tmp_path / "b")]) == store.file_set_hash([str(tmp_path / "b"), str(tmp_path / "a")])
+
+
+def test_threads_against_a_replay(spark):
+    """Against the rule replayed over whole subjects, without cuts, in plain Python."""
+    r = random.Random(8)
+    day = 86_400
+    rows = []
+    for i in range(600):
+        at = None if i % 40 == 0 else r.randrange(0, 400 * day)
+        rows.append((f"m{i:04d}", f"p{i:04d}", r.choice(["a", "b", "", "hot", "hot", "hot"]), at, r.random() < 0.6, r.sample("uvwxyz", 2)))
+    df = spark.createDataFrame(rows, "msg_uid string, path string, subject_key string, s long, is_reply boolean, people array<string>").withColumn("sent_at", F.timestamp_seconds("s"))
+    found = {x.msg_uid: x.thread_id for x in threads.build_threads(df).collect()}
+    want: dict[str, str] = {}
+    for subject in ("a", "b", "hot"):
+        opened: list = []
+        for uid, _, _, at, reply, people in sorted((x for x in rows if x[2] == subject and x[3] is not None), key=lambda x: (x[3], x[1])):
+            fits = [t for t in opened if reply and at - t[1] <= 10 * day and t[2] & set(people)]
+            home = fits[-1] if fits else [[], at, set()]
+            if not fits:
+                opened.append(home)
+            home[0].append(uid)
+            home[1], home[2] = at, home[2] | set(people)
+        for uids, _, _ in opened:
+            want |= dict.fromkeys(uids, threads.thread_id(subject, uids))
+    want |= {x[0]: threads.thread_id(x[2], [x[0]]) for x in rows if x[2] == "" or x[3] is None}
+    assert found == want
+
+
+def test_linkage_weighs_repeated_phrases(spark):
+    """Distinct phrases with counts cluster as all records would."""
+    phrases = ["send report"] * 40 + ["send weekly report"] * 3 + ["confirm meter volume"] * 2 + ["confirm meter"] * 9 + ["pay invoice"]
+    rows = [(f"m{i:03d}", "c", p) for i, p in enumerate(phrases)]
+    found = dict(map(tuple, clusters.linkage_clusters(spark.createDataFrame(rows, "msg_uid string, task_class string, process_phrase string")).collect()))
+    unit = clusters.tfidf([p.split() for p in phrases])
+    whole = clusters.average_linkage(1 - unit @ unit.T, clusters.COSINE_CUT)
+    assert found == {uid: rows[int(k)][0] for (uid, _, _), k in zip(rows, whole, strict=True)}
+
+
+def test_exemplars_against_a_greedy_choice(spark):
+    r = random.Random(4)
+    rows = [("c", f"m{i:03d}", r.choice("ab"), f"2001-0{r.randint(1, 3)}-01 00:00:00", r.randint(0, 2), "x" * r.randint(1, 5)) for i in range(80)]
+    df = spark.createDataFrame(rows, "cluster string, msg_uid string, sender string, at string, n_evidence int, process_phrase string").withColumn("sent_at", F.to_timestamp_ntz("at"))
+    best = sorted(rows, key=lambda x: (-x[4], -len(x[5]), x[1]))
+    picked: list = []
+    for x in best:
+        if len(picked) < 18 and sum(p[2] == x[2] for p in picked) < 4 and sum(p[3] == x[3] for p in picked) < 5:
+            picked.append(x)
+    picked += [x for x in best if x not in picked][: 18 - len(picked)]
+    assert [x.msg_uid for x in clusters.exemplars(df).orderBy("place").collect()] == [x[1] for x in picked]
+
+
+def test_short_and_long_quotes(spark):
+    texts = spark.createDataFrame([(1, "alpha beta gamma"), (2, "a word here\tand beta"), (3, None), (4, "one two\nthree four five six seven eight nine ten eleven")], "doc_id int, text string")
+    quotes = ["beta", "word here", "beta\tgamma", "eta gam", "two\nthree four five six seven eight nine ten", "wo\nthree fou", "beta gamma", "lph", ""]
+    found = evidence.exact_places(spark.createDataFrame([(q,) for q in quotes], "quote string"), texts).select("doc_id", "quote", "start").collect()
+    want = sorted((i, q, t.find(q)) for i, t in ((1, "alpha beta gamma"), (2, "a word here\tand beta"), (4, "one two\nthree four five six seven eight nine ten eleven")) for q in quotes if q and q in t)
+    assert sorted(map(tuple, found)) == want
+    again = evidence.exact_places(spark.createDataFrame([(q,) for q in quotes], "quote string"), texts, block=2).select("doc_id", "quote", "start").collect()
+    assert sorted(map(tuple, again)) == want
