@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import decode, text
-from strandmill.operators import claims, clusters, dedupe, estimate, evidence, graph, guard, identity, series, tables, threads, triage, verify
-from strandmill.plans.views import MESSAGES_SQL, RECORDS_SQL, messages, records
-from strandmill.session import table
-from strandmill.sources import store
+from strandmill.operators import claims, clusters, dedupe, estimate, evidence, extract, findings, graph, guard, identity, series, tables, threads, triage, verify
+from strandmill import config
+from strandmill.plans.views import MESSAGES_SQL, RECORDS_SQL, messages, records, with_sources
+from strandmill.session import durable, table
+from strandmill.sources import archive, store
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -644,3 +645,192 @@ def verify_checks(spark, sf_dir):
 @query(_BANDS_SQL + " SELECT cluster, max(dollars) FILTER (band = 'low') AS low FROM bands GROUP BY cluster HAVING NOT (max(dollars) FILTER (band = 'low') <= max(dollars) FILTER (band = 'base') AND max(dollars) FILTER (band = 'base') <= max(dollars) FILTER (band = 'high'))")
 def verify_bands(spark, sf_dir):
     return verify.bands_in_order(estimate.estimate(estimate.measure(_grouped(spark, sf_dir)), spark), "cluster").select("cluster", "low")
+
+
+# ---- extraction -------------------------------------------------------------------------
+
+_SENT_SQL = _TRIAGE_SQL + ", x AS (SELECT m.*, c.category FROM messages m JOIN c USING (msg_uid) WHERE c.category = 'operational')"
+_BARE_SQL = "regexp_replace(novel_text, '^\\s+|\\s+$', '', 'g')"
+
+
+def _to_read(spark, sf_dir):
+    m = triage.classify(messages(spark, sf_dir))
+    return m.withColumns({"recipients": F.slice("participants", 2, 1), "body": F.col("novel_text")})
+
+
+@query(_SENT_SQL + f""", y AS (SELECT *, {_BARE_SQL} AS t FROM x),
+z AS (SELECT *, length(t) > 1600 AS long FROM y)
+SELECT msg_uid, concat_ws(chr(10), '--- MESSAGE ' || msg_uid, 'date: ' || coalesce(strftime(sent_at, '%Y-%m-%d'), 'unknown'), 'from: ' || split_part(sender, '@', 1), 'to: ' || split_part(desk, '@', 1), 'folder: ' || folder,
+  'subject: ' || CASE WHEN subject = '' THEN '(no subject)' ELSE subject END, CASE WHEN long THEN 'note: the middle of a long message is left out' END, CASE WHEN sent_at IS NULL THEN 'note: no usable date' END, 'text:',
+  CASE WHEN long THEN t[1:1200] || chr(10) || '[... ' || (length(t) - 1520) || ' characters left out ...]' || chr(10) || t[-320:] WHEN t = '' THEN '(empty)' ELSE t END) AS card FROM z""")
+def cards(spark, sf_dir):
+    return extract.cards(_to_read(spark, sf_dir), "example.org").select("msg_uid", "card")
+
+
+def _count_sql(words: list[str]) -> str:
+    import re
+
+    return "len(regexp_extract_all(t, '(?i)\\b(?:" + "|".join(re.escape(w).replace("'", "''") for w in words) + ")\\b'))"
+
+
+_VOCABULARY = config.default("vocabulary")
+_CLASSES_SQL = "[" + ", ".join(f"{{'n': {_count_sql(w)}, 'i': {-i}, 'c': '{name}'}}" for i, (name, w) in enumerate(_VOCABULARY["task_classes"].items())) + "]"
+_SYSTEMS_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_count_sql(w)} > 0 THEN '{name}' END" for name, w in _VOCABULARY["systems"].items()) + "], lambda s: s IS NOT NULL)"
+_SIGNALS_SQL = ", ".join(f"{_count_sql(w)} > 0 AS {name}" for name, w in _VOCABULARY["signals"].items())
+_PHRASE_SQL = f"array_to_string(list_filter(string_split_regex(regexp_replace({_TEMPLATE_SQL}, '<[a-z]+>', ' ', 'g'), '[^a-z0-9]+'), lambda w: length(w) > 2 AND NOT list_contains({_STOP_SQL}, w))[1:6], ' ')"
+
+
+@query(_SENT_SQL + f""", y AS (SELECT *, subject || chr(10) || novel_text AS t FROM x),
+z AS (SELECT *, list_max({_CLASSES_SQL}) AS best, {_PHRASE_SQL} AS phrase, {_SYSTEMS_SQL} AS sys, {_SIGNALS_SQL} FROM y),
+k AS (SELECT *, CASE WHEN best.n > 0 THEN best.c ELSE 'other' END AS task_class FROM z)
+SELECT msg_uid, task_class, CASE WHEN phrase = '' THEN replace(task_class, '_', ' ') ELSE phrase END AS process_phrase, array_to_string(sys, ',') AS systems,
+  rework_signal, waiting_signal, manual_transfer_signal, deadline_signal, CASE WHEN length({_BARE_SQL}) >= 24 THEN {_BARE_SQL}[1:300] END AS quote FROM k""")
+def extract_rules(spark, sf_dir):
+    found = extract.by_rules(_to_read(spark, sf_dir))
+    return found.select("msg_uid", "task_class", "process_phrase", F.array_join("systems", ",").alias("systems"), *clusters.SIGNALS, F.get("evidence", F.lit(0))["quote_proposal"].alias("quote"))
+
+
+@query(f"""WITH {MESSAGES_SQL}, k AS (SELECT 'clerk' || i || '@example.org' AS address, 'p' || (i // 2) AS person FROM range(20) t(i)),
+e AS (SELECT msg_uid, list_sort(list_distinct([coalesce(a.person, m.sender), m.desk])) AS people, coalesce(a.person, m.sender) AS own FROM messages m LEFT JOIN k a ON a.address = m.sender)
+SELECT msg_uid, CASE WHEN key % 4 <> 0 THEN 't' || (key // 6) ELSE msg_uid END AS thread_id, own AS sender, array_to_string(people, ',') AS people, strftime(sent_at, '%Y-%m') AS month, strftime(sent_at, '%G-W%V') AS week
+FROM messages JOIN e USING (msg_uid) WHERE key % 3 <> 1""")
+def cluster_records(spark, sf_dir):
+    m = messages(spark, sf_dir).withColumns({"novel_hash": F.lit(""), "subject_key": F.lit("")})
+    made = m.select("msg_uid", (F.col("key") % 3 != 1).alias("is_operational"), F.array().cast(extract.EVIDENCE).alias("evidence"))
+    threaded = m.where("key % 4 <> 0").select("msg_uid", F.concat(F.lit("t"), F.floor(F.col("key") / 6).cast("string")).alias("thread_id"))
+    known = spark.range(20).select(F.concat(F.lit("clerk"), F.col("id").cast("string"), F.lit("@example.org")).alias("address"), F.concat(F.lit("p"), F.floor(F.col("id") / 2).cast("string")).alias("person_id"))
+    found = extract.records(made, m, threaded, known)
+    return found.select("msg_uid", "thread_id", "sender", F.array_join("participants", ",").alias("people"), "month", "week")
+
+
+# ---- findings ---------------------------------------------------------------------------
+
+_TEMPLATED_SQL = f"""m AS (SELECT * FROM (SELECT {_TEMPLATE_SQL} AS template, * FROM messages) WHERE template <> '' AND {_WORDS_SQL} >= 2)"""
+
+
+def _series_findings(spark, sf_dir):
+    m = with_sources(messages(spark, sf_dir))
+    named = series.with_templates(m, text.subject_template(F.col("subject")))
+    promoted = durable(series.failed_gates(series.find_series(named)).where(F.size("failed_gates") == 0))
+    members = durable(series.members(named, promoted))
+    own = findings.series_records(members.withColumn("empty_share", F.lit(0.0)))
+    cited, short = findings.subject_citations(members.select("finding", "msg_uid", "sent_at"), m, m.select("path", "source_sha256", "raw"))
+    cited = durable(cited)
+    base = promoted.select(F.col("series_id").alias("finding"), F.lit("headers").alias("source"), F.col("template").alias("title"), F.col("template").alias("label"), F.lit("tight").alias("coherence"), F.lit("email").alias("shape"))
+    return findings.assemble(base, own, cited, short), cited
+
+
+@query(f"""WITH {MESSAGES_SQL}, {_TEMPLATED_SQL}, {SERIES_BODY},
+p AS (SELECT * FROM series WHERE instances >= 8 AND months >= 3 AND weeks >= 3),
+w AS (SELECT p.series_id AS finding, m.*, row_number() OVER o - 1 AS n, greatest(count(*) OVER (PARTITION BY p.series_id) // 8, 1) AS k FROM m JOIN p USING (template, sender) WHERE NOT is_reply
+      WINDOW o AS (PARTITION BY p.series_id ORDER BY sent_at IS NULL, sent_at, msg_uid)),
+smp AS (SELECT *, length('Subject: ' || subject) >= 24 AS fit FROM w WHERE n % k = 0),
+c AS (SELECT finding, least(count(*) FILTER (fit), 8) AS citations, count(*) FILTER (NOT fit) AS short FROM smp GROUP BY finding),
+i AS (SELECT finding, coalesce(array_to_string((list(msg_uid ORDER BY n) FILTER (fit))[1:8], ','), '') AS cited FROM smp GROUP BY finding),
+v AS (SELECT finding, count(*) AS messages, count(DISTINCT strftime(sent_at, '%Y-%m')) AS months, count(DISTINCT desk) + 1 AS people FROM w GROUP BY finding)
+SELECT finding, messages, months, people, citations, short, cited,
+  CASE WHEN citations < 3 OR messages < 15 THEN 'quarantined' ELSE 'counted' END AS status,
+  CASE WHEN citations < 3 THEN 'citations ' || citations || ' < 3' WHEN messages < 15 THEN 'cited senders 1 < 2' ELSE '' END AS status_reason,
+  CASE WHEN citations = 0 THEN 'low' ELSE 'medium' END AS confidence FROM v JOIN c USING (finding) JOIN i USING (finding)""")
+def findings_series(spark, sf_dir):
+    found, _ = _series_findings(spark, sf_dir)
+    cited = F.array_join(F.transform("citations_list", lambda c: c["msg_uid"]), ",")
+    short = F.coalesce(F.size("quarantined"), F.lit(0)).cast("long")
+    return found.select("finding", "messages", F.size("month_list").cast("long").alias("months"), "people", "citations", short.alias("short"), F.coalesce(cited, F.lit("")).alias("cited"), "status", "status_reason", "confidence")
+
+
+@query("""WITH c AS (SELECT doc_id % 20 AS finding, doc_id, text, CASE doc_id % 9 WHEN 1 THEN 'source changed' WHEN 2 THEN 'slice differs from quote' WHEN 3 THEN 'range outside the source' WHEN 4 THEN 'lines' WHEN 5 THEN 'shipped and quarantined' END AS planted,
+        length(text[:10]) - length(replace(text[:10], chr(10), '')) AS feeds_before, length(text[11:50]) - length(replace(text[11:50], chr(10), '')) AS feeds FROM documents WHERE length(text) >= 60),
+l AS (SELECT *, list_aggregate(string_split(text, chr(10))[feeds_before + 2:feeds_before + feeds + 2], 'string_agg', chr(10)) AS moved FROM c),
+p AS (SELECT *, CASE WHEN planted = 'lines' THEN CASE WHEN contains(coalesce(moved, ''), text[11:50]) OR contains(coalesce(moved, ''), regexp_replace(text[11:50], '^\\s+|\\s+$', '', 'g')) THEN NULL ELSE 'lines do not hold the quote' END ELSE planted END AS problem FROM l)
+SELECT coalesce(problem, 'holds') AS problem, count(*) AS citations FROM p GROUP BY 1""")
+def verify_citations(spark, sf_dir):
+    """Citations of 40 characters, five kinds of which are spoilt."""
+    d = table(spark, sf_dir, "documents").where(F.length("text") >= 60)
+    k = F.col("doc_id") % 9
+    path = F.concat(F.lit("docs/"), F.col("doc_id").cast("string"))
+    sources = d.select(path.alias("path"), F.when(k == 1, "other").otherwise(F.sha2("text", 256)).alias("source_sha256"), F.col("text").alias("raw"), F.col("text").alias("body"), F.array().cast(decode.RUNS).alias("runs"), F.lit(0).alias("body_start"))
+    lines = text.line_bounds(F.col("text"), F.lit(10), F.lit(50))
+    shift = F.when(k == 4, 1).otherwise(0)
+    c = F.struct(
+        path.alias("citation_id"), path.alias("source_path"), F.sha2("text", 256).alias("source_sha256"), F.when(k == 2, "another quote altogether").otherwise(F.substring("text", 11, 40)).alias("quote"),
+        F.lit("raw_exact").alias("match_tier"), F.lit(10).alias("raw_start"), F.when(k == 3, F.length("text") + 1).otherwise(50).alias("raw_end"), F.lit(0).alias("decoded_start"), F.lit(0).alias("decoded_end"),
+        (lines["line_start"] + shift).cast("int").alias("line_start"), (lines["line_end"] + shift).cast("int").alias("line_end"), F.lit(False).alias("repaired"),
+    )
+    published = d.select((F.col("doc_id") % 20).alias("finding"), F.array(c).alias("citations_list"))
+    checked = verify.citation_checks(published, sources, d.where(k == 5).select(path.alias("citation_id")))
+    return checked.groupBy(F.coalesce("problem", F.lit("holds")).alias("problem")).agg(F.count("*").alias("citations"))
+
+
+@query(_GROUPED_SQL + """, k AS (SELECT cluster, count(*) % 2 = 1 AS bad FROM g GROUP BY cluster), n AS (SELECT count(*) AS n, count(*) FILTER (bad) AS bad FROM k)
+SELECT 'recompute' AS kind, 3 * n AS checks, bad AS failures FROM n UNION ALL SELECT 'result', n, 0 FROM n UNION ALL SELECT 'bands', n, bad FROM n UNION ALL SELECT 'headline', 1, 1 FROM n""")
+def verify_arithmetic(spark, sf_dir):
+    """Derivations of the groups; groups of an odd number of messages state a low figure out of proportion, and the headline is off."""
+    m = estimate.with_derivations(estimate.measure(_grouped(spark, sf_dir)))
+    of = lambda band: F.get(F.filter("derivations", lambda d: d["band"] == band), F.lit(0))["result"]["dollars_per_month"]
+    wrong = lambda d: F.when((F.col("messages") % 2 == 1) & (d["band"] == "low"), d.withField("result.dollars_per_month", F.lit(999_999_999).cast("decimal(18,2)"))).otherwise(d)
+    f = m.withColumn("dollars", of("base")).withColumn("derivations", F.transform("derivations", wrong)).select(F.col("cluster").alias("finding"), F.lit("counted").alias("status"), "dollars", "derivations")
+    return verify.roll_up(verify.arithmetic_checks(f, spark.createDataFrame([("-1.00",)], "dollars string")))
+
+
+@query("""WITH d AS (SELECT 'doc' || doc_id AS name, doc_id % 20 AS finding, CASE WHEN doc_id % 11 <> 0 THEN coalesce(source, '') || ' [cit_' || printf('%012x', doc_id % 40) || '] and [cit_' || printf('%012x', doc_id % 7) || ']' END AS body FROM documents),
+x AS (SELECT *, list_sort(list_distinct(list_filter(regexp_extract_all(body, '\\[(cit_[0-9a-f]{12})\\]', 1), lambda m: m <> 'cit_' || printf('%012x', finding) AND m <> 'cit_' || printf('%012x', finding + 20)))) AS bad FROM d)
+SELECT name AS key, CASE WHEN body IS NULL THEN 'document missing' WHEN len(bad) > 0 THEN 'unknown markers ' || array_to_string(bad, ', ') END AS problem FROM x""")
+def verify_documents(spark, sf_dir):
+    cit = lambda n: F.concat(F.lit("cit_"), F.lpad(F.lower(F.hex(n)), 12, "0"))
+    d = table(spark, sf_dir, "documents")
+    body = F.concat(F.coalesce("source", F.lit("")), F.lit(" ["), cit(F.col("doc_id") % 40), F.lit("] and ["), cit(F.col("doc_id") % 7), F.lit("]"))
+    documents = d.select(F.concat(F.lit("doc"), F.col("doc_id").cast("string")).alias("name"), (F.col("doc_id") % 20).alias("finding"), F.when(F.col("doc_id") % 11 != 0, body).alias("body"))
+    own = spark.range(20).select(F.col("id").alias("finding"), F.array(F.struct(cit(F.col("id")).alias("citation_id")), F.struct(cit(F.col("id") + 20).alias("citation_id"))).alias("citations_list"))
+    return verify.document_checks(documents, own).select("key", "problem")
+
+
+@query(_FINDINGS_SQL + """, bb AS (SELECT status, band, dollars * f AS dollars, instances * f AS hours FROM c, (VALUES ('low', 1), ('base', 2), ('high', 3)) v(band, f))
+SELECT status, band, count(*) AS findings, round(sum(hours), 1)::DOUBLE AS hours, round_even(sum(dollars::DECIMAL(28,10)), 2)::DECIMAL(18,2) AS dollars FROM bb GROUP BY ALL""")
+def subtotals(spark, sf_dir):
+    bands = F.explode(F.array(*[F.struct(F.lit(b).alias("band"), F.lit(n).alias("f")) for n, b in enumerate(estimate.BANDS, 1)])).alias("b")
+    rows = _claimed(spark, sf_dir).select("status", "dollars", "instances", bands)
+    return estimate.subtotals(rows.select("status", "b.band", (F.col("instances") * F.col("b.f")).alias("hours"), (F.col("dollars") * F.col("b.f")).alias("dollars")))
+
+
+@query(_TRIAGE_SQL + """, k AS (SELECT category, count(*) AS n FROM c GROUP BY category)
+SELECT (SELECT count(*) FROM messages) AS files, (SELECT string_agg(DISTINCT split_part(path, '/', 2), ',' ORDER BY split_part(path, '/', 2)) FROM messages) AS mailboxes,
+  min(sent_at)::DATE AS first_day, max(sent_at)::DATE AS last_day, count(DISTINCT strftime(sent_at, '%Y-%m')) AS months, count(*) FILTER (sent_at IS NULL) AS undated_messages, count(*) AS unique_messages,
+  (SELECT string_agg(category || '=' || n, ',' ORDER BY category) FROM k) AS categories, (SELECT n FROM k WHERE category = 'operational') AS messages_to_read FROM messages WHERE key % 13 <> 0""")
+def corpus_statistics(spark, sf_dir):
+    m = messages(spark, sf_dir)
+    found = archive.statistics(m, m.where("key % 13 <> 0"), triage.classify(m))
+    kinds = F.array_join(F.transform(F.map_entries("categories"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",")
+    return found.select("files", F.array_join("mailboxes", ",").alias("mailboxes"), "first_day", "last_day", "months", "undated_messages", "unique_messages", kinds.alias("categories"), "messages_to_read")
+
+
+@query(f"""WITH {MESSAGES_SQL}, {_TEMPLATED_SQL}, {SERIES_BODY},
+p AS (SELECT * FROM series WHERE instances >= 8 AND months >= 3 AND weeks >= 3),
+w AS (SELECT p.series_id AS finding, m.*, row_number() OVER o - 1 AS n, greatest(count(*) OVER (PARTITION BY p.series_id) // 8, 1) AS k FROM m JOIN p USING (template, sender) WHERE NOT is_reply
+      WINDOW o AS (PARTITION BY p.series_id ORDER BY sent_at IS NULL, sent_at, msg_uid)),
+smp AS (SELECT finding, row_number() OVER (PARTITION BY finding ORDER BY n) AS r FROM w WHERE n % k = 0 AND length('Subject: ' || subject) >= 24)
+SELECT 'raw_exact' AS match_tier, count(*) AS citations, 0 AS repaired FROM smp WHERE r <= 8""")
+def tier_counts(spark, sf_dir):
+    return findings.tier_counts(_series_findings(spark, sf_dir)[1])
+
+
+@query("""WITH q AS (SELECT DISTINCT string_split(text, ' ')[2] AS quote FROM benchmark UNION SELECT DISTINCT string_split(text, ' ')[3] || ' ' || string_split(text, ' ')[4] FROM benchmark)
+SELECT doc_id, quote, instr(d.text, quote) - 1 AS start FROM documents d, q WHERE quote <> '' AND contains(d.text, quote)""")
+def anchor_short(spark, sf_dir):
+    """Quotes of one and of two words, which have no whole word to meet on."""
+    w = table(spark, sf_dir, "benchmark").select(F.split("text", " ").alias("w"))
+    one, two = w.select(F.get("w", F.lit(1)).alias("quote")), w.select(F.concat(F.get("w", F.lit(2)), F.lit(" "), F.get("w", F.lit(3))).alias("quote"))
+    quotes = one.union(two).where("quote IS NOT NULL").distinct()
+    return evidence.exact_places(quotes, table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "quote", "start")
+
+
+@query("""WITH t AS (SELECT l_suppkey, count(*) AS rows FROM lineitem GROUP BY l_suppkey HAVING count(*) >= 200)
+SELECT l_suppkey, 2 AS first_line, 20 AS table_start, rows, 6 AS columns, rows AS linear_rows FROM t""")
+def generated_tables(spark, sf_dir):
+    """A table of counters for each supplier behind two lines of prose; a column each is linear, modular and constant."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").cast("int").alias("n"))
+    row = lambda i: F.concat_ws("  ", i.cast("string"), (i * 3 + 7).cast("string"), F.lit("HPL-1"), F.concat(F.lit("M-"), (i + 100).cast("string")), (i * 911 % 45000).cast("string"), F.lit("5"))
+    lines = F.array_join(F.transform(F.sequence(F.lit(0), F.col("n") - 1), row), "\n")
+    m = li.select("l_suppkey", F.concat(F.lit("see table\nas agreed\n"), lines, F.lit("\nthe end")).alias("body"), F.lit(1_000_000).alias("size"))
+    found = tables.generated_tables(m, "l_suppkey").where("generated AND linear_columns >= 3")
+    return found.select("l_suppkey", "first_line", "table_start", "rows", "columns", F.col("rows").alias("linear_rows"))
