@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.text import line_bounds, month_key, sha_short
 from strandmill.operators import claims, estimate, evidence
+from strandmill.session import durable
 
 #: Fields of a citation, in the order they are published.
 CITATION = [
@@ -114,7 +115,8 @@ def assemble(base: DataFrame, records: DataFrame, citations: DataFrame, lost: Da
     ``base`` is ``(finding, source, title, label, coherence, shape)``; ``records`` are the members, which carry the
     task class. Findings without enough evidence are kept as quarantined and stay out of totals.
     """
-    measured = estimate.with_derivations(estimate.measure(records, "finding"), assumed)
+    # written, so that the derivations are made once however many columns read them
+    measured = durable(estimate.with_derivations(estimate.measure(records, "finding"), assumed))
     counts = claims.citation_counts(citations)
     listed = F.transform(F.array_sort(F.collect_list(F.struct("place", F.struct(*CITATION).alias("c")))), lambda x: x["c"])
     cited = citations.groupBy("finding").agg(listed.alias("citations_list"))
@@ -130,7 +132,7 @@ def assemble(base: DataFrame, records: DataFrame, citations: DataFrame, lost: Da
     sure = claims.confidence(F.col("coherence"), F.col("senders"), F.size("month_list"))
     rows = rows.withColumns({"status": status, "status_reason": reason, "confidence": sure})
     dollars = F.element_at(F.filter("derivations", lambda d: d["band"] == "base"), 1)["result"]["dollars_per_month"]
-    return claims.ranked(rows.withColumn("dollars", dollars))
+    return claims.ranked(durable(rows.withColumn("dollars", dollars)))
 
 
 def band_rows(findings: DataFrame) -> DataFrame:
