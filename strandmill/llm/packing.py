@@ -172,10 +172,12 @@ def pack(
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """The pieces of all documents, packed into sequences of 2048 tokens."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """The pieces of ``docs`` (``doc_id``, ``text``) with their sequences; ``tokenizer`` is the path of a definition, by default a public one."""
     if tokenizer is None:
         import public_tokenizers
 

@@ -120,14 +120,15 @@ class OrdinalModel:
 
 
 def rated_sample(ratings: DataFrame, id_col: str, per_grade: int) -> DataFrame:
-    """At most about ``per_grade`` ratings of each grade, by the hash of the id."""
-    known = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).select(id_col, "grade")
+    """At most about ``per_grade`` ratings of each grade, by the hash of the id; of several ratings of one id the least counts."""
+    known = ratings.where(F.col(id_col).isNotNull() & F.col("grade").isNotNull()).groupBy(id_col).agg(F.min("grade").alias("grade"))
     counts = {r["grade"]: r["count"] for r in known.groupBy("grade").count().collect()}
     share = F.lit(1.0)
     for grade, count in counts.items():
         share = F.when(F.col("grade") == grade, min(1.0, per_grade / count)).otherwise(share)
     drawn = F.xxhash64(F.col(id_col), F.lit("rating")) / F.lit(2.0**64) + 0.5
-    return known.where(drawn < share).dropDuplicates([id_col]).limit(2 * per_grade * max(len(counts), 1))
+    # in the order of their draws, so that a rerun takes the same
+    return known.where(drawn < share).orderBy(drawn, id_col).limit(2 * per_grade * max(len(counts), 1))
 
 
 def fit(df: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id", text: str = "text", per_grade: int = 4000) -> OrdinalModel | None:
@@ -142,12 +143,16 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id",
                 lists = [pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(x)) for x in (slot, value)]
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int32()), *lists], names=["grade", "slot", "value"])
 
-    # the sample has a bound, so it may be sent to every task
-    texts = df.select(id_col, text).join(F.broadcast(sample), id_col).select("grade", text).limit(4 * per_grade * grades)
+    # the sample has a bound, so it may be sent to every task; of several texts of one id the least counts
+    texts = df.select(id_col, text).join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min("grade").alias("grade"), F.min(text).alias(text))
+    texts = texts.select("grade", text)
     found = texts.mapInArrow(run, "grade int, slot array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return None
+    # sums of floats depend on the order of rows
     found = found.combine_chunks()
+    order = sorted(range(found.num_rows), key=lambda i: (found.column("grade")[i].as_py(), found.column("slot")[i].as_py(), found.column("value")[i].as_py()))
+    found = found.take(pa.array(order, pa.int64())).combine_chunks()
     slot, value = (found.column(c).chunk(0) for c in ("slot", "value"))
     doc = np.repeat(np.arange(found.num_rows), np.diff(slot.offsets.to_numpy()))
     return OrdinalModel.fit(doc, slot.flatten().to_numpy(), value.flatten().to_numpy(), found.column("grade").to_numpy(), grades)
@@ -182,6 +187,7 @@ def grades_of(labels: DataFrame) -> DataFrame:
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade, tail probabilities and verdict of every document, by a model fitted on the rated ones."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = fit(docs, grades_of(table(spark, sf_dir, "labels")), 3)
     return score(docs, model, 3)

@@ -141,6 +141,7 @@ def keep_good(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures and verdict of every document."""
     scored = score_quality(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
     return scored.drop("worst_coverage")
 

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -97,15 +98,19 @@ class Encoder:
         self.used = 0
 
     def _learn(self, words: list[bytes]) -> None:
-        for encoded, word in zip(self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False), words, strict=True):
-            i, ids = len(self.known), encoded.ids
-            if i >= len(self.size):
-                self.size, self.place = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.place))
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            self.known[word], self.size[i], self.place[i] = i, len(ids), self.used
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.used += len(ids)
+        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
+        first = len(self.known)
+        while first + len(ids) > len(self.size):
+            self.size, self.place = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.place))
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.known.update(zip(words, range(first, first + len(ids)), strict=True))
+        self.size[first : first + len(ids)] = sizes
+        self.place[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -178,13 +183,15 @@ class Encoder:
         others = [raw[i:j] for i, j in zip(begin[rest].tolist(), ends[rest].tolist(), strict=True)]
         if len(self.known) + len(words) + len(others) > self.most:
             self._clear()
-        get = self.known.get
-        if new := list(dict.fromkeys(w for w in words + others if get(w) is None)):
-            self._learn(new)
-        known = self.known
-        code[own] = np.array([known[w] for w in words], np.int64)[group] if len(words) else 0
-        if len(rest):
-            code[rest] = [known[w] for w in others]
+        words += others
+        found = list(map(self.known.get, words))
+        if missing := [i for i, c in enumerate(found) if c is None]:
+            self._learn(list(dict.fromkeys(words[i] for i in missing)))
+            for i in missing:
+                found[i] = self.known[words[i]]
+        codes = np.array(found, np.int64)
+        code[own] = codes[: len(rep)][group]
+        code[rest] = codes[len(rep) :]
         return code
 
 

@@ -114,6 +114,101 @@ def test_best_fit_is_near_the_bound():
     assert fills.max() <= 2048 and len(fills) <= 1.01 * -(-sizes.sum() // 2048) + 1
 
 
+def test_packing_against_a_naive_packer(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{rng.integers(0, 900)}" for _ in range(int(rng.integers(0, 1500)))) for _ in range(240)] + ["Zürich's «ß» 漢字 <|endoftext|>\n\n  x", None]
+    df = spark.createDataFrame([(i, t, "clash", i) for i, t in enumerate(texts)], "doc_id long, text string, fill string, piece int").repartition(6)
+    rows = packing.pack_documents(df, path).collect()
+    want = []
+    for i, t in enumerate(texts):
+        ids = tokenizer.encode(t or "", add_special_tokens=False).ids + [0]
+        head = len(ids) % 2048 or 2048
+        cuts = [0, *range(head, len(ids) + 1, 2048)]
+        want += [(i, k, a, b - a, zlib.crc32(np.array(ids[a:b], "<u4").tobytes())) for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == want
+    bins: list[int] = []
+    for size in sorted((x[3] for x in want), reverse=True):
+        fits = [(2048 - b, k) for k, b in enumerate(bins) if b + size <= 2048]
+        if fits:
+            bins[min(fits)[1]] += size
+        else:
+            bins.append(size)
+    assert len({r.sequence_id for r in rows}) <= 1.02 * len(bins) + 1
+
+
+def test_mixing_against_a_naive_solution(spark):
+    """Targets by raising a water level, rates by bisection on one machine."""
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join("w" * int(rng.integers(1, 4)) for _ in range(int(rng.integers(0, 60)))), [None, "a", "b", "c", "d"][int(rng.integers(0, 5)) if i % 3 else 1], "clash") for i in range(1500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, size string")
+    found = mixing.mix(df, [5, 2, 1]).toPandas()
+    size = {s: 0 for s in ("a", "b", "c", "d", None)}
+    for _, t, s, _ in rows:
+        size[s] += len(WORD.findall(t))
+    weight = dict(zip(size, [5, 2, 1, 5, 2], strict=True))
+    total, fixed = 1.5 * sum(size.values()), {}
+    while True:
+        free = [s for s in size if s not in fixed]
+        share = (total - sum(fixed.values())) / sum(weight[s] for s in free)
+        over = [s for s in free if weight[s] * share > 2 * size[s]]
+        if not over:
+            break
+        fixed |= {s: 2 * size[s] for s in over}
+    goal = {s: fixed.get(s, weight[s] * share) for s in size}
+    for s in size:
+        own = found[found["source"].isna() if s is None else found["source"] == s]
+        assert abs(own["target"].iloc[0] - goal[s]) < 1e-6 * goal[s]
+        n = own["size"].to_numpy(float)
+        low, high = -200.0, 200.0
+        for _ in range(200):
+            tilt = (low + high) / 2
+            low, high = (tilt, high) if (np.minimum(2, np.exp(np.minimum(tilt * n / n.max(), 1))) * n).sum() < goal[s] else (low, tilt)
+        rate = np.minimum(2, np.exp(np.minimum(tilt * n / n.max(), 1))) if goal[s] < 2 * size[s] else np.full(len(n), 2.0)
+        words = n > 0
+        assert np.abs(own["rate"].to_numpy()[words] - rate[words]).max() < 2e-3
+        copies = own["copies"].to_numpy()
+        assert (copies <= 2).all() and (np.abs(copies - rate)[words] < 1 + 1e-2).mean() > 0.99 and abs((copies * n).sum() - goal[s]) <= n.max()
+
+
+def test_classifier_gradient_and_odd_ratings(spark, none):
+    """The fitted model is where a naive likelihood, penalised alike, has no slope; odd ratings are ignored."""
+    rng = np.random.default_rng(3)
+    n, d = 300, 6
+    x = rng.integers(0, 2, (n, d)) * 1.0
+    grade = np.clip((x @ np.array([2, -2, 1, 0, 0, 0.5]) + rng.normal(size=n)).round(), 0, 2).astype(int)
+    doc, slot = np.nonzero(x)
+    model = quality_classifier.OrdinalModel.fit(doc, slot, x[doc, slot], grade, 3, rounds=4000, rate=0.01)
+
+    def loss(w, cut):
+        p = 1 / (1 + np.exp(-((x @ w)[:, None] - cut)))
+        p = np.hstack([np.ones((n, 1)), p, np.zeros((n, 1))])
+        return -np.log(p[np.arange(n), grade] - p[np.arange(n), grade + 1]).mean() + 0.5 * 1e-3 * (w**2).sum()
+
+    w, cut = model.weights[:d].copy(), model.thresholds
+    assert (np.diff(cut) > 0).all()
+    for i in range(d):
+        step = np.zeros(d)
+        step[i] = 1e-4
+        assert abs(loss(w + step, cut) - loss(w - step, cut)) / 2e-4 < 2e-3
+    for j in range(2):
+        step = np.zeros(2)
+        step[j] = 1e-4
+        assert abs(loss(w, cut + step) - loss(w, cut - step)) / 2e-4 < 2e-3
+    docs = [(i, None if i == 5 else f"good word{i % 7}" if i % 2 else f"bad word{i % 5}") for i in range(60)] + [(7, "good again"), (None, "lost")]
+    rated = [(i, i % 2) for i in range(40)] + [(3, 0), (3, 0), (None, 1), (50, None), (999, 1)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    ratings = spark.createDataFrame(rated, "doc_id long, grade int")
+    first, again = (quality_classifier.fit(df.repartition(k), ratings.repartition(k), 2) for k in (1, 5))
+    assert np.array_equal(first.weights, again.weights) and np.array_equal(first.thresholds, again.thresholds)
+    scored = quality_classifier.score(df, first, 2)
+    assert scored.count() == len(docs) and scored.where("expected_grade IS NULL").count() == 0
+
+
 def test_mixing_targets_and_ceiling(spark, odd, none):
     assert mixing.mix(none, [5, 2, 1]).count() == 0
     assert {r.doc_id for r in mixing.mix(odd, [5, 2, 1]).collect()} == {1, 2, 3, 4, 5, None}

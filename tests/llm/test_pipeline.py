@@ -47,3 +47,24 @@ def test_stages_against_brute_force(spark, tmp_path):
     assert abs(sum(map(words, after)) - 1.5 * sum(map(words, before))) <= 4 * max(map(words, before))
     pieces = Counter(r.doc_id for r in kept["packing"].collect() if r.piece == 0)
     assert pieces == Counter(r.doc_id for r in after)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Empty documents, repeated and null ids, nulls everywhere, columns whose names the operators use."""
+    pytest.importorskip("public_tokenizers")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, ref string, size string, spans string, fill string"
+    r = random.Random(2)
+    body = lambda: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(40))
+    same = body()
+    rows = [(1, same), (1, same), (2, same + " end"), (None, body()), (None, None), (3, ""), (4, body()), (4, body())]
+    for number, data in enumerate([[], [(i, t, "en", None if i == 4 else "s", 1, "a", "b", "c", "d") for i, t in rows]]):
+        folder = f"{tmp_path}/{number}"
+        docs = spark.createDataFrame(data, schema)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = corpus_pipeline.durable(stage(spark, docs, folder))
+            assert docs.columns == [c.split()[0] for c in schema.split(", ")], name
+            if name == "near_duplicates" and data:
+                # one of the three copies; both texts of id 4 and that of a null id
+                assert sorted((x.doc_id or 0, len(x.text)) for x in docs.collect()) == sorted([(1, len(same)), (4, 239), (4, 239), (0, 239)])
+        assert corpus_pipeline.run(spark, folder).count() == corpus_pipeline.STAGES[-1][1](spark, docs, folder).count()
