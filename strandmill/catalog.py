@@ -148,6 +148,19 @@ def phrase_tokens(spark, sf_dir):
 # ---- duplicates -------------------------------------------------------------------------
 
 
+_FOLD_SQL = "told"
+for _a, _b in text.SMART.items():
+    _FOLD_SQL = f"replace({_FOLD_SQL}, chr({ord(_a)}), " + "'" + _b.replace("'", "''") + "')"
+
+
+@query(f"""SELECT doc_id, lower(trim(regexp_replace({_FOLD_SQL}, '[ \\t\\n\\x0B\\r\\f]+', ' ', 'g'))) AS folded, '$' || format('{{:,.2f}}', n_chars / 8) AS money
+FROM (SELECT doc_id, chr(8220) || text || chr(8221) || ' ' || chr(8211) || chr(160) || 'x' || chr(8230) AS told, n_chars FROM documents)""")
+def text_folds(spark, sf_dir):
+    d = table(spark, sf_dir, "documents")
+    told = F.concat(F.lit("\u201c"), F.col("text"), F.lit("\u201d \u2013\u00a0x\u2026"))
+    return d.select("doc_id", text.smart_fold(told).alias("folded"), text.money(F.col("n_chars") / 8).alias("money"))
+
+
 def _hashed(spark, sf_dir):
     m = messages(spark, sf_dir)
     stamp = F.coalesce(F.date_format("sent_at", "yyyy-MM"), F.col("path"))

@@ -95,20 +95,19 @@ def artifact_reasons(least: dict = ARTIFACT) -> Column:
 
 
 def select_artifacts(findings: DataFrame, least: dict = ARTIFACT) -> DataFrame:
-    """Add ``reasons`` and ``choice``: selected, capped, near_miss (the best of those short of money alone), short or rejected."""
+    """Add ``reasons`` and ``choice``: selected, capped, near_miss (the best of those short of money alone), short or rejected.
+
+    The few that are chosen are found by ordered limits, which hold no more than these in a task.
+    """
     rows = findings.withColumn("reasons", artifact_reasons(least))
     fit = (F.size("reasons") == 0) & (F.col("dollars") >= least["dollars"])
     near = (F.size("reasons") == 0) & (F.col("dollars") < least["dollars"])
     rows = rows.withColumn("pool", F.when(fit, "fit").when(near, "near").otherwise("rejected"))
-    by_money = Window.partitionBy("pool").orderBy(F.desc("dollars"), "finding")
-    by_proof = Window.partitionBy("pool").orderBy(F.desc("citations"), F.desc("dollars"), "finding")
-    place = F.when(F.col("pool") == "fit", F.row_number().over(by_money)).otherwise(F.row_number().over(by_proof))
-    choice = (
-        F.when(F.col("pool") == "rejected", "rejected")
-        .when(F.col("pool") == "fit", F.when(place <= least["most"], "selected").otherwise("capped"))
-        .otherwise(F.when((place == 1) & F.lit(least.get("exception", True)), "near_miss").otherwise("short"))
-    )
-    return rows.withColumn("choice", choice).drop("pool")
+    fitting, nearly = rows.where("pool = 'fit'"), rows.where("pool = 'near'")
+    best = fitting.orderBy(F.desc("dollars"), "finding").limit(least["most"]).select("finding", F.lit("selected").alias("_pick"))
+    miss = nearly.orderBy(F.desc("citations"), F.desc("dollars"), "finding").limit(int(least.get("exception", True))).select("finding", F.lit("near_miss").alias("_pick"))
+    other = F.when(F.col("pool") == "fit", "capped").when(F.col("pool") == "near", "short").otherwise("rejected")
+    return rows.join(best.unionByName(miss), "finding", "left").withColumn("choice", F.coalesce("_pick", other)).drop("pool", "_pick")
 
 
 def spread_sample(rows: DataFrame, by: str, order: list, most: int = 8) -> DataFrame:

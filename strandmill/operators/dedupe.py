@@ -40,10 +40,13 @@ def survivors(messages: DataFrame, duplicates: DataFrame) -> DataFrame:
     return messages.join(duplicates.select("msg_uid"), "msg_uid", "left_anti")
 
 
-def groups(duplicates: DataFrame) -> DataFrame:
-    """One row a canonical message and reason, its copies by id."""
+def groups(duplicates: DataFrame, placed: DataFrame | None = None) -> DataFrame:
+    """One row a canonical message and reason, its copies by id; with ``(msg_uid, place)`` in the order of the archive."""
     listed = F.array_sort(F.collect_list("msg_uid"))
-    return duplicates.groupBy("canonical_uid", "reason").agg(listed.alias("duplicate_uids"))
+    found = duplicates.groupBy("canonical_uid", "reason").agg(listed.alias("duplicate_uids"))
+    if placed is None:
+        return found
+    return found.join(placed.select(F.col("msg_uid").alias("canonical_uid"), "place"), "canonical_uid", "left").orderBy("place", "reason")
 
 
 def words_of(text: Column) -> Column:
@@ -123,7 +126,11 @@ def minhash_signature(texts: pd.Series) -> pd.Series:
         if not grams:
             return np.zeros(PERMUTATIONS, np.int64)
         x = np.array([int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams], np.uint64)
-        return ((a * x + b) & np.uint64(MASK)).min(axis=1).astype(np.int64)
+        least = np.full(PERMUTATIONS, MASK, np.uint64)
+        # a part at a time, so that a long text needs no wide table
+        for start in range(0, len(x), 4096):
+            least = np.minimum(least, ((a * x[start : start + 4096] + b) & np.uint64(MASK)).min(axis=1))
+        return least.astype(np.int64)
 
     return pd.Series([one(t) for t in texts])
 

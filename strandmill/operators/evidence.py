@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -33,9 +34,13 @@ def normalized(text: str) -> str:
 
 def find_folded(text: str, needle: str, loose: bool) -> tuple[int, int] | None:
     """Range of ``text`` whose folded form holds ``needle``: white space always, case and punctuation if ``loose``."""
+    if not loose or text.isascii():
+        # folding changes no character's place here, so white space alone is left to bridge
+        found = re.search(r"\s+".join(map(re.escape, needle.split())), text.lower() if loose else text)
+        return (found.start(), found.end()) if found else None
     pieces, origin = [], []
     for i, c in enumerate(text):
-        for f in normalized_char(c) if loose else c:
+        for f in normalized_char(c):
             if f.isspace():
                 if pieces and pieces[-1] != " ":
                     pieces.append(" ")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmill.functions.text import money
+from strandmill.operators.order import numbered
 
 
 def put(results: DataFrame, path: str) -> None:
@@ -31,8 +32,17 @@ def split_work(work: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def batches(work: DataFrame, order: list[Column | str], size: int = 32) -> DataFrame:
-    """Number units of ``size`` rows in a given order inside each stage."""
-    return work.withColumn("unit", F.floor((F.row_number().over(Window.partitionBy("stage").orderBy(*order)) - 1) / size))
+    """Number units of ``size`` rows in a given order, which ends in a unique key, inside each stage."""
+    placed = numbered(work, ["stage", *order], "_number")
+    first = placed.groupBy("stage").agg(F.min("_number").alias("_first"))
+    return placed.join(first, "stage").withColumn("unit", F.floor((F.col("_number") - F.col("_first")) / size)).drop("_number", "_first")
+
+
+def bisected(units: DataFrame, order: list[Column | str]) -> DataFrame:
+    """The same rows with each unit split in two, ``2 * unit`` and ``2 * unit + 1``, for a unit that keeps failing as a whole."""
+    own = Window.partitionBy("stage", "unit")
+    late = F.row_number().over(own.orderBy(*order)) > F.ceil(F.count("*").over(own) / 2)
+    return units.withColumn("unit", F.col("unit") * 2 + late.cast("int"))
 
 
 def log_events(events: DataFrame, path: str) -> None:

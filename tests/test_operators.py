@@ -452,3 +452,93 @@ def test_short_and_long_quotes(spark):
     assert sorted(map(tuple, found)) == want
     again = evidence.exact_places(spark.createDataFrame([(q,) for q in quotes], "quote string"), texts, block=2).select("doc_id", "quote", "start").collect()
     assert sorted(map(tuple, again)) == want
+
+
+def test_numbers_units_and_halves(spark):
+    from strandmill.operators.order import numbered
+    from strandmill.sources import store
+
+    r = random.Random(1)
+    keys = list(range(500))
+    r.shuffle(keys)
+    df = spark.createDataFrame([(k,) for k in keys], "k int")
+    assert sorted(map(tuple, numbered(df, ["k"]).collect())) == [(k, k) for k in range(500)]
+    work = df.select(F.when(F.col("k") < 100, "a").otherwise("b").alias("stage"), F.col("k").alias("key"))
+    units = store.batches(work, ["key"])
+    assert all(x.unit == (x.key - (0 if x.stage == "a" else 100)) // 32 for x in units.collect())
+    halves = store.bisected(units.where("stage = 'a' AND unit = 3"), ["key"]).collect()
+    assert sorted((x.key, x.unit) for x in halves) == [(96, 6), (97, 6), (98, 7), (99, 7)]
+
+
+def test_duplicate_groups_in_archive_order(spark):
+    from strandmill.operators import dedupe
+
+    found = spark.createDataFrame([("m3", "m1", "same content"), ("m2", "m1", "same content"), ("m9", "m7", "same message id")], "msg_uid string, canonical_uid string, reason string")
+    placed = spark.createDataFrame([("m1", 5), ("m7", 2)], "msg_uid string, place int")
+    assert [(r.canonical_uid, r.duplicate_uids) for r in dedupe.groups(found, placed).collect()] == [("m7", ["m9"]), ("m1", ["m2", "m3"])]
+
+
+@given(st.lists(st.sampled_from(FRAGMENTS), max_size=20).map("".join))
+def test_merged_runs_map_alike(raw):
+    out, runs = decode.decode_quoted(raw)
+    merged = decode.merged_runs(runs)
+    assert len(merged) <= len(runs) and sum(r[1] for r in merged) == len(out) and sum(r[3] for r in merged) == len(raw)
+    assert all(decode.to_raw(runs, a, b) == decode.to_raw(merged, a, b) for a in range(0, len(out) + 1, 3) for b in range(a, len(out) + 1, 2))
+
+
+def test_raw_ranges_and_small_texts(spark):
+    raw = "plain=20text=\nmore=E9 end"
+    out, runs = decode.decode_quoted(raw)
+    spots = [(a, b) for a in range(len(out)) for b in range(a + 1, len(out) + 1)]
+    names = ("out_start", "out_len", "raw_start", "raw_len")
+    df = spark.createDataFrame([(a, b, [dict(zip(names, x, strict=True)) for x in runs]) for a, b in spots], f"a int, b int, runs {decode.RUNS}")
+    got = df.select("a", "b", decode.raw_range(F.col("runs"), F.col("a"), F.col("b"), F.lit(7)).alias("r")).collect()
+    assert all((x.r.raw_start, x.r.raw_end) == decode.to_raw(runs, x.a, x.b, 7) for x in got)
+    row = spark.createDataFrame([("---\nname: x\n---\nbody", 'Sure:\n```json\n{"a": [1, {"b": 2}]}\n``` done', "a@b")], "f string, p string, a string").select(
+        text.strip_front_matter(F.col("f")).alias("f"), text.payload_json(F.col("p")).alias("p"), text.local_part(F.col("a")).alias("a"), text.money(F.lit(1234.5)).alias("m"), text.novel_text(F.lit("x\n--- Original Message ---")).alias("n")
+    ).first()
+    assert tuple(row) == ("body", '{"a": [1, {"b": 2}]}', "a", "$1,234.50", "x\n")
+
+
+def test_folded_quotes_in_and_out_of_ascii():
+    assert evidence.find_folded("Say “yes”\n  to it", 'say "yes" to it', True) == (0, 17)
+    assert evidence.find_folded("One  two\nTHREE", "one two three", True) == (0, 14) and evidence.find_folded("One  two\nTHREE", "one two three", False) is None
+    assert evidence.find_folded("a.b c", "a.b\tc".replace("\t", " "), False) == (0, 5) and evidence.find_folded("axb c", "a.b c", False) is None
+
+
+def test_streamed_threads_follow_the_rule(spark, tmp_path):
+    day = 86_400
+    rows = [("m1", "s", 0, False, ["a", "b"]), ("m2", "s", day, True, ["b"]), ("m3", "s", 2 * day, True, ["x"]), ("m4", "s", 3 * day, False, ["a"]), ("m5", "s", 4 * day, True, ["a"]), ("m6", "s", 15 * day, True, ["a"]), ("n1", "t", 0, True, ["z"])]
+    schema = "msg_uid string, subject_key string, s long, is_reply boolean, people array<string>"
+    df = spark.createDataFrame(rows, schema)
+    # three files, one a micro-batch, in order of time
+    for k, part in enumerate((rows[:2], rows[2:5], rows[5:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*").withColumn("sent_at", F.timestamp_seconds("s"))
+    query = threads.stream_threads(stream).writeStream.format("memory").queryName("threaded").option("checkpointLocation", f"{tmp_path}/ck").trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    found = {r.msg_uid: r.thread for r in spark.table("threaded").collect()}
+    assert found == {"m1": 0, "m2": 0, "m3": 1, "m4": 2, "m5": 2, "m6": 3, "n1": 0}
+
+
+def test_rounding_and_coverage(spark):
+    df = spark.createDataFrame([("2.675", 4, 3), ("2.665", 0, 0)], "v string, messages int, dated_messages int")
+    got = df.select(estimate.half_even(F.col("v").cast("decimal(18,3)")).alias("r"), estimate.coverage_ratio().alias("c")).collect()
+    assert [(str(float(x.r)), x.c) for x in got] == [("2.68", 0.75), ("2.66", 1.0)]
+
+
+def test_prompts_and_warnings(spark):
+    from strandmill.operators import extract, verify
+
+    records = spark.createDataFrame([("m1", "2001-01", "requester", "ask for volumes", [("please send the volumes today", "x")]), ("m2", None, "responder", "send volumes", [])], f"msg_uid string, month string, role string, process_phrase string, evidence {extract.EVIDENCE}")
+    measured = spark.createDataFrame([("c", 2, 1, 1, 2, 1, 1, 1)], "cluster string, messages int, threads int, senders int, people int, months int, weeks int, folders int")
+    chosen = spark.createDataFrame([("c", "m2", 2), ("c", "m1", 1)], "cluster string, msg_uid string, place int")
+    prompt = extract.cluster_prompt(measured, chosen, records).first().prompt
+    assert prompt.startswith("CLUSTER c\n") and prompt.endswith('  [m1] 2001-01, requester: ask for volumes\n    quote: "please send the volumes today"\n  [m2] undated, responder: send volumes')
+    findings_ = spark.createDataFrame([("f", "counted", [("raw_exact",), ("normalized",)])], "finding string, status string, citations_list array<struct<match_tier:string>>")
+    read = spark.createDataFrame([("m1", True), ("m2", False)], "msg_uid string, extracted boolean")
+    none = spark.createDataFrame([], "name string")
+    assert {r.kind for r in verify.completeness(findings_, read, none).collect()} == {"incomplete coverage", "no documents"}
+    assert tuple(verify.weak_share(findings_).first()) == (2, 1, True)
+    pair = [spark.createDataFrame(x, "k int, v double") for x in ([(1, 1.0), (2, 2.0)], [(1, 1.5), (3, 3.0)])]
+    assert {r.k for r in verify.mismatches(*pair, "k", "v", 0.1).collect()} == {1, 2, 3} and [r.k for r in verify.disjoint(*pair, "k").collect()] == [1]
