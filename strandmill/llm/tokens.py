@@ -14,14 +14,16 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import regex
+from pandas._libs.hashtable import Int64Factorizer
 from tokenizers import Tokenizer
 
 from strandmill.llm.arrays import mix
 
 #: Code points below this are classed by table; they have had their classes in every version of Unicode in use.
 SAFE = 0x0250
+#: New pre-tokens that are encoded as one text.
+JOINED = 64
 LETTER, NUMBER, OTHER, SPACE = 1, 2, 3, 4
 #: The contractions that the pre-token pattern of this vocabulary splits off.
 CONTRACTIONS = ("s", "t", "re", "ve", "m", "ll", "d")
@@ -88,29 +90,54 @@ class Encoder:
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
         self.special = [t["content"] for t in json.loads(definition).get("added_tokens", [])]
+        self.joinable = not any(" " in t for t in self.special)
         self._clear()
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
+        #: Hashes of pre-tokens of up to 16 bytes, numbered as they come; ``short`` has their bytes, length and number here.
+        self.hashes = Int64Factorizer(1 << 16)
+        self.short = [np.zeros(1 << 16, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64)]
         self.size = np.zeros(1 << 16, np.int32)
         self.place = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
-
-    def _learn(self, words: list[bytes]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))
-        first = len(self.known)
-        while first + len(ids) > len(self.size):
+        self.count = self.used = 0
+
+    def _learn(self, words: list[bytes]) -> np.ndarray:
+        """Numbers of new pre-tokens, whose ids are kept from now on."""
+        texts = [w.decode() for w in words]
+        # a blank begins a pre-token, so such words can go through the library many at once
+        joins = [len(t) > 1 and t[0] == " " and not t[1].isspace() for t in texts] if self.joinable else [False] * len(texts)
+        many = [i for i, x in enumerate(joins) if x]
+        rest = [i for i, x in enumerate(joins) if not x]
+        groups = [many[i : i + JOINED] for i in range(0, len(many), JOINED)]
+        sizes, parts, order = np.zeros(len(texts), np.int64), [], []
+        for group, e in zip(groups, self.tokenizer.encode_batch(["".join(texts[i] for i in g) for g in groups], add_special_tokens=False), strict=True):
+            counts = np.bincount(e.word_ids, minlength=len(group)) if e.ids else np.zeros(0)
+            if len(counts) == len(group):
+                sizes[group] = counts
+                parts.append(e.ids)
+                order += group
+            else:
+                rest += group
+        for i, e in zip(rest, self.tokenizer.encode_batch([texts[i] for i in rest], add_special_tokens=False), strict=True):
+            sizes[i] = len(e.ids)
+            parts.append(e.ids)
+        order = np.array(order + rest, np.int64)
+        flat = np.fromiter(chain.from_iterable(parts), np.uint32, int(sizes.sum()))
+        place = np.zeros(len(texts), np.int64)
+        place[order] = self.used + np.cumsum(sizes[order]) - sizes[order]
+        first = self.count
+        while first + len(texts) > len(self.size):
             self.size, self.place = (np.concatenate([x, np.zeros_like(x)]) for x in (self.size, self.place))
         while self.used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.known.update(zip(words, range(first, first + len(ids)), strict=True))
-        self.size[first : first + len(ids)] = sizes
-        self.place[first : first + len(ids)] = self.used + np.cumsum(sizes) - sizes
+        self.count += len(texts)
+        self.size[first : self.count] = sizes
+        self.place[first : self.count] = place
         self.flat[self.used : self.used + len(flat)] = flat
         self.used += len(flat)
+        return np.arange(first, self.count)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -168,30 +195,33 @@ class Encoder:
         full = np.uint64(0xFFFFFFFFFFFFFFFF)
         mask = lambda k: np.where(k == 0, np.uint64(0), full >> ((np.uint64(8) - k) * np.uint64(8) % np.uint64(64)))
         a, b = word[begin] & mask(low), word[np.minimum(begin + 8, len(raw))] & mask(high)
-        short = size <= 16
-        key = mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + size.astype(np.uint64)))
-        code = np.empty(len(begin), np.int64)
-        group, _ = pd.factorize(key[short])
-        own = np.flatnonzero(short)
-        rep = np.zeros(group.max(initial=-1) + 1, np.int64)
-        rep[group[::-1]] = own[::-1]
-        alike = (a[own] == a[rep[group]]) & (b[own] == b[rep[group]]) & (size[own] == size[rep[group]])
-        rest = np.concatenate([np.flatnonzero(~short), own[~alike]])
-        own, group = own[alike], group[alike]
-        ends = begin + size
-        words = [raw[i:j] for i, j in zip(begin[rep].tolist(), ends[rep].tolist(), strict=True)]
-        others = [raw[i:j] for i, j in zip(begin[rest].tolist(), ends[rest].tolist(), strict=True)]
-        if len(self.known) + len(words) + len(others) > self.most:
+        own = np.flatnonzero(size <= 16)
+        key = mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + size.astype(np.uint64))).view(np.int64)[own]
+        a, b, size_ = a[own], b[own], size[own]
+        if self.count > self.most:
             self._clear()
-        words += others
-        found = list(map(self.known.get, words))
-        if missing := [i for i, c in enumerate(found) if c is None]:
-            self._learn(list(dict.fromkeys(words[i] for i in missing)))
-            for i in missing:
-                found[i] = self.known[words[i]]
-        codes = np.array(found, np.int64)
-        code[own] = codes[: len(rep)][group]
-        code[rest] = codes[len(rep) :]
+        before = self.hashes.get_count()
+        label = self.hashes.factorize(key)
+        after = self.hashes.get_count()
+        words = lambda at: [raw[i:j] for i, j in zip(begin[at].tolist(), (begin[at] + size[at]).tolist(), strict=True)]
+        if after > before:
+            while after > len(self.short[0]):
+                self.short = [np.concatenate([x, np.zeros_like(x)]) for x in self.short]
+            new = np.flatnonzero(label >= before)
+            first = new[np.unique(label[new], return_index=True)[1]]
+            numbers = self._learn(words(own[first]))
+            for held, found in zip(self.short, (a[first], b[first], size_[first], numbers), strict=True):
+                held[before:after] = found
+        code = np.empty(len(begin), np.int64)
+        code[own] = self.short[3][label]
+        # longer ones, and such as share a hash with another, are known by their bytes
+        alike = (a == self.short[0][label]) & (b == self.short[1][label]) & (size_ == self.short[2][label])
+        rest = np.concatenate([np.flatnonzero(size > 16), own[~alike]])
+        if len(rest):
+            others = words(rest)
+            if new_words := list(dict.fromkeys(w for w in others if w not in self.known)):
+                self.known.update(zip(new_words, self._learn(new_words).tolist(), strict=True))
+            code[rest] = list(map(self.known.__getitem__, others))
         return code
 
 
