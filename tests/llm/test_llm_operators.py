@@ -88,6 +88,15 @@ def test_shards_are_runs_of_keys(spark):
     assert (large > 0).sum() <= 1 and (abs(ends - even * np.arange(1, 11)) <= 30_008 + 0.001 * even).all()
 
 
+def test_written_shards_hold_their_records_in_order(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"text {i % 9} " * (i % 50)) for i in range(400)], "doc_id long, text string")
+    sharding.write_shards(df, str(tmp_path / "shards"), 5)
+    plan = {r.doc_id: (r["shard"], r.slot) for r in sharding.shard_records(df, 5).collect()}
+    back = spark.read.parquet(str(tmp_path / "shards")).collect()
+    assert {r.doc_id: (r["shard"], r.slot) for r in back} == plan and len(back) == 400
+    assert {r.doc_id: r.text for r in back} == {r.doc_id: r.text for r in df.collect()}
+
+
 def test_packing_round_trip(odd, none):
     public = pytest.importorskip("public_tokenizers")
     from tokenizers import Tokenizer
