@@ -23,10 +23,13 @@ def _rank_columns() -> list[Column]:
 
 
 def exact_tier(messages: DataFrame, key: str, reason: str) -> DataFrame:
-    """``(msg_uid, canonical_uid, reason)`` of the copies under one key; a null key groups nothing."""
-    own = Window.partitionBy(key).orderBy(*_rank_columns())
-    ranked = messages.where(F.col(key).isNotNull()).select("msg_uid", F.row_number().over(own).alias("n"), F.first("msg_uid").over(own).alias("canonical_uid"))
-    return ranked.where("n > 1").select("msg_uid", "canonical_uid", F.lit(reason).alias("reason"))
+    """``(msg_uid, canonical_uid, reason)`` of the copies under one key; a null key groups nothing.
+
+    The first of each key is a partial aggregate and is joined back, so a key that very many messages share is no one task's.
+    """
+    keyed = messages.where(F.col(key).isNotNull()).select("msg_uid", key, F.struct(*(c.alias(f"o{i}") for i, c in enumerate(_rank_columns())), F.col("msg_uid").alias("uid")).alias("rank"))
+    first = keyed.groupBy(key).agg(F.min("rank")["uid"].alias("canonical_uid"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return keyed.join(first, key).where("msg_uid <> canonical_uid").select("msg_uid", "canonical_uid", F.lit(reason).alias("reason"))
 
 
 def exact_duplicates(messages: DataFrame) -> DataFrame:
@@ -77,12 +80,13 @@ def blocks(messages: DataFrame, block: str = "subject_key", most: int = MAX_BLOC
 def near_candidates(messages: DataFrame, block: str = "subject_key", text: str = "text", most: int = MAX_BLOCK) -> DataFrame:
     """Pairs of one block, sent within two minutes or both undated; ``n`` is the rank in the block.
 
-    Blocks hold 2 to ``most`` messages (larger ones are left alone, as the tier is defined; ``blocks`` lists them) and only texts of at least 25 words. The time condition is part of the join key in
+    Blocks hold 2 to ``most`` messages (larger ones are left alone, as the tier is defined; ``blocks`` lists them, and their texts go
+    no further than the count) and only texts of at least 25 words. The time condition is part of the join key in
     windows of its own length, so a block is not paired with itself as a whole.
     """
-    sized = messages.where(F.col(block) != "").withColumn("words", words_of(F.col(text))).withColumn("block_size", F.count("*").over(Window.partitionBy(block)))
-    fits = F.col("block_size").between(2, most)
-    long_ = sized.where(fits & (F.size("words") >= MIN_WORDS))
+    fit = blocks(messages, block, most).where("NOT left_out").select(F.col(block).alias("_block"))
+    sized = messages.join(fit, F.col(block) == F.col("_block")).drop("_block").withColumn("words", words_of(F.col(text)))
+    long_ = sized.where(F.size("words") >= MIN_WORDS)
     rank = F.row_number().over(Window.partitionBy(block).orderBy(*_rank_columns()))
     seconds = F.unix_seconds(F.col("sent_at").cast("timestamp"))
     ranked = long_.select("msg_uid", block, rank.alias("n"), seconds.alias("s"), shingle_set(F.col("words")).alias("set"))

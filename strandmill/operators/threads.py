@@ -50,7 +50,8 @@ def build_threads(messages: DataFrame, key: str = "subject_key") -> DataFrame:
 
     Messages without a subject or a date stand alone and skip the grouped step, so an empty
     subject never gathers in one group. A subject's timeline is cut at gaps that no reply can
-    bridge, and each part is dealt to a task of its own; a task works through its parts one after another.
+    bridge, and each part is dealt to a task; a task works through its parts one after another, with one
+    part in memory. The rule is sequential, so a part without such a gap is not split further.
     """
     columns = ["msg_uid", "path", F.coalesce(key, F.lit("")).alias("subject"), F.unix_micros(F.col("sent_at").cast("timestamp")).alias("micros"), "is_reply", "people"]
     rows = messages.select(*columns)
@@ -81,10 +82,14 @@ def build_threads(messages: DataFrame, key: str = "subject_key") -> DataFrame:
             yield pd.DataFrame(closed(held), columns=["msg_uid", "thread_id", "subject"])
 
     ship(messages.sparkSession)
-    own = Window.partitionBy("subject").orderBy("micros", "path")
+    # gaps show between the first and last times of days, of which a subject has few however many messages it has
+    dated = rows.where(~alone).withColumn("day", F.floor(F.col("micros") / 86_400_000_000))
+    days = dated.groupBy("subject", "day").agg(F.min("micros").alias("first"), F.max("micros").alias("last"))
+    own = Window.partitionBy("subject").orderBy("day")
     # a second more than the gap, since the rule compares seconds as floats
-    far = F.coalesce(F.col("micros") - F.lag("micros").over(own) > (MAX_GAP_SECONDS + 1) * 1_000_000, F.lit(False))
-    parts = rows.where(~alone).withColumn("far", far.cast("int")).withColumn("part", F.sum("far").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    far = F.coalesce(F.col("first") - F.lag("last").over(own) > (MAX_GAP_SECONDS + 1) * 1_000_000, F.lit(False))
+    days = days.withColumn("far", far.cast("int")).withColumn("part", F.sum("far").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = dated.join(days.select("subject", "day", "part"), ["subject", "day"])
     dealt = parts.repartition("subject", "part").sortWithinPartitions("subject", "part", "micros", "path")
     chained = dealt.select("msg_uid", "subject", "part", "micros", "is_reply", "people").mapInPandas(run, "msg_uid string, thread_id string, subject string")
     return rows.where(alone).select("msg_uid", single.alias("thread_id"), "subject").unionByName(chained)

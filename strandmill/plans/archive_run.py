@@ -58,7 +58,7 @@ def find(sorted_: dict[str, DataFrame], extractions: DataFrame | None = None, as
     found = durable(series.failed_gates(series.find_series(by_person)))
     promoted = found.where(F.size("failed_gates") == 0)
     profile = series.profiles(by_person, list(KEYS))
-    shown = promoted.join(series.example_subjects(by_person, list(KEYS)), list(KEYS)).join(profile, list(KEYS))
+    shown = promoted.join(series.example_subjects(by_person, list(KEYS)), list(KEYS)).join(profile, list(KEYS)).join(series.recipients_of(by_person, list(KEYS)), list(KEYS), "left")
     members = series.members(by_person, promoted)
     each = members.select("finding", "msg_uid", F.explode_outer("participants").alias("address")).join(known, "address", "left")
     persons = each.groupBy("finding", "msg_uid").agg(F.array_sort(F.collect_set(F.coalesce("person_id", "address"))).alias("participants"))
@@ -84,7 +84,7 @@ def find(sorted_: dict[str, DataFrame], extractions: DataFrame | None = None, as
     assembled = durable(findings.assemble(series_base.unionByName(cluster_base), series_records.unionByName(own.select(*same)), cited, missing, assumed))
     limits = artifact_limits(thresholds)
     chosen = claims.select_artifacts(assembled, limits)
-    return {"series": found, "clusters": gated, "records": records, "extractions": extractions, "citations": cited, "uncited": missing, "findings": assembled, "choices": chosen}
+    return {"series": found, "promoted_series": shown, "clusters": gated, "records": records, "extractions": extractions, "citations": cited, "uncited": missing, "findings": assembled, "choices": chosen}
 
 
 def artifact_limits(thresholds: dict | None = None) -> dict:
@@ -120,7 +120,7 @@ def publish(spark: SparkSession, done: dict[str, DataFrame], out: str, assumed:
     names = [f.name for f in spark.createDataFrame([], FINDING).schema]
     done["findings"].select(*names).write.mode("overwrite").json(f"{out}/findings")
     done["series"].where(F.size("failed_gates") > 0).write.mode("overwrite").json(f"{out}/residual/series")
-    done["clusters"].where("NOT passed AND messages >= 3").write.mode("overwrite").json(f"{out}/residual/clusters")
+    clusters.by_size(done["clusters"].where("NOT passed AND messages >= 3")).write.mode("overwrite").json(f"{out}/residual/clusters")
     done["uncited"].write.mode("overwrite").json(f"{out}/quarantine")
     store.report_lines(done["findings"]).select("line").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     figures = subtotals(findings.band_rows(done["findings"])).collect()

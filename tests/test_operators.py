@@ -294,6 +294,8 @@ def test_run_publish_and_check(spark, tmp_path):
     work = next(r for r in found.values() if r.source == "clusters")
     assert work.status == "counted" and work.messages == 24 and work.senders == 2 and len(work.citations_list) == 8
     assert summary["headline"]["dollars"]["base"] == str(work.dollars) and summary["coverage"] == {"eligible": 36, "extracted": 36, "complete": True}
+    profile = done["promoted_series"].first()
+    assert profile.recipients == ["boss@x.org"] and profile.folders == ["mail/kim/sent"] and profile.empty_share == 0
     lines = [r.line for r in store.report_lines(done["findings"]).collect()]
     assert lines[0].startswith("## 1. ") and "Not counted: cited senders 1 < 2" in lines[-1]
     draft = {"finding": work.finding, "title": "Meter Questions", "shape": "sop", "body": f"Asked daily [{work.citations_list[0].citation_id}].", "evidence": [], "judgment": False}
