@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Odd multipliers of the rolling hashes (mod 2**64).
 CHAR_BASE = 0x9E3779B97F4A7C15
@@ -32,7 +33,9 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def blocks(batch: pa.RecordBatch, column: str, most_bytes: int = 500_000) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most_bytes`` of text each; one long text is a slice of its own."""
     n = batch.num_rows
-    _, off = utf8(batch.column(batch.schema.get_field_index(column)))
+    # lengths alone, so that the texts of a whole batch are not copied
+    sizes = pc.binary_length(batch.column(batch.schema.get_field_index(column))).fill_null(0).to_numpy(zero_copy_only=False)
+    off = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
     start = 0
     while start < n:
         end = int(np.searchsorted(off, off[start] + most_bytes, "right")) - 1
