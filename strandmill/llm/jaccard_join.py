@@ -44,7 +44,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandmill.llm.arrays import WORDS, Text, blocks, mix, prefix_sums, span_hashes, utf8, windows
+from strandmill.llm.arrays import WORDS, Text, blocks, mix, prefix_sums, span_hashes, tidy, utf8, windows
 from strandmill.operators.graph import connected_components
 from strandmill.session import discard, durable, ship, table
 
@@ -56,6 +56,8 @@ RARE = 16
 #: A part of frequent shingles for so many shingles of a set.
 PART = 20
 SKETCH_BITS = 1024
+#: Shingles that are made into index entries at once.
+STEP = 50_000
 MARK_BITS = 26
 #: Classes and bytes of a block of a group.
 BLOCK_ROWS, BLOCK_BYTES = 2048, 16 << 20
@@ -133,7 +135,7 @@ def _each_sets(df: DataFrame, text: str, schema: str, make: Callable[[Sets], pa.
                 if made is not None and made.num_rows:
                     yield made
 
-    return df.select(text).mapInArrow(run, schema)
+    return df.select(text).mapInArrow(tidy(run), schema)
 
 
 def classes_of(df: DataFrame, keep: list[str], text: str, names: tuple[str, str, str] = ("n_shingles", "ref", "pooled")) -> DataFrame:
@@ -152,7 +154,7 @@ def classes_of(df: DataFrame, keep: list[str], text: str, names: tuple[str, str,
                 made = [pa.array(sets.n, pa.int64()), pa.array(sets.ref, mask=sets.n == 0), pa.array(pooled, pa.int64())]
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], names=[*keep, *names])
 
-    return flat.mapInArrow(run, schema)
+    return flat.mapInArrow(tidy(run), schema)
 
 
 def _pool(sets: Sets) -> pa.RecordBatch:
@@ -226,17 +228,21 @@ def index_entries(tokens: DataFrame, classes: DataFrame, rare: int) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            sizes = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+            start = 0
+            while start < batch.num_rows:
+                # about so many shingles at once, whatever the length of the texts
+                end = max(start + 1, int(np.searchsorted(sizes, sizes[start] + STEP, "right")) - 1)
+                part = batch.slice(start, end - start)
                 ref, n, pooled = (part.column(i).to_numpy() for i in (0, 2, 3))
-                found = part.column(1)
-                off = np.concatenate([[0], np.cumsum(found.value_lengths().to_numpy())])
-                each = found.flatten()
+                each = part.column(1).flatten()
                 token, count = (each.field(x).to_numpy() for x in ("token", "sets"))
+                off = sizes[start : end + 1] - sizes[start]
                 sig, owner = signatures(ref, n, pooled, off, token.view(np.uint64), count.astype(np.int64), rare)
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(owner)], names=["sig", "ref"])
+                start = end
 
-    return lists.select("ref", "found", "n_shingles", "pooled").mapInArrow(run, "sig long, ref long")
+    return lists.select("ref", "found", "n_shingles", "pooled").mapInArrow(tidy(run), "sig long, ref long")
 
 
 def _packed(sets: Sets) -> pa.RecordBatch:
@@ -322,7 +328,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     slim = pairs.join(side("a", "n", "sketch"), "a").join(side("b", "n", "sketch"), "b").where(_near(F.col("n_a"), F.col("n_b")))
     likely = slim.select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b").mapInArrow(_bound, "a long, b long")
     whole = likely.join(side("a", "body"), "a").join(side("b", "body"), "b").select("a", "b", "body_a", "body_b")
-    return durable(whole.mapInArrow(_exact, "a long, b long"))
+    return durable(whole.mapInArrow(tidy(_exact), "a long, b long"))
 
 
 def _near(x: Column, y: Column) -> Column:

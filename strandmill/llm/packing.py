@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.arrays import blocks, utf8
+from strandmill.llm.arrays import blocks, tidy, utf8
 from strandmill.llm.tokens import encoder
 from strandmill.session import durable, table
 
@@ -146,7 +146,7 @@ def pack(
 
         return run
 
-    packed = durable(df.select(*keep, text).mapInArrow(first_round, schema))
+    packed = durable(df.select(*keep, text).mapInArrow(tidy(first_round), schema))
     final = F.col("fill") >= capacity - int(capacity * NEARLY_FULL)
     finished = [packed.where(final)]
     open_, parts = packed.where(~final), packed.rdd.getNumPartitions() * fan_in

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm.arrays import CHARS, Text, blocks, mix, span_hashes, utf8, windows
+from strandmill.llm.arrays import CHARS, Text, blocks, mix, span_hashes, tidy, utf8, windows
 from strandmill.session import table
 
 DIMENSIONS = 1 << 18
@@ -146,7 +146,7 @@ def fit(df: DataFrame, ratings: DataFrame, grades: int, id_col: str = "doc_id",
     # the sample has a bound, so it may be sent to every task; of several texts of one id the least counts
     texts = df.select(id_col, text).join(F.broadcast(sample), id_col).groupBy(id_col).agg(F.min("grade").alias("grade"), F.min(text).alias(text))
     texts = texts.select("grade", text)
-    found = texts.mapInArrow(run, "grade int, slot array<int>, value array<float>").toArrow()
+    found = texts.mapInArrow(tidy(run), "grade int, slot array<int>, value array<float>").toArrow()
     if not found.num_rows:
         return None
     # sums of floats depend on the order of rows
@@ -177,7 +177,7 @@ def score(df: DataFrame, model: OrdinalModel | None, grades: int, id_col: str =
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[id_col, "expected_grade", *names, "kept"])
 
     schema = f"`{id_col}` {kind}, expected_grade double, {', '.join(f'{x} double' for x in names)}, kept boolean"
-    return df.select(id_col, text).mapInArrow(run, schema)
+    return df.select(id_col, text).mapInArrow(tidy(run), schema)
 
 
 def grades_of(labels: DataFrame) -> DataFrame:

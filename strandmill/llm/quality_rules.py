@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from strandmill.llm.arrays import Text, blocks, prefix_sums, repeated, span_hashes, utf8, windows, CHARS
+from strandmill.llm.arrays import CHARS, Text, blocks, prefix_sums, repeated, span_hashes, tidy, utf8, windows
 from strandmill.session import table
 
 
@@ -125,7 +125,7 @@ def score_quality(df: DataFrame, text: str = "text", keep: list[str] | None = No
                 arrays += [pa.array(found[name], kind) for name, _, kind in COLUMNS]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *(name for name, _, _ in COLUMNS)])
 
-    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(run, schema)
+    return df.select(*dict.fromkeys([*keep, text])).mapInArrow(tidy(run), schema)
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> DataFrame:
@@ -137,7 +137,7 @@ def keep_good(df: DataFrame, text: str = "text", rules: Rules = Rules()) -> Data
                 found = measure(*utf8(part.column(part.schema.get_field_index(text))), rules)
                 yield part.filter(pa.array(found["kept"]))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidy(run), df.schema)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ points outside ``SAFE``, or a special token written out) are encoded whole by th
 from __future__ import annotations
 
 import json
+import os
 from functools import lru_cache
 from itertools import chain
 
@@ -18,8 +19,10 @@ import regex
 from pandas._libs.hashtable import Int64Factorizer
 from tokenizers import Tokenizer
 
-from strandmill.llm.arrays import mix
+from strandmill.llm.arrays import mix, release
 
+# a task is a process of its own already, and threads of the library would add memory of theirs
+os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 #: Code points below this are classed by table; they have had their classes in every version of Unicode in use.
 SAFE = 0x0250
 #: New pre-tokens that are encoded as one text.
@@ -85,7 +88,7 @@ def pretokens(points: np.ndarray, off: np.ndarray) -> np.ndarray:
 class Encoder:
     """Encodes blocks of texts; keeps the ids of the pre-tokens it has met, up to a bound."""
 
-    most = 600_000
+    most = 300_000
 
     def __init__(self, definition: str):
         self.tokenizer = Tokenizer.from_str(definition)
@@ -95,11 +98,10 @@ class Encoder:
 
     def _clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        #: Hashes of pre-tokens of up to 16 bytes, numbered as they come; ``short`` has their bytes, length and number here.
+        #: Hashes of pre-tokens of up to 16 bytes, numbered as they come; ``second`` has another hash of each, ``number`` its number here.
         self.hashes = Int64Factorizer(1 << 16)
-        self.short = [np.zeros(1 << 16, kind) for kind in (np.uint64, np.uint64, np.int64, np.int64)]
-        self.size = np.zeros(1 << 16, np.int32)
-        self.place = np.zeros(1 << 16, np.int64)
+        self.second, self.number = np.zeros(1 << 16, np.uint64), np.zeros(1 << 16, np.int32)
+        self.size, self.place = (np.zeros(1 << 16, np.int32) for _ in range(2))
         self.flat = np.zeros(1 << 18, np.uint32)
         self.count = self.used = 0
 
@@ -184,7 +186,7 @@ class Encoder:
         code = self._codes(raw, begin, size)
         many = self.size[code].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(many)])
-        ids = self.flat[np.repeat(self.place[code] - total[:-1], many) + np.arange(total[-1])]
+        ids = self.flat[np.repeat(self.place[code].astype(np.int64) - total[:-1], many) + np.arange(total[-1])]
         return ids, total[np.searchsorted(begin, off)]
 
     def _codes(self, raw: bytes, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -196,26 +198,27 @@ class Encoder:
         mask = lambda k: np.where(k == 0, np.uint64(0), full >> ((np.uint64(8) - k) * np.uint64(8) % np.uint64(64)))
         a, b = word[begin] & mask(low), word[np.minimum(begin + 8, len(raw))] & mask(high)
         own = np.flatnonzero(size <= 16)
-        key = mix(a * np.uint64(0x9E3779B97F4A7C15) + mix(b + size.astype(np.uint64))).view(np.int64)[own]
-        a, b, size_ = a[own], b[own], size[own]
+        inner = mix(b + size.astype(np.uint64))
+        key = mix(a * np.uint64(0x9E3779B97F4A7C15) + inner).view(np.int64)[own]
+        second = ((a ^ (inner * np.uint64(0xC4CEB9FE1A85EC53))) * np.uint64(0xFF51AFD7ED558CCD))[own]
         if self.count > self.most:
             self._clear()
+            release()
         before = self.hashes.get_count()
         label = self.hashes.factorize(key)
         after = self.hashes.get_count()
         words = lambda at: [raw[i:j] for i, j in zip(begin[at].tolist(), (begin[at] + size[at]).tolist(), strict=True)]
         if after > before:
-            while after > len(self.short[0]):
-                self.short = [np.concatenate([x, np.zeros_like(x)]) for x in self.short]
+            while after > len(self.second):
+                self.second, self.number = (np.concatenate([x, np.zeros_like(x)]) for x in (self.second, self.number))
             new = np.flatnonzero(label >= before)
             first = new[np.unique(label[new], return_index=True)[1]]
-            numbers = self._learn(words(own[first]))
-            for held, found in zip(self.short, (a[first], b[first], size_[first], numbers), strict=True):
-                held[before:after] = found
+            self.number[before:after] = self._learn(words(own[first]))
+            self.second[before:after] = second[first]
         code = np.empty(len(begin), np.int64)
-        code[own] = self.short[3][label]
+        code[own] = self.number[label]
         # longer ones, and such as share a hash with another, are known by their bytes
-        alike = (a == self.short[0][label]) & (b == self.short[1][label]) & (size_ == self.short[2][label])
+        alike = second == self.second[label]
         rest = np.concatenate([np.flatnonzero(size > 16), own[~alike]])
         if len(rest):
             others = words(rest)
