@@ -10,9 +10,18 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_SETTING, BATCH_BYTES, SPARK_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m", "67108864b"
+
+
 def ship(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once a session, for those that can't import it themselves."""
+    """Send this package to the Python workers, once a session, for those that can't import it themselves.
+
+    Batches for Python are also kept to ``BATCH_BYTES`` unless the session has another bound than Spark's own: a batch
+    is held by the executor and by its worker, and ten thousand long texts would be gigabytes.
+    """
     context = spark.sparkContext
+    if spark.conf.get(BATCH_SETTING, None) == SPARK_BATCH_BYTES:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     if getattr(context, "_strandmill_shipped", False):
         return
     package = Path(__file__).parent
