@@ -554,7 +554,7 @@ def spread_sample(spark, sf_dir):
     return claims.spread_sample(rows, "o_custkey", ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "place")
 
 
-@query()
+@query("SELECT o_orderkey FROM orders ORDER BY sha256(o_orderkey || ':7'), o_orderkey LIMIT 25")
 def seeded_sample(spark, sf_dir):
     return claims.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", 25, 7)
 

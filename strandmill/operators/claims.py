@@ -119,7 +119,7 @@ def spread_sample(rows: DataFrame, by: str, order: list, most: int = 8) -> DataF
 
 def seeded_sample(rows: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows by the hash of a key and a seed; the sample is the feature, and reruns agree."""
-    return rows.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.sha2(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))), 256), key).limit(n)
 
 
 def coverage(eligible: DataFrame, extracted: DataFrame, reasons: DataFrame) -> DataFrame:

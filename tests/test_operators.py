@@ -544,3 +544,49 @@ def test_prompts_and_warnings(spark):
     assert tuple(verify.weak_share(findings_).first()) == (2, 1, True)
     pair = [spark.createDataFrame(x, "k int, v double") for x in ([(1, 1.0), (2, 2.0)], [(1, 1.5), (3, 3.0)])]
     assert {r.k for r in verify.mismatches(*pair, "k", "v", 0.1).collect()} == {1, 2, 3} and [r.k for r in verify.disjoint(*pair, "k").collect()] == [1]
+
+
+def test_minhash_and_near_duplicates_against_naive_ones(spark):
+    """Signatures by the formula, pairs and greedy claims by loops over each block."""
+    import hashlib
+
+    from strandmill.operators import dedupe
+
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for b in range(6):
+        base = [r.choice(words) for _ in range(40)]
+        for i in range(12):
+            own = list(base)
+            for _ in range(r.choice([0, 0, 1, 2, 9])):
+                own[r.randrange(40)] = r.choice(words)
+            rows.append((f"m{b}{i:02d}", f"p{b}{i:02d}", f"s{b}", None if i == 11 else 1000 + r.randrange(300), " ".join(own)))
+    rows += [("x1", "x1", "short", 1, "a b"), ("x2", "x2", "short", 1, "a b"), ("y1", "y1", "", 1, rows[0][4]), ("y2", "y2", "", 1, rows[0][4])]
+
+    def grams(text_):
+        w = text_.lower().split()
+        return {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    signature = dedupe.minhash_signature(__import__("pandas").Series([rows[0][4], rows[3][4], "", "one two"]))
+    for text_, found in ((rows[0][4], signature[0]), (rows[3][4], signature[1])):
+        x = [int.from_bytes(hashlib.blake2b(g.encode(), digest_size=8).digest(), "big") for g in grams(text_)]
+        for k in (0, 1, 77, 127):
+            a, b = 0x9E3779B97F4A7C15 + k * 0x100000001B3, 0xBF58476D1CE4E5B9 + k * 0x94D049BB133111EB
+            assert found[k] == min((a * v + b) & ((1 << 61) - 1) for v in x)
+    assert set(signature[2]) == {0} and len(set(signature[3])) > 100
+
+    df = spark.createDataFrame(rows, "msg_uid string, path string, subject_key string, s long, text string").withColumn("sent_at", F.timestamp_seconds("s"))
+    found = {x.msg_uid: x.canonical_uid for x in dedupe.near_duplicates(df).collect()}
+    want: dict = {}
+    for b in range(6):
+        block = sorted((x for x in rows if x[2] == f"s{b}"), key=lambda x: (x[3] is None, x[3] or 0, len(x[1]), x[1]))
+        for i, one in enumerate(block):
+            for other in block[i + 1 :]:
+                moment = one[3] is other[3] is None or (None not in (one[3], other[3]) and abs(one[3] - other[3]) <= 120)
+                x, y = grams(one[4]), grams(other[4])
+                if one[0] not in want and other[0] not in want and moment and len(x & y) >= 0.9 * len(x | y):
+                    want[other[0]] = one[0]
+    assert found == want and len(want) > 10
+    # a block above the bound is left alone, and said to be
+    assert dedupe.near_duplicates(df, most=5).count() == 0 and dedupe.blocks(df, most=5).where("left_out").count() == 6
