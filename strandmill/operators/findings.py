@@ -144,3 +144,21 @@ def band_rows(findings: DataFrame) -> DataFrame:
 def tier_counts(citations: DataFrame) -> DataFrame:
     """``(match_tier, citations, repaired)``."""
     return citations.groupBy("match_tier").agg(F.count("*").alias("citations"), F.count_if("repaired").alias("repaired"))
+
+
+def document_prompt(findings: DataFrame) -> DataFrame:
+    """``(finding, prompt)``: a finding's measures and citations as text for whoever is to draft its document."""
+    cited = F.transform(
+        "citations_list",
+        lambda c: F.concat(F.lit("  ["), c["citation_id"], F.lit('] "'), F.trim(F.translate(c["quote"], "\r\n", " ")), F.lit('"\n      '), c["source_path"], F.lit(", "), F.coalesce(c["sent_iso"], F.lit("undated")), F.lit(", "), F.coalesce(c["sender"], F.lit("unknown"))),
+    )
+    prompt = F.concat_ws(
+        "\n",
+        F.format_string("FINDING %s: %s", "finding", "title"),
+        F.format_string("kind of work: %s; document: %s", "task_class", "shape"),
+        F.format_string("measured: %d messages in %d instances, %d senders, %d people, months %s", "messages", "instances", "senders", "people", F.array_join("month_list", ", ")),
+        F.lit("citations, the only ones that may be used:"),
+        F.array_join(cited, "\n"),
+        F.lit("Close every sentence about today's practice with a citation id in brackets; proposals stand under '## Recommended change' and carry none."),
+    )
+    return findings.select("finding", prompt.alias("prompt"))

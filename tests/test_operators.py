@@ -279,6 +279,7 @@ def _reports(folder, weeks=12):
 
 
 def test_run_publish_and_check(spark, tmp_path):
+    from strandmill.operators import findings as findings_of
     from strandmill.plans import archive_run
     from strandmill.sources import store
 
@@ -294,6 +295,8 @@ def test_run_publish_and_check(spark, tmp_path):
     work = next(r for r in found.values() if r.source == "clusters")
     assert work.status == "counted" and work.messages == 24 and work.senders == 2 and len(work.citations_list) == 8
     assert summary["headline"]["dollars"]["base"] == str(work.dollars) and summary["coverage"] == {"eligible": 36, "extracted": 36, "complete": True}
+    prompt = {r.finding: r.prompt for r in findings_of.document_prompt(done["findings"]).collect()}[work.finding]
+    assert all(f"[{c.citation_id}]" in prompt for c in work.citations_list) and "measured: 24 messages in 24 instances, 2 senders, 3 people, months 2001-01, 2001-02, 2001-03" in prompt
     profile = done["promoted_series"].first()
     assert profile.recipients == ["boss@x.org"] and profile.folders == ["mail/kim/sent"] and profile.empty_share == 0
     lines = [r.line for r in store.report_lines(done["findings"]).collect()]
