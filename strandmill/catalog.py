@@ -192,7 +192,7 @@ def _doc_messages(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     sent = F.lit("2001-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (F.col("doc_id") % 600).cast("decimal(18,6)"))
     uid = F.lpad(F.col("doc_id").cast("string"), 9, "0")
-    key = F.array_join(F.slice(dedupe.words_of(F.col("text")), 1, 4), " ")
+    key = text.fold(F.lower(F.regexp_extract(F.coalesce("text", F.lit("")), r"\A\s*(\S+(?:\s+\S+){0,3})", 1)))
     return d.select(uid.alias("msg_uid"), uid.alias("path"), key.alias("subject_key"), F.when(F.col("doc_id") % 50 != 0, sent).alias("sent_at"), "text")
 
 
@@ -727,8 +727,8 @@ _TEMPLATED_SQL = f"""m AS (SELECT * FROM (SELECT {_TEMPLATE_SQL} AS template, *
 
 
 def _series_findings(spark, sf_dir):
-    m = with_sources(messages(spark, sf_dir))
-    named = series.with_templates(m, text.subject_template(F.col("subject")))
+    m = durable(with_sources(messages(spark, sf_dir)))
+    named = durable(series.with_templates(m.drop("raw"), text.subject_template(F.col("subject"))))
     promoted = durable(series.failed_gates(series.find_series(named)).where(F.size("failed_gates") == 0))
     members = durable(series.members(named, promoted))
     own = findings.series_records(members.withColumn("empty_share", F.lit(0.0)))

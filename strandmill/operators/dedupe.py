@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.functions.text import fold
+from strandmill.session import durable
 
 # Fixed values of the near-duplicate tier.
 SHINGLE, PERMUTATIONS, MASK = 5, 128, (1 << 61) - 1
@@ -33,9 +34,13 @@ def exact_tier(messages: DataFrame, key: str, reason: str) -> DataFrame:
 
 
 def exact_duplicates(messages: DataFrame) -> DataFrame:
-    """Copies by message id, then by content among the rest."""
-    by_id = exact_tier(messages, "message_id", "same message id")
-    rest = messages.join(by_id.select("msg_uid"), "msg_uid", "left_anti")
+    """Copies by message id, then by content among the rest.
+
+    Keys and ranks are written once, without the texts that they may have been made of.
+    """
+    slim = durable(messages.select("msg_uid", "message_id", "content_hash", "sent_at", "path"))
+    by_id = exact_tier(slim, "message_id", "same message id")
+    rest = slim.join(by_id.select("msg_uid"), "msg_uid", "left_anti")
     return by_id.unionByName(exact_tier(rest, "content_hash", "same content"))
 
 
@@ -85,17 +90,23 @@ def near_candidates(messages: DataFrame, block: str = "subject_key", text: str =
     windows of its own length, so a block is not paired with itself as a whole.
     """
     fit = blocks(messages, block, most).where("NOT left_out").select(F.col(block).alias("_block"))
-    sized = messages.join(fit, F.col(block) == F.col("_block")).drop("_block").withColumn("words", words_of(F.col(text)))
-    long_ = sized.where(F.size("words") >= MIN_WORDS)
+    sized = messages.join(fit, F.col(block) == F.col("_block")).select("msg_uid", block, "sent_at", "path", F.array_join(words_of(F.col(text)), " ").alias("folded"))
     rank = F.row_number().over(Window.partitionBy(block).orderBy(*_rank_columns()))
     seconds = F.unix_seconds(F.col("sent_at").cast("timestamp"))
-    ranked = long_.select("msg_uid", block, rank.alias("n"), seconds.alias("s"), shingle_set(F.col("words")).alias("set"))
+    # texts wait here; only those of messages that meet another are cut into shingles
+    long_ = durable(sized).where(F.size(F.split("folded", " ")) >= MIN_WORDS)
+    ranked = long_.select("msg_uid", block, rank.alias("n"), seconds.alias("s"))
     slot = F.coalesce(F.floor(F.col("s") / SAME_MOMENT_SECONDS), F.lit(-1))
     left = ranked.withColumn("slot", F.explode(F.when(F.col("s").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.array(slot - 1, slot, slot + 1))))
     right = ranked.select(*(F.col(c).alias(f"{c}_b") for c in ranked.columns)).withColumn("slot", F.coalesce(F.floor(F.col("s_b") / SAME_MOMENT_SECONDS), F.lit(-1)))
     met = left.join(right, (F.col(block) == F.col(f"{block}_b")) & (left["slot"] == right["slot"]) & (F.col("n") < F.col("n_b")))
     same = F.col("s").isNull() & F.col("s_b").isNull() | (F.abs(F.col("s") - F.col("s_b")) <= SAME_MOMENT_SECONDS)
-    return met.where(same).select(F.col(block), F.col("msg_uid").alias("a"), F.col("msg_uid_b").alias("b"), "n", "n_b", jaccard(F.col("set"), F.col("set_b")).alias("jaccard"))
+    pairs = durable(met.where(same).select(F.col(block), F.col("msg_uid").alias("a"), F.col("msg_uid_b").alias("b"), "n", "n_b"))
+    needed = pairs.select(F.col("a").alias("msg_uid")).union(pairs.select("b")).distinct()
+    words = long_.select("msg_uid", F.split("folded", " ").alias("words")).join(needed, "msg_uid", "left_semi")
+    sets = durable(words.select("msg_uid", shingle_set(F.col("words")).alias("set")))
+    a, b = (sets.select(F.col("msg_uid").alias(c), F.col("set").alias(f"set_{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b").select(block, "a", "b", "n", "n_b", jaccard(F.col("set_a"), F.col("set_b")).alias("jaccard"))
 
 
 def claim(pairs: DataFrame, block: str = "subject_key") -> DataFrame:

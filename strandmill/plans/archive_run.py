@@ -54,7 +54,9 @@ def find(sorted_: dict[str, DataFrame], extractions: DataFrame | None = None, as
     raw = messages.select("path", "source_sha256", "raw")
     extractions = extract.by_rules(classified) if extractions is None else extractions
 
-    by_person = series.with_templates(identity.to_people(classified, "sender", known), subject_template(F.col("subject")))
+    # the template takes a chain of patterns, so it is made once
+    slim = classified.select("msg_uid", "sender", "subject", "is_reply", "sent_at", "recipients", "participants", "folder", "novel_text")
+    by_person = durable(series.with_templates(identity.to_people(slim, "sender", known), subject_template(F.col("subject"))))
     found = durable(series.failed_gates(series.find_series(by_person)))
     promoted = found.where(F.size("failed_gates") == 0)
     profile = series.profiles(by_person, list(KEYS))
