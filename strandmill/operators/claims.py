@@ -72,7 +72,8 @@ def ranked(findings: DataFrame) -> DataFrame:
     Places inside a status and dollar band of powers of two are numbered apart; a running sum over one row a band, of which
     there are a few hundred at most, tells where each begins. So no task holds all findings.
     """
-    band = F.when(F.col("dollars") > 0, F.floor(F.log2(F.col("dollars").cast("double")))).otherwise(-2000)
+    dollars = F.col("dollars").cast("double")
+    band = F.when(F.isnan(dollars), F.lit(2**63 - 1)).when(dollars > 0, F.floor(F.log2(dollars))).otherwise(-2000)  # NaN sorts above all
     lots = findings.withColumns({"_rank": status_rank(F.col("status")), "_band": band})
     counts = lots.groupBy("_rank", "_band").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_rank", F.desc("_band")).rowsBetween(Window.unboundedPreceding, -1)
