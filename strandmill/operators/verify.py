@@ -60,7 +60,8 @@ def citation_checks(findings: DataFrame, sources: DataFrame, quarantined: DataFr
     now = sources.select(F.col("path").alias("source_path"), F.col("source_sha256").alias("_sha"), "raw", "body", "runs", "body_start")
     rows = evidence.reverified(cited.join(now, "source_path", "left"))
     window = F.array_join(F.slice(F.split("raw", "\n"), F.col("line_start"), F.col("line_end") - F.col("line_start") + 1), "\n")
-    on_lines = F.contains(window, F.col("quote")) | F.contains(window, F.regexp_replace("quote", r"\A\s+|\s+\z", ""))
+    # the blanks of SQL's expressions, which a vertical tab is none of
+    on_lines = F.contains(window, F.col("quote")) | F.contains(window, F.regexp_replace("quote", r"\A[ \t\n\f\r]+|[ \t\n\f\r]+\z", ""))
     if quarantined is not None:
         marked = quarantined.select("citation_id").distinct().withColumn("_both", F.lit(True))
         rows = rows.join(marked, "citation_id", "left")

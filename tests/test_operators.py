@@ -636,3 +636,20 @@ def test_ranks_of_prices_that_are_no_numbers(spark):
     assert [r["finding"] for r in claims.ranked(rows).orderBy("place").collect()] == [f"f{i}" for i in range(len(dollars))]
     summed = rows.groupBy((F.col("finding") > "f2").alias("small")).agg(estimate.exact_sum(F.col("dollars")).alias("s")).orderBy("small").collect()
     assert str(summed[0]["s"]) == "nan" and str(summed[1]["s"]) == "-inf"
+
+
+def test_citations_that_end_in_a_line_end(spark, tmp_path):
+    import duckdb
+    import pandas as pd
+
+    from strandmill import catalog
+
+    quote = "confirm the volume and the meter by ten"
+    again = f"0123456789{quote}\nshort line\n{quote}\nthe end of it"  # shifted by a line, the published lines are the second and third
+    texts = {4: again, 13: again.replace("short line", "a line\nshort"), 22: again.replace("the meter", "the\nmeter"), 6: again, 7: again[:60]}
+    texts[31] = f"0123456789{quote[1:]}\x0b\nshort line\n{quote[1:]}\nthe end of it"
+    pd.DataFrame({"doc_id": list(texts), "text": list(texts.values())}).to_parquet(tmp_path / "documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    got = {tuple(r) for r in catalog.queries()["verify_citations"](spark, str(tmp_path)).collect()}
+    assert got == set(con.execute(catalog.oracle_sql()["verify_citations"]).fetchall()) == {("holds", 3), ("lines do not hold the quote", 3)}
