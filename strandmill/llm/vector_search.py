@@ -5,13 +5,18 @@ four bits a subspace. Centres and codes minimise an anisotropic loss (Guo et al.
 the part of a residual that is parallel to its vector costs ``eta`` times the
 orthogonal part, because it is what changes large inner products. Centres are fitted on a
 bounded sample (``sample_rows`` rows with the least hashes); every row is coded once, and
-the codes (32 bytes for 64 dimensions) are stored as the index.
+the codes (32 bytes for 64 dimensions) are stored in the index.
+
+What a code leaves of its row is stored beside it, in two bytes a component by the row's own scale, with the lengths
+of what the code leaves and of what both leave. So a distance from a unit vector is known from either within a stated length.
 
 The scan reads the index alone: rows are dealt to blocks by hash, queries go to every block,
-and a task holds the codes of one block of rows and one block of queries. Two codes share a byte, so a
-query scans a table of 256 scores for each byte. The best ``rerank`` rows of each block are joined to the
-stored vectors and scored again exactly, in double precision; the ``k`` best remain. Full vectors
-thus move only for queries and candidates.
+and a task holds the index of one block of rows and one block of queries. Two codes share a byte, so a
+query scans a table of 256 scores for each byte. The best ``rerank`` rows of each block are refined by what codes leave and
+bound the ``k``-th distance; then every other row that its code can't tell to be farther is refined as well, and those that may
+still be among the ``k`` nearest are joined to the stored vectors and scored again exactly, in double precision. None is
+lost, whatever the vectors: how near they lie to each other decides how many are scored, not which are found. Full vectors
+move once to find copies, and then only for queries and candidates. Copies of a vector are one row of the index, with as many of the least ids as can be found.
 
 Nulls: rows whose vector is null, zero, or holds null or non-finite components take no part,
 neither as queries nor as candidates. A cosine needs equal lengths, so each length is an index of its own, and
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 from strandmill.session import durable, table
 
 CENTRES = 16
+STEPS = 32_767
 
 
 class Quantiser:
@@ -112,6 +118,57 @@ class Quantiser:
             out += both[:, j][:, packed[:, j]]
         return out
 
+    def centres(self, packed: np.ndarray, d: int) -> np.ndarray:
+        """What codes stand for, ``(rows, d)``."""
+        codes = np.stack([packed & 15, packed >> 4], 2).reshape(len(packed), -1)[:, : len(self.books)]
+        return self.books[np.arange(len(self.books)), codes].reshape(len(packed), -1)[:, :d]
+
+    def rest(self, x: np.ndarray, packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What codes leave in whole steps, the size of a step, and the lengths of what codes leave and of what both leave."""
+        left = x - self.centres(packed, x.shape[1])
+        step = np.abs(left).max(1) / STEPS
+        whole = np.clip(np.rint(left / np.where(step > 0, step, 1)[:, None]), -STEPS, STEPS).astype("<i2")
+        fine = self.centres(packed, x.shape[1]) + whole * step[:, None]
+        return whole, step, np.linalg.norm(left, axis=1), np.linalg.norm(x - fine, axis=1)
+
+
+class Block:
+    """Rows of the index, by numpy arrays."""
+
+    def __init__(self, quantiser: Quantiser, x: pd.DataFrame, d: int):
+        self.quantiser, self.d = quantiser, d
+        self.packed = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
+        self.coarse, self.error, self.own = (x[c].to_numpy() for c in ("coarse", "error", "own"))
+        centres = quantiser.centres(self.packed, d)
+        self.square = np.einsum("ij,ij->i", centres, centres)
+        self.fine = centres + np.frombuffer(b"".join(x["rest"]), "<i2").reshape(len(x), d) * x["step"].to_numpy()[:, None]
+        self.fine_square = np.einsum("ij,ij->i", self.fine, self.fine)
+
+    def candidates(self, units: np.ndarray, own: np.ndarray, k: int, rerank: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query, row and the bounds of their distance, for rows that may be among the ``k`` nearest of a query.
+
+        Rows whose ``own`` is the query's bound nothing; they have no upper bound. Slack stands for rounding: of single
+        precision sums in the tables, and of double precision beyond them.
+        """
+        single, double = 1e-6 * (self.packed.shape[1] + 8), 1e-15 * (self.d + 16)
+        approximate = self.quantiser.scores(units, self.packed)
+        other = self.own != own[:, None]
+        farther = np.where(other, -approximate, np.inf)
+        first = np.argpartition(farther, rerank - 1)[:, :rerank] if len(self.own) > rerank else np.broadcast_to(np.arange(len(self.own)), approximate.shape)
+        bound = np.full(len(units), np.inf)
+        for i, rows in enumerate(first if first.shape[1] >= k else []):
+            far = np.sqrt(((self.fine[rows] - units[i]) ** 2).sum(1) + double) + self.error[rows]
+            bound[i] = np.partition(np.where(other[i, rows], far, np.inf), k - 1)[k - 1]
+        low = np.sqrt(np.maximum(1 + self.square - 2.0 * approximate - single * (1 + self.square), 0)) - self.coarse
+        need = np.flatnonzero((low <= bound[:, None]).any(0))
+        square = 1 + self.fine_square[need] - 2 * (units @ self.fine[need].T)
+        low = np.sqrt(np.maximum(square - double, 0)) - self.error[need]
+        high = np.where(other[:, need], np.sqrt(np.maximum(square, 0) + double) + self.error[need], np.inf)
+        if len(need) >= k:
+            bound = np.minimum(bound, np.partition(high, k - 1)[:, k - 1])
+        query, row = np.nonzero(low <= bound[:, None])
+        return query, need[row], low[query, row], high[query, row]
+
 
 def usable(vector: str) -> Column:
     """Not null, not empty, all components finite, and not zero."""
@@ -144,83 +201,93 @@ def search(
     block_queries: int = 1024,
     sample_rows: int = 20_000,
 ) -> DataFrame:
-    """``(query_id, rank, id, score)``: the ``k`` nearest rows found for each row of ``queries``, another id than its own."""
+    """``(query_id, rank, id, score)``: the ``k`` nearest rows of each row of ``queries``, another id than its own."""
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
-    slim = lambda x: x.select(F.col(id_col).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.size(vector).alias("d"))
+    plain = lambda x: F.col(vector).cast("array<float>" if x.schema[vector].dataType.simpleString() == "array<float>" else "array<double>")
+    slim = lambda x: x.where(usable(vector)).select(F.col(id_col).alias("id"), plain(x).alias("v"))
     # written once, so that the number of a row stays what it is
-    rows = durable(slim(df.where(usable(vector))).withColumn("row", F.monotonically_increasing_id()))
-    asked = durable(slim(queries.where(usable(vector) & F.col(id_col).isNotNull())).withColumn("query", F.monotonically_increasing_id()))
+    rows = durable(_distinct(slim(df), k).withColumn("row", F.monotonically_increasing_id()))
+    asked = durable(slim(queries.where(F.col(id_col).isNotNull())).withColumns({"d": F.size("v"), "query": F.monotonically_increasing_id()}))
     out = spark.createDataFrame([], f"query_id {kind}, rank int, `{id_col}` {kind}, score double")
     counts = {r["d"]: r["count"] for r in rows.groupBy("d").count().collect()}
     for d, m in sorted((r["d"], r["count"]) for r in asked.groupBy("d").count().collect()):
         if d in counts:
             of = [x.where(F.col("d") == d).drop("d") for x in (rows, asked)]
-            found = _search_length(*of, kind, k, rerank, -(-counts[d] // block_rows), -(-m // block_queries), sample_rows)
+            # blocks of longer vectors have fewer rows, so that a task holds as much
+            row_blocks = -(-counts[d] * max(d, 64) // (64 * block_rows))
+            found = _search_length(*of, d, k, rerank, row_blocks, -(-m // block_queries), sample_rows)
             out = out.unionByName(found.withColumnRenamed("id", id_col))
     return out
 
 
-def build_index(rows: DataFrame, kind: str, sample_rows: int) -> tuple[Quantiser, DataFrame]:
-    """A quantiser fitted on at most ``sample_rows`` of ``(id, v, row)`` and the stored codes ``(row, id, code)`` of all rows."""
-    sample = rows.orderBy(F.xxhash64("id", "v"), "id").limit(sample_rows).select("v").toPandas()
+def _distinct(rows: DataFrame, k: int) -> DataFrame:
+    """``(v, d, ids, own)``: each vector of ``(id, v)`` once, with every id that a query can find by it and the hash of its only id, or 0.
+
+    A query skips its own id and finds ``k`` rows, so these are the ``k + 1`` least ids, ``k`` times each at most.
+    """
+    place = F.dense_rank().over(Window.partitionBy("v").orderBy(F.asc_nulls_last("id")))
+    nth = F.row_number().over(Window.partitionBy("v", "id").orderBy("id"))
+    kept = rows.withColumn("place", place).where(F.col("place") <= k + 1).withColumn("nth", nth).where(F.col("nth") <= k)
+    own = F.when(F.max("place") == 1, F.xxhash64(F.min("id"))).otherwise(F.lit(0))
+    return kept.groupBy("v").agg(F.collect_list(F.struct("id")).alias("ids"), own.alias("own")).withColumn("d", F.size("v"))
+
+
+def build_index(rows: DataFrame, sample_rows: int) -> tuple[Quantiser, DataFrame]:
+    """A quantiser fitted on at most ``sample_rows`` of ``(row, v, own)`` and the stored index ``(row, own, code, rest, step, coarse, error)`` of all rows."""
+    sample = rows.orderBy(F.xxhash64("v"), "row").limit(sample_rows).select("v").toPandas()
     quantiser = Quantiser.fit(_units(sample["v"])[1])
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             if len(frame):
-                codes = shared.value.encode(_units(frame["v"])[1])
-                yield pd.DataFrame({"row": frame["row"], "id": frame["id"], "code": [x.tobytes() for x in codes]})
+                units = _units(frame["v"])[1]
+                packed = shared.value.encode(units)
+                whole, step, coarse, error = shared.value.rest(units, packed)
+                codes, rests = ([x.tobytes() for x in part] for part in (packed, whole))
+                yield pd.DataFrame({"row": frame["row"], "own": frame["own"], "code": codes, "rest": rests, "step": step, "coarse": coarse, "error": error})
 
-    codes = durable(rows.select("row", "id", "v").mapInPandas(encode, f"row long, id {kind}, code binary"))
+    index = durable(rows.select("row", "own", "v").mapInPandas(encode, "row long, own long, code binary, rest binary, step double, coarse double, error double"))
     shared.destroy()
-    return quantiser, codes
+    return quantiser, index
 
 
-def _search_length(rows: DataFrame, asked: DataFrame, kind: str, k: int, rerank: int, row_blocks: int, query_blocks: int, sample_rows: int) -> DataFrame:
-    quantiser, codes = build_index(rows, kind, sample_rows)
+def _search_length(rows: DataFrame, asked: DataFrame, d: int, k: int, rerank: int, row_blocks: int, query_blocks: int, sample_rows: int) -> DataFrame:
+    quantiser, index = build_index(rows, sample_rows)
     shared = rows.sparkSession.sparkContext.broadcast(quantiser)
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = codes.select(block("row", row_blocks).alias("rb"), every(query_blocks).alias("qb"), "row", "id", "code", F.lit(None).cast("array<double>").alias("v"))
-    right = asked.select(every(row_blocks).alias("rb"), block("query", query_blocks).alias("qb"), F.col("query").alias("row"), "id", F.lit(None).cast("binary").alias("code"), "v")
+    left = index.select(block("row", row_blocks).alias("rb"), every(query_blocks).alias("qb"), *index.columns)
+    right = asked.select(every(row_blocks).alias("rb"), block("query", query_blocks).alias("qb"), F.col("query").alias("row"), F.xxhash64("id").alias("own"), "v")
 
     def scan(pdf: pd.DataFrame) -> pd.DataFrame:
-        q = pdf[pdf["v"].notna()]
-        # of rows that tie, those with the least ids are kept
-        x = pdf[pdf["v"].isna()].sort_values(["id", "row"], na_position="last")
-        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64)})]
+        asks = pdf["v"].notna()
+        q, x = pdf[asks], pdf[~asks]
+        out = [pd.DataFrame({"query": np.zeros(0, np.int64), "row": np.zeros(0, np.int64), "low": np.zeros(0), "high": np.zeros(0)})]
         if len(q) and len(x):
-            ids, null, place = x["id"].to_numpy(), x["id"].isna().to_numpy(), x["row"].to_numpy(np.int64)
-            packed = np.frombuffer(b"".join(x["code"]), np.uint8).reshape(len(x), -1)
-            for start in range(0, len(q), 64):
-                part = q.iloc[start : start + 64]
-                approximate = shared.value.scores(_units(part["v"])[1], packed)
-                for score, query, query_id in zip(approximate, part["row"], part["id"], strict=True):
-                    score = np.where(~null & (ids == query_id), -np.inf, score)
-                    if len(score) > rerank:
-                        cut = np.partition(score, -rerank)[-rerank]
-                        best = np.concatenate([np.flatnonzero(score > cut), np.flatnonzero(score == cut)])[:rerank]
-                    else:
-                        best = np.arange(len(score))
-                    best = best[score[best] > -np.inf]
-                    out.append(pd.DataFrame({"query": query, "row": place[best]}))
+            own, place, held = q["own"].to_numpy(), x["row"].to_numpy(), Block(shared.value, x, d)
+            for start in range(0, len(q), 32):
+                part = slice(start, start + 32)
+                query, row, low, high = held.candidates(_units(q["v"].iloc[part])[1], own[part], k, rerank)
+                out.append(pd.DataFrame({"query": q["row"].to_numpy()[part][query], "row": place[row], "low": low, "high": high}))
         return pd.concat(out, ignore_index=True)
 
-    found = left.unionByName(right).groupBy("rb", "qb").applyInPandas(scan, "query long, row long")
-    near = found.join(rows.select("row", "id", "v"), "row")
+    found = left.unionByName(right, allowMissingColumns=True).groupBy("rb", "qb").applyInPandas(scan, "query long, row long, low double, high double")
+    # of all blocks' candidates, those that the k-th upper bound leaves
+    best = Window.partitionBy("query").orderBy("high").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    found = found.withColumn("bound", F.nth_value("high", k).over(best)).where(F.col("bound").isNull() | (F.col("low") <= F.col("bound")))
+    near = found.select("query", "row").join(rows.select("row", "ids", "v"), "row")
     near = near.join(asked.select("query", F.col("id").alias("query_id"), F.col("v").alias("q")), "query")
 
-    def exact(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            if len(frame):
-                q, x = (np.stack(frame[c].to_numpy()) for c in ("q", "v"))
-                yield frame[["query", "query_id", "id"]].assign(score=cosines(q, x))
+    @F.pandas_udf("double")
+    def exact(q: pd.Series, x: pd.Series) -> pd.Series:
+        return pd.Series(cosines(*(np.stack(v.to_numpy()).astype(np.float64) for v in (q, x)))) if len(q) else pd.Series(dtype=float)
 
-    scored = near.select("query", "query_id", "id", "q", "v").mapInPandas(exact, f"query long, query_id {kind}, id {kind}, score double")
+    scored = near.select("query", "query_id", "ids", exact("q", "v").alias("score")).select("query", "query_id", "score", F.inline("ids"))
     order = Window.partitionBy("query").orderBy(F.desc("score"), F.asc_nulls_last("id"))
-    ranked = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    others = scored.where(F.col("id").isNull() | (F.col("id") != F.col("query_id")))
+    ranked = others.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "id", "score")
 
 

@@ -304,6 +304,24 @@ def test_vector_recall_at_default_settings(spark):
     assert hits >= 0.95 * 5 * 80
 
 
+def test_vectors_that_codes_cannot_tell_apart(spark):
+    rng = np.random.default_rng(13)
+    middles = rng.normal(size=(10, 16))
+    # one cone, tight clusters, planes, and copies with ids of which some repeat
+    cone, tight = 1 + 0.01 * rng.normal(size=(2000, 16)), middles[rng.integers(0, 10, 2000)] + 1e-3 * rng.normal(size=(2000, 16))
+    plane, copies = rng.normal(size=(2000, 2)), middles[rng.integers(0, 4, 2000), :3]
+    for kind, x in {"cone": cone, "tight": tight, "plane": plane, "copies": copies}.items():
+        x = x.astype(np.float32).astype(float)
+        ids = np.arange(len(x)) // (1 if kind != "copies" else 3)
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<float>").repartition(3)
+        found = vector_search.search(df, df.where("vec_id % 100 = 0"), "vec_id", "embedding", rerank=16, block_rows=700).toPandas()
+        want = []
+        for q in np.flatnonzero(ids % 100 == 0):
+            near = sorted((-s, i) for s, i in zip(vector_search.cosines(np.repeat(x[q : q + 1], len(x), 0), x), ids, strict=True) if i != ids[q])[:5]
+            want += [(ids[q], rank, i, -s) for rank, (s, i) in enumerate(near, 1)]
+        assert sorted(found.itertuples(index=False, name=None)) == sorted(want), kind
+
+
 def test_vectors_of_two_lengths_are_searched_apart(spark):
     rows = [(i, [1.0, float(i)]) for i in range(6)] + [(10 + i, [1.0, float(i), 2.0]) for i in range(6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
