@@ -205,7 +205,7 @@ def search(
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
     plain = lambda x: F.col(vector).cast("array<float>" if x.schema[vector].dataType.simpleString() == "array<float>" else "array<double>")
-    slim = lambda x: x.where(usable(vector)).select(F.col(id_col).alias("id"), plain(x).alias("v"))
+    slim = lambda x: x.where(usable(vector)).select(F.col(id_col).cast(kind).alias("id"), plain(x).alias("v"))
     # written once, so that the number of a row stays what it is
     rows = durable(_distinct(slim(df), k).withColumn("row", F.monotonically_increasing_id()))
     asked = durable(slim(queries.where(F.col(id_col).isNotNull())).withColumns({"d": F.size("v"), "query": F.monotonically_increasing_id()}))
